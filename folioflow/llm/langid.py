@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.llm.common import bound_batches, crc_mod
 
 BUCKETS = 1 << 15
 OTHER = "other"
-RESULT = "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"
+FOUND = "lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
 def letter_table() -> np.ndarray:
@@ -119,12 +120,12 @@ def fit(train: DataFrame, max_languages: int = 1000, **options) -> Mixtures:
     return Mixtures([names[int(i)] for i in order], table, **options)
 
 
-def predict(docs: DataFrame, model: Mixtures) -> DataFrame:
-    """RESULT for each row: the language with the largest share of the trigrams, its share, and all shares.
+def predict(docs: DataFrame, model: Mixtures, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns of `keep` and FOUND for each row: the language with the largest share of the trigrams, its share, and all shares.
 
     A null text, one without a letter, and any text where nothing was learned
     are `und` with score 0 and no languages. Rows with one id are judged each;
-    other columns are not read.
+    columns that aren't in `keep` are not read, and kept ones named like a found one give way.
     """
     bound_batches(docs.sparkSession)
 
@@ -143,16 +144,16 @@ def predict(docs: DataFrame, model: Mixtures) -> DataFrame:
                 by = np.argsort(-share, kind="stable")
                 out.append((model.languages[k[top]], float(min(share[top], 1.0)), [(model.languages + [OTHER])[k[i]] for i in by], [float(share[i]) for i in by]))
             pred, score, langs, shares = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
-                names=["doc_id", "held_out", "lang_pred", "score", "languages", "proportions"],
-            )
+            found = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + found, names=[*kept, "lang_pred", "score", "languages", "proportions"])
 
-    rows = docs if "held_out" in docs.columns else docs.withColumn("held_out", F.lit(False))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(infer, RESULT)
+    extra = T.StructType.fromDDL(FOUND)
+    kept = [c for c in keep if c not in extra.names]
+    rows = docs.select(*kept, *({"text"} - {*kept}))
+    return rows.mapInArrow(infer, T.StructType([rows.schema[c] for c in kept] + extra.fields))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 3) == 1)
     bound_batches(spark)
-    return predict(docs.drop("lang"), fit(docs.where("not held_out")))
+    return predict(docs, fit(docs.where("not held_out")), keep=("doc_id", "held_out"))
