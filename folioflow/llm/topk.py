@@ -136,6 +136,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
     every = F.sequence(F.lit(0), F.lit(shards - 1))
     sent = queries.withColumn("to", F.explode(F.filter(every, lambda s: s != F.col("shard")))).select("d", "to", "block", "vec_id", "v", "kth_score", "kth_id")
     met = rows.select("d", F.col("shard").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
+    sent = sent.toDF(*sent.columns)  # fresh names: both sides come from one table
+    met = met.toDF(*met.columns)
     away = sent.groupBy("d", "to", "block").cogroup(met.groupBy("d", "to", "block")).applyInPandas(abroad, PART)
     return best_of(home.union(away), k).select("query_id", "rank", "vec_id", "score")
 
