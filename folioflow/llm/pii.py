@@ -203,7 +203,7 @@ class Tagger:
                 dh, dc = dz @ w[f"{d}h"].T, dc * f
         return {k: v / n for k, v in g.items()}
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 240, batch: int = 64, rate: float = 0.02, seed: int = 3) -> Tagger:
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 300, batch: int = 64, rate: float = 0.04, seed: int = 3) -> Tagger:
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
         for s in range(1, steps + 1):
