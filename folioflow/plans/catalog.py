@@ -50,7 +50,7 @@ def metadata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search over parts, with the price as quality and the brand as field."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("ordinal"), F.col("p_retailprice").alias("quality_score"), "p_brand")
-    return ca.search_documents(p, 950.0, 20, p_brand="Brand#4").select("ordinal", "quality_score")
+    return ca.search_documents(p, 905.0, 20, p_brand="Brand#4").select("ordinal", "quality_score")
 
 
 def similar_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +210,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 SQL = {
     "metadata_search": f"with {fx.meta_sql()} select filename, quality_score::double as quality_score from meta where quality_score >= 0.5 and subject_area = 'mathematics' order by quality_score desc, ordinal limit 5",
-    "part_search": "select p_partkey as ordinal, p_retailprice as quality_score from part where p_retailprice >= 950.0 and p_brand = 'Brand#4' order by p_retailprice desc, p_partkey limit 20",
+    "part_search": "select p_partkey as ordinal, p_retailprice as quality_score from part where p_retailprice >= 905.0 and p_brand = 'Brand#4' order by p_retailprice desc, p_partkey limit 20",
     "similar_hash": f"with {fx.meta_sql()} select filename from meta where subject_area = 'physics' and quality_score >= 0.87",
     "source_lists": f"with {_S} select name, 'active' as list from s where is_active union all select name, 'physics' from s where is_active and list_contains(subject_areas, 'physics')",
     "source_health": f"with {_S}, {fx.values_sql('h', HEALTH, 'name string, status string')} select (select count(*) from s) as total_sources, (select count(*) from h where status = 'healthy') as healthy_sources, (select string_agg(name, '|' order by name) from h join s using (name) where status <> 'healthy') as recheck, (select count(*) from s) - (select count(*) from h where status = 'healthy') as unhealthy_sources",
