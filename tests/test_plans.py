@@ -3,9 +3,9 @@
 import pytest
 from oracle import same
 
-from folioflow.plans import catalog, documents, flagship, grouping, learned, monitoring, scoring
+from folioflow.plans import catalog, context, documents, flagship, grouping, learned, monitoring, scoring
 
-PLANS = (flagship, scoring, documents, grouping, catalog, monitoring, learned)
+PLANS = (flagship, scoring, documents, grouping, catalog, monitoring, context, learned)
 CASES = [(p, name) for p in PLANS for name in p.QUERIES if name in p.SQL]
 ONE_ROW = {"filter_counts", "alert_statistics", "availability_summary", "rate_report", "key_checks", "source_health", "collection_stats", "recent_papers"}
 
