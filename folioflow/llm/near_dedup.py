@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import bound_batches, materialize, mix, shingle_values, u64, words
@@ -63,72 +63,146 @@ def signatures(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, paths array<long>")
 
 
-def similar_sizes(n: Column, m: Column, percent: int) -> Column:
-    """Sets of other sizes can't be similar enough."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-
 def leaves(classes: DataFrame, trees: int, depth: int, node_limit: int) -> DataFrame:
-    """(rep, n, node, pivot, pivot_n): each set's leaf in each tree, where it is not alone.
+    """(rep, tree, cell, chunk, chunks, pivot): each set's leaf in each tree, where it is not alone.
 
     A node of at most node_limit sets is a leaf, larger ones branch on; the last
-    depth is a leaf at any size. Only members of larger nodes go on.
+    depth is a leaf at any size, and is cut into chunks of about node_limit by a
+    hash. Only members of larger nodes go on. pivot is the leaf's smallest rep.
     """
     per = depth - FIRST_DEPTH + 1
-    rows = classes.select("rep", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice(F.col("paths"), t * per + 1, per))).alias("rest"))
+    tree = F.sequence(F.lit(0), F.lit(trees - 1))
+    rows = classes.select("rep", F.explode(F.transform(tree, lambda t: F.struct(t.alias("tree"), F.slice(F.col("paths"), t * per + 1, per).alias("rest")))).alias("p")).select("rep", "p.tree", "p.rest")
     out = None
     for level in range(per):
-        here = rows.select("rep", "n", F.col("rest")[0].alias("node"), F.slice("rest", 2, per).alias("rest"))
-        nodes = here.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("pivot")).where("members > 1")
-        nodes = materialize(nodes.select(F.col("node").alias("name"), "members", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "nodes")
-        met = materialize(here.join(nodes, F.col("node") == F.col("name")).drop("name"), "members")
+        here = rows.select("rep", "tree", F.col("rest")[0].alias("cell"), F.slice("rest", 2, per).alias("rest"))
+        nodes = here.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("pivot")).where("members > 1")
+        nodes = materialize(nodes.withColumnRenamed("cell", "name"), "nodes")
+        met = materialize(here.join(nodes, F.col("cell") == F.col("name")).drop("name"), "members")
         ends = F.col("members") <= node_limit if level < per - 1 else F.lit(True)
-        leaf = met.where(ends).select("rep", "n", "node", "pivot", "pivot_n")
+        chunks = F.ceil(F.col("members") / node_limit).cast("int")
+        leaf = met.where(ends).select("rep", "tree", "cell", F.pmod(F.xxhash64("rep", "cell"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"), "pivot")
         out = leaf if out is None else out.union(leaf)
-        rows = met.where(~ends).select("rep", "n", "rest")
+        rows = met.where(~ends).select("rep", "tree", "rest")
         if level < per - 1 and rows.isEmpty():
             break
-    return out
+    return materialize(out, "leaves")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough; a text travels once for each of its pairs."""
-    pairs = materialize(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
-    texts = docs.join(asked, F.col("doc_id") == F.col("asked")).groupBy("doc_id").agg(F.max("text").alias("text"))
-    texts = materialize(texts, "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+def join_up(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """For each set the index of the first set of its component, by exact comparison of all; with sides, of sets on different sides only.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (v, i), (w, j) = (shingle_values(words(batch.column(c), lower=True), size) for c in ("text_a", "text_b"))
-            keep, last, left = np.zeros(len(batch), bool), None, None
-            ids = batch.column("a").to_numpy(zero_copy_only=False)
-            for k in range(len(batch)):
-                if ids[k] != last:
-                    last, left = ids[k], np.unique(v[i[k] : i[k + 1]])
-                right = np.unique(w[j[k] : j[k + 1]])
-                common = len(left) + len(right) - len(np.union1d(left, right))
-                keep[k] = 100 * common >= percent * (len(left) + len(right) - common) and common > 0
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+    Shared elements are counted through an inverted index, so sets without a
+    common element cost nothing, and memory is that of the sets.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    label = np.arange(n)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    new = np.append(True, flat[order][1:] != flat[order][:-1])
+    group = np.empty(len(flat), np.int64)
+    group[order] = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    count = np.diff(np.append(begin, len(flat)))
+    owner_of, first = owner[order], np.concatenate([[0], np.cumsum(size)])
+    for i in range(n):
+        g = group[first[i] : first[i + 1]]
+        g = g[count[g] > 1]
+        if not len(g):
+            continue
+        c = count[g]
+        at = np.repeat(begin[g] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+        common = np.bincount(owner_of[at], minlength=n)
+        alike = 100 * common >= percent * (size[i] + size - common)
+        if sides is not None:
+            alike &= sides != sides[i]
+        alike[i] = True
+        met = np.unique(label[alike])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    return label
+
+
+def linked(rows: DataFrame, size: int, percent: int, both_sides: bool = False) -> DataFrame:
+    """(a, b): links that join what belongs together in each cell of rows (cell, rep, text[, side]); one less than the members of a component."""
+    columns = ["cell", "rep", "text", *["side"] * both_sides]
+    dealt = rows.select(columns).repartition("cell").sortWithinPartitions("cell", "rep")
 
-    return materialize(both.mapInArrow(run, "a long, b long"), "links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
 
+        def settle() -> tuple[list[int], list[int]]:
+            if len(held) < 2:
+                return [], []
+            ids = [h[0] for h in held]
+            label = join_up([h[1] for h in held], percent, np.array([h[2] for h in held]) if both_sides else None)
+            pairs = [(ids[r], ids[i]) for i, r in enumerate(label) if ids[r] != ids[i]]
+            return [p[0] for p in pairs], [p[1] for p in pairs]
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: int = 12, depth: int = 4, node_limit: int = 64) -> DataFrame:
+        cell = None
+        for batch in batches:
+            value, first = shingle_values(words(batch.column("text"), lower=True), size)
+            cells, reps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "rep"))
+            side = batch.column("side").to_numpy(zero_copy_only=False) if both_sides else np.zeros(len(cells), np.int64)
+            a: list[int] = []
+            b: list[int] = []
+            for k in range(len(cells)):
+                if cells[k] != cell:
+                    x, y = settle()
+                    a += x
+                    b += y
+                    held.clear()
+                    cell = cells[k]
+                held.append((reps[k], np.unique(value[first[k] : first[k + 1]]), side[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        x, y = settle()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def still_mixed(leaf: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of leaves where several components meet, with `label`."""
+    if labels is None:
+        return leaf.withColumn("label", F.col("rep"))
+    named = materialize(leaf.join(labels, F.col("rep") == F.col("v"), "left").drop("v").withColumn("label", F.coalesce("component", "rep")).drop("component"), "labelled")
+    mixed = materialize(named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cell"), "mixed")
+    return named.join(mixed, "cell", "left_semi")
+
+
+def rest_of_large(leaf: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links that chunks may have missed: in leaves of several chunks where components still meet, all sets outside the largest component against all sets, chunk by chunk."""
+    large = materialize(still_mixed(leaf.where("chunks > 1"), labels), "large")
+    if large.isEmpty():
+        return None
+    top = large.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.max(F.struct("n", "label")).alias("top")).select("cell", F.col("top.label").alias("top"))
+    marked = materialize(large.join(top, "cell").withColumn("few", F.col("label") != F.col("top")), "marked")
+    some = marked.where("few").select("cell", F.col("chunk").alias("from")).distinct()
+    each = F.sequence(F.lit(0), F.col("chunks") - 1)
+    left = marked.where("few").withColumn("to", F.explode(each)).select(F.xxhash64("cell", "chunk", "to").alias("cell"), "rep", F.lit(0).alias("side"))
+    right = marked.join(some, "cell").select(F.xxhash64("cell", "from", "chunk").alias("cell"), "rep", F.lit(1).alias("side"))
+    return linked(left.union(right).join(texts, "rep"), size, percent, both_sides=True)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: int = 16, depth: int = 5, node_limit: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Words are lower-cased (A-Z); a set holds the distinct shingles of `size`
     words of the whole text. Sets that are equal become one class by a partial
     aggregate, so copies cost no more than their signatures. Classes branch down
     `trees` independent trees by their minwise tokens; a pair of similarity s
-    meets at depth 2 of one of 12 trees with probability 1 - (1 - s^2)^12.
-
-    In each leaf all sets are compared with the leaf's smallest first. Only
-    leaves where then several components meet are compared exhaustively, and
-    only between components, as links within one change nothing. Links are
-    confirmed on the full sets. Components come from all links.
+    meets in a leaf at depth k of one of t trees with probability
+    1 - (1 - s^k)^t, which is 1 - 1e-9 for 0.85, depth 2 and 16 trees, and
+    1 - 7e-6 at depth 4.
+
+    Leaves are compared exhaustively on the full sets, where the texts of a leaf
+    meet in one task; a leaf gives links that span its components, not pairs.
+    Trees run in three rounds, and a later round leaves out leaves whose sets
+    are all in one component by then, as more links there change nothing. A leaf
+    that is large even at the last depth is compared in chunks, each with the
+    leaf's smallest set; what then is still apart in it is compared with all of
+    it, chunk by chunk. So nothing is capped, and a task holds two chunks.
 
     Null and empty texts, and null ids, link with nothing: n_shingles 0, or the
     null id as component_id, and kept. Rows with one doc_id count as one
@@ -138,24 +212,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: in
     bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = materialize(signatures(docs, size, trees, depth), "signatures")
-    named = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "paths")).alias("least"))
-    classes = materialize(named.select("set_a", "set_b", F.col("least.doc_id").alias("rep"), F.col("least.n_shingles").alias("n"), F.col("least.paths").alias("paths")), "classes")
-    leaf = materialize(leaves(classes, trees, depth, node_limit), "leaves")
-
-    star = leaf.where((F.col("rep") != F.col("pivot")) & similar_sizes(F.col("n"), F.col("pivot_n"), percent)).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirm(star, docs, size, percent)
-    labels = components(links)
-
-    known = leaf.join(labels, F.col("rep") == F.col("v"), "left").select("rep", "n", "node", "pivot", F.coalesce("component", "rep").alias("label"))
-    known = materialize(known, "labelled")
-    mixed = materialize(known.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("node"), "mixed")
-    known = materialize(known.join(mixed, "node", "left_semi"), "mixed-members")
-    left = known.where("rep <> pivot").select("node", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    right = known.select("node", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    pairs = left.join(right, "node").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & similar_sizes(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-    more = confirm(pairs, docs, size, percent)
-    if not more.isEmpty():
-        labels = components(labels.select(F.col("v").alias("a"), F.col("component").alias("b")).union(links).union(more))
+    named = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "paths")).alias("least"))
+    classes = materialize(named.select("set_a", "set_b", F.col("least.doc_id").alias("rep"), F.col("least.paths").alias("paths")), "classes")
+    leaf = leaves(classes, trees, depth, node_limit)
+    asked = leaf.select("rep").distinct()
+    texts = materialize(docs.join(asked, F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.max("text").alias("text")), "texts")
+
+    labels, links = None, None
+    for lo, hi in ((0, 1), (1, 4), (4, trees)):
+        rows = still_mixed(leaf.where(F.col("tree").between(lo, hi - 1)), labels)
+        cells = rows.select(F.xxhash64("cell", "chunk").alias("cell"), "rep")
+        pivots = rows.where("chunks > 1").select(F.xxhash64("cell", "chunk").alias("cell"), F.col("pivot").alias("rep"))
+        found = linked(cells.union(pivots).distinct().join(texts, "rep"), size, percent)
+        links = materialize(found if links is None else labels.select(F.col("v").alias("a"), F.col("component").alias("b")).union(found), "found")
+        labels = components(links)
+    if (more := rest_of_large(leaf, labels, texts, size, percent)) is not None:
+        labels = components(materialize(labels.select(F.col("v").alias("a"), F.col("component").alias("b")).union(more), "found"))
 
     final = classes.join(labels, F.col("rep") == F.col("v"), "left").select(F.col("set_a").alias("x"), F.col("set_b").alias("y"), F.coalesce("component", "rep").alias("component"))
     final = materialize(final, "components")
