@@ -63,6 +63,13 @@ class Mixtures:
         p = (counts + smoothing) / (counts.sum(1, keepdims=True) + smoothing * BUCKETS)
         self.p = np.vstack([p, np.full((1, BUCKETS), 1 / BUCKETS)]).T.astype(np.float32)
 
+    @staticmethod
+    def bounds(c: np.ndarray, p: np.ndarray, chosen: list[int], theta: np.ndarray) -> np.ndarray:
+        """What each component may gain at most beside the chosen ones; nothing for these."""
+        gain = (c / (p[:, chosen] @ theta)) @ p - c.sum()
+        gain[chosen] = -np.inf
+        return gain
+
     def infer(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(chosen components, their proportions), the last component being `other`.
 
@@ -70,7 +77,9 @@ class Mixtures:
         log-likelihood gains more than the penalty times half the log of the
         trigrams. The likelihood is concave in the proportions: a component's
         gradient at the current ones bounds what it can gain, so that most
-        texts are settled without a round of EM.
+        texts are settled without a round of EM. Components are tried by falling
+        bound; one that gains less than the fee is passed over until the set
+        grows, and the search ends when no bound left exceeds the fee.
         """
         n = np.bincount(buckets, minlength=BUCKETS)
         at = np.flatnonzero(n)
@@ -80,12 +89,8 @@ class Mixtures:
         single = c @ np.log(p)
         chosen = [int(np.argmax(single[:-1]))]
         theta, best = np.ones(1), single[chosen[0]]
-        while len(chosen) < p.shape[1]:
-            gain = (c / (p[:, chosen] @ theta)) @ p - total
-            gain[chosen] = -np.inf
-            new = int(np.argmax(gain))
-            if gain[new] <= fee:
-                break
+        gain = self.bounds(c, p, chosen, theta)
+        while gain[new := int(np.argmax(gain))] > fee:
             trial = [*chosen, new]
             q, w = p[:, trial], np.append(theta * 0.8, 0.2)
             for _ in range(self.rounds):
@@ -95,8 +100,10 @@ class Mixtures:
                     break
             likelihood = c @ np.log(q @ w)
             if likelihood - best <= fee:
-                break
+                gain[new] = -np.inf
+                continue
             chosen, theta, best = trial, w, likelihood
+            gain = self.bounds(c, p, chosen, theta)
         return np.array(chosen), theta
 
 

@@ -30,6 +30,17 @@ def test_mixture_of_two_languages(documents):
     assert [r["lang_pred"] for r in rows[2:5]] == ["und"] * 3 and rows[5]["lang_pred"] in ("en", "de")
 
 
+@pytest.mark.parametrize("stray", ["", " zq", " zqxw"])
+def test_stray_trigrams_do_not_hide_a_second_language(stray):
+    """A trigram unseen in training gives the uniform component the largest bound, though it gains nothing."""
+    letters, r = langid.letter_table(), random.Random(1)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    first, second = (np.bincount(langid.grams(" ".join(w), letters), minlength=langid.BUCKETS) for w in (vocabulary[:40], vocabulary[40:]))
+    model = langid.Mixtures(["aa", "bb"], np.stack([200_000 * first + 20_000 * second, 20_000 * first + 200_000 * second]).astype(float))
+    chosen, share = model.infer(langid.grams(" ".join(vocabulary[:40] * 8 + vocabulary[40:] * 3) + stray, letters))
+    assert chosen.tolist() == [0, 1] and share == pytest.approx([0.86, 0.14], abs=0.01)
+
+
 def test_nothing_learned_is_und(documents):
     model = langid.fit(documents(["abc def", None], langs=[None, "en"]))
     assert langid.predict(documents(["abc"]), model).first()["lang_pred"] == "und"
