@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,12 @@ from folioflow.llm.graph import components
 FIRST_DEPTH = 2
 
 
+def tree_count(percent: int, depth: int, missed: float) -> int:
+    """Trees in which a pair at the threshold is apart at the last depth of all with a probability of `missed` at most."""
+    apart = 1 - (percent / 100) ** depth
+    return max(1, math.ceil(math.log(missed) / math.log(apart))) if apart > 0 else 1
+
+
 def chosen_paths(values: np.ndarray, first: np.ndarray, trees: int, depth: int) -> np.ndarray:
     """For each text with shingles, its node at depths FIRST_DEPTH to depth of each tree.
 
@@ -185,16 +192,18 @@ def rest_of_large(leaf: DataFrame, labels: DataFrame, texts: DataFrame, size: in
     return linked(left.union(right).join(texts, "rep"), size, percent, both_sides=True)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: int = 16, depth: int = 5, node_limit: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: int | None = None, depth: int = 4, node_limit: int = 256, missed: float = 1e-5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Words are lower-cased (A-Z); a set holds the distinct shingles of `size`
     words of the whole text. Sets that are equal become one class by a partial
     aggregate, so copies cost no more than their signatures. Classes branch down
     `trees` independent trees by their minwise tokens; a pair of similarity s
-    meets in a leaf at depth k of one of t trees with probability
-    1 - (1 - s^k)^t, which is 1 - 1e-9 for 0.85, depth 2 and 16 trees, and
-    1 - 7e-6 at depth 4.
+    is in no common leaf at depth k of t trees with probability (1 - s^k)^t.
+    Unless given, trees are as many as bring that to `missed` or less for a pair
+    at the threshold and the last depth: 16 trees for 0.85 (7e-6) and 22 for
+    0.80 (9e-6) at depth 4. At depth 5 these take 20 and 29; 16 trees would miss
+    8e-5 and 1.7e-3 there.
 
     Leaves are compared exhaustively on the full sets, where the texts of a leaf
     meet in one task; a leaf gives links that span its components, not pairs.
@@ -210,6 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: in
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    trees = tree_count(percent, depth, missed) if trees is None else trees
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = materialize(signatures(docs, size, trees, depth), "signatures")
     named = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "paths")).alias("least"))

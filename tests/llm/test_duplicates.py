@@ -60,6 +60,29 @@ def test_components_equal_brute_force(documents, options):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
+@pytest.mark.parametrize("percent,shared", [(80, 8), (85, 34)])
+def test_pairs_at_the_threshold_meet_in_a_tree(documents, monkeypatch, percent, shared):
+    """With the default trees and depth, isolated pairs of just the asked similarity meet at the last depth."""
+
+    class Asked(Exception):
+        pass
+
+    def stop(docs, size, trees, depth):
+        raise Asked(trees, depth)
+
+    monkeypatch.setattr(nd, "signatures", stop)
+    with pytest.raises(Asked) as asked:
+        nd.near_duplicates(documents(["a"]), percent=percent)
+    trees, depth = asked.value.args
+    assert (1 - (percent / 100) ** depth) ** trees <= 1e-5
+    own = shared * 100 // percent - shared  # tokens that only one of the two has
+    r, pairs, n = np.random.default_rng(3), 4000, shared + own // 2
+    common = np.repeat(r.integers(0, 1 << 63, (pairs, 1, shared), np.uint64), 2, 1)
+    values = np.concatenate([common, r.integers(0, 1 << 63, (pairs, 2, n - shared), np.uint64)], 2)
+    paths = nd.chosen_paths(values.reshape(-1), np.arange(2 * pairs + 1) * n, trees, depth).reshape(pairs, 2, trees, -1)[..., -1]
+    assert (paths[:, 0] == paths[:, 1]).any(1).all()
+
+
 def test_join_up_by_sides():
     sets = [np.array(s, np.uint64) for s in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [9])]
     assert nd.join_up(sets, 80).tolist() == [0, 0, 0, 3]
