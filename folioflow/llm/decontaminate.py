@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import WORD, bound_batches, mix, shingle_values, u64, words
+from folioflow.llm.common import WORD, Words, bound_batches, mix, runs_of, shingle_values, u64, words
 
 FOUND = "found array<struct<item_id:bigint,n_shared:bigint,n_item:bigint>>"
 
@@ -32,13 +32,16 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str], size: int, hashes: int):
         column = pa.array(texts, pa.string())
-        value, first = shingle_values(words(column, lower=True), size)
-        self.size, self.ids, self.texts = size, ids, [t.encode() for t in texts]
+        w = words(column, lower=True)
+        value, first = shingle_values(w, size)
+        self.size, self.ids, self.texts, count = size, ids, [t.encode() for t in texts], np.diff(w.first)
+        #: Words of the shingles that an item is compared by: a short item is its only one.
+        self.run = np.minimum(count, size)
         self.seeds = mix(np.arange(1, hashes + 1, dtype=np.uint64) * u64(0x1F3D5B79))
         by_class: dict[int, list[int]] = {}
         sets = [np.unique(value[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
         for i, s in enumerate(sets):
-            if len(s):
+            if len(s) and count[i] >= size:
                 by_class.setdefault(size_class(len(s)), []).append(i)
         self.tables = []
         for bound, members in sorted(by_class.items()):
@@ -46,6 +49,24 @@ class Items:
             order = least.argsort(0, kind="stable")
             self.tables.append((bound, np.take_along_axis(least, order, 0).T.copy(), np.array(members)[order].T.copy()))
 
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(count[(count > 0) & (count < size)]):
+            members = np.flatnonzero(count == n)
+            order = value[first[members]].argsort(kind="stable")
+            self.short[int(n)] = value[first[members]][order], members[order]
+
+    def short_candidates(self, w: Words) -> set[tuple[int, int]]:
+        """(text, item) where the whole of an item of fewer than `size` words has the value of a run of the text's words."""
+        found: set[tuple[int, int]] = set()
+        doc = w.doc()
+        for n, (value, members) in self.short.items():
+            with np.errstate(over="ignore"):
+                x = mix(runs_of(w.value, n) + u64(n))
+            a, b = np.searchsorted(value, x, "left"), np.searchsorted(value, x, "right")
+            for k in np.flatnonzero((a < b) & (doc[: len(x)] == doc[n - 1 :])):
+                found.update((int(doc[k]), int(i)) for i in members[a[k] : b[k]])
+        return found
+
     def candidates(self, value: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
         """(text, item) whose MinHash values agree somewhere, texts being cut into windows for each size partition.
 
@@ -81,10 +102,16 @@ def permuted(value: np.ndarray, seed: np.uint64) -> np.ndarray:
         return x * factor
 
 
-def blocks_of(items: DataFrame, size: int, hashes: int, block_shingles: int) -> Iterator[Items]:
+def left_out(items: DataFrame, least_words: int = 5) -> DataFrame:
+    """(item_id, text, n_words): the items that find_items doesn't search, as id or text is null or the words are fewer than least_words."""
+    n = F.regexp_count("text", F.lit(WORD)).cast("bigint")
+    return items.where(F.col("item_id").isNull() | (F.coalesce(n, F.lit(0)) < F.greatest(F.lit(1), F.lit(least_words)))).select("item_id", "text", n.alias("n_words"))
+
+
+def blocks_of(items: DataFrame, size: int, hashes: int, block_shingles: int, least_words: int) -> Iterator[Items]:
     """The test items in blocks of about block_shingles shingles, dealt by a hash; their sum, counted first, gives the number of blocks."""
     known = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
-    known = known.where(F.regexp_count("text", F.lit(WORD)) >= size)
+    known = known.where(F.regexp_count("text", F.lit(WORD)) >= max(1, least_words))
     total = known.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     n = max(1, -(-int(total) // block_shingles))
     for k in range(n):
@@ -93,7 +120,7 @@ def blocks_of(items: DataFrame, size: int, hashes: int, block_shingles: int) ->
             yield Items(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), size, hashes)
 
 
-def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8, size: int = 5, hashes: int = 40, block_shingles: int = 1_000_000) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8, size: int = 5, hashes: int = 40, block_shingles: int = 1_000_000, least_words: int = 5) -> DataFrame:
     """docs with `found`: the test items whose distinct shingles are contained in the text by `containment` or more.
 
     Words are lower-cased (A-Z). Items are partitioned by size; for a partition
@@ -104,14 +131,16 @@ def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8, size
     whole text, so parts that lie far apart count together.
 
     Test items go to the executors in blocks of bounded size, a pass over the
-    documents each; nothing is shuffled. Items of fewer than `size` words are not
-    searched, as they prove nothing. Null texts hold nothing; null item_ids are
+    documents each; nothing is shuffled. Items of fewer than `least_words` words
+    are not searched, as they prove little; left_out() lists them. With less than
+    `size`, the short ones are found where their whole word sequence occurs, an
+    exact search with n_item 1. Null texts hold nothing; null item_ids are
     left out; an item_id with several texts is found by any. A column `found` of
     docs is replaced; all others are passed on.
     """
     bound_batches(docs.sparkSession)
     out = docs.drop("found").withColumn("found", F.array().cast(T.StructType.fromDDL(FOUND)["found"].dataType))
-    for block in blocks_of(items, size, hashes, block_shingles):
+    for block in blocks_of(items, size, hashes, block_shingles, least_words):
         out = search(out, block, containment)
     return out
 
@@ -125,13 +154,14 @@ def search(docs: DataFrame, block: Items, containment: float) -> DataFrame:
             value, first = shingle_values(w, block.size)
             found = batch.column("found").to_pylist()
             wanted: dict[int, list[int]] = {}
-            for doc, item in sorted(block.candidates(value, first)):
+            for doc, item in sorted(block.candidates(value, first) | block.short_candidates(w)):
                 wanted.setdefault(doc, []).append(item)
             for doc, some in wanted.items():
-                own = exact_shingles(w.text(doc), block.size)
+                text = w.text(doc)
+                own = {k: exact_shingles(text, k) for k in {int(block.run[i]) for i in some}}
                 for i in some:
-                    asked = exact_shingles(block.texts[i], block.size)
-                    if (n := len(own & asked)) >= containment * len(asked) - 1e-9:
+                    asked = exact_shingles(block.texts[i], int(block.run[i]))
+                    if (n := len(own[int(block.run[i])] & asked)) >= containment * len(asked) - 1e-9:
                         found[doc] = found[doc] + [{"item_id": block.ids[i], "n_shared": n, "n_item": len(asked)}]
             at = batch.schema.get_field_index("found")
             yield pa.RecordBatch.from_arrays([pa.array(found, kind) if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)

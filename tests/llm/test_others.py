@@ -40,6 +40,17 @@ def test_items_equal_brute_force(spark, documents, block):
     assert got == want and len(want) > 20
 
 
+def test_short_items_are_found_whole_or_listed(spark, documents):
+    items = ["yes", "too short", "a b c d", "A b C d E", "", None, "no"]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = ["x TOO  short y", "too", "short too", "a b c", "d a b\nc d", "a b c d e f", "yesno", "", None, "No"]
+    for least in (1, 2, 5):
+        found = {(x["doc_id"], f["item_id"]) for x in decontaminate.find_items(documents(docs), table, least_words=least).collect() for f in x["found"]}
+        runs = {i: q.lower().split() for i, q in enumerate(items) if q and len(q.split()) >= least}
+        assert found == {(d, i) for d, t in enumerate(docs) if t for i, q in runs.items() if any(t.lower().split()[k : k + len(q)] == q for k in range(len(t)))}
+        assert {r["item_id"] for r in decontaminate.left_out(table, least).collect()} == set(range(len(items))) - runs.keys()
+
+
 def test_no_items(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_items(documents(["a b c d e f"]), none).first()["found"] == []
