@@ -117,6 +117,14 @@ def test_urls_equal_a_plain_search(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_path_belongs_to_the_first_host(spark):
+    links = ["http://site.com?u=http://other.com/en/x", "http://site.com#http://other.com/en/x", "http://site.com?u=a://b/en/?c://d/en/", "http://site.com/en/?u=http://b.net/de/8"]
+    table = spark.createDataFrame(list(enumerate(links)), "page_id long, url string")
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge_pages(spark, table).collect())
+    assert got == [(i, *judged(u, urls.RULES)) for i, u in enumerate(links)]
+    assert [r[-1] for r in got] == ["allow"] * 3 + ["block"]
+
+
 def test_rule_side_may_be_shuffled(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     few = urls.judge_pages(spark, pages)
