@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import bound_batches
+from folioflow.llm.common import bound_batches, mix, u64
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -269,11 +270,20 @@ def made_up(n: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
     return out
 
 
-def windows_of(examples: Sequence[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.ndarray]:
+def window_starts(text: str, most: int) -> list[int]:
+    """Where the windows with a digit or @ begin; of more than `most`, those with the least hashes of text and place, wherever they lie."""
+    starts = sorted({max(0, m.start() - WIDTH // 2) // STRIDE * STRIDE for m in TRIGGER.finditer(text)})
+    if len(starts) <= most:
+        return starts
+    seed = u64(zlib.crc32(text.encode("utf-8", "surrogatepass")) << 32)
+    return sorted(starts[i] for i in np.argsort(mix(np.array(starts, np.uint64) ^ seed), kind="stable")[:most])
+
+
+def windows_of(examples: Sequence[tuple[str, list[Span]]], max_windows: int = 8) -> tuple[np.ndarray, np.ndarray]:
     table, x, y = symbol_table(), [], []
     for text, spans in examples:
         s, t = symbols(text, table), tags_of(spans, len(text))
-        for at in sorted({max(0, m.start() - WIDTH // 2) // STRIDE * STRIDE for m in TRIGGER.finditer(text)})[:8]:
+        for at in window_starts(text, max_windows):
             a, b = s[at : at + WIDTH], t[at : at + WIDTH].copy()
             for k in range(len(KINDS)):  # a span that began before the window begins with it
                 if len(b) and b[0] == 2 + 2 * k:
@@ -283,14 +293,17 @@ def windows_of(examples: Sequence[tuple[str, list[Span]]]) -> tuple[np.ndarray,
     return (np.stack(x), np.stack(y)) if x else (np.zeros((0, WIDTH), np.int64), np.zeros((0, WIDTH), np.int64))
 
 
-def fit(docs: DataFrame, max_documents: int = 400, made: int = 1500, **options) -> Tagger:
-    """Train on the pattern spans of at most max_documents texts with digits or @, first by a hash, and on seeded examples."""
+def fit(docs: DataFrame, max_documents: int = 400, made: int = 1500, max_windows: int = 8, **options) -> Tagger:
+    """Train on the pattern spans of at most max_documents texts with digits or @, first by a hash, and on seeded examples.
+
+    A text gives at most max_windows windows of WIDTH characters, chosen by a hash over the whole of it.
+    """
     some = docs.where("doc_id is not null").where(F.col("text").rlike("[0-9@]")).select("doc_id", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(max_documents)
     rows = docs.select("doc_id", "text").join(F.broadcast(some.withColumnRenamed("doc_id", "d")), (F.col("doc_id") == F.col("d")) & (F.xxhash64("doc_id", "text") == F.col("h")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = windows_of([(t, base_spans(t)) for t in batch.column("text").to_pylist()])
+            x, y = windows_of([(t, base_spans(t)) for t in batch.column("text").to_pylist()], max_windows)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.int64())), pa.array(list(y), pa.list_(pa.int64()))], names=["x", "y"])
 
     got = rows.mapInArrow(cut, "x array<long>, y array<long>").toArrow()

@@ -109,6 +109,18 @@ def test_long_texts_take_linear_time():
     assert len(pii.base_spans("x@y.zz " * 20_000)) == 20_000
 
 
+def test_training_windows_come_from_the_whole_text():
+    texts = [f"{'word ' * 20}{k} mail{k}@b.co " * 60 for k in range(4)]
+    examples = [(t, pii.base_spans(t)) for t in texts]
+    for most in (3, 8):
+        starts = [pii.window_starts(t, most) for t in texts]
+        assert all(len(s) == most for s in starts) and len({tuple(s) for s in starts}) == 4
+        assert all(max(s) > len(t) // 2 for s, t in zip(starts, texts, strict=True))
+        assert len(pii.windows_of(examples, most)[0]) == 4 * most
+    every = pii.window_starts(texts[0], 10**6)
+    assert every[0] == 64 and len(pii.windows_of(examples[:1], 10**6)[0]) == len(every) > 60
+
+
 def test_gradient_of_the_tagger():
     x, y = pii.windows_of(pii.made_up(6))
     x, y = x[:3], y[:3]
