@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -22,28 +21,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lets Spark drop the shuffle files of a finished write; the written table needs them no more.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode (tests) and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="folioflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):  # noqa: ANN201
+    """(file system, path) for a name of a file or folder in any store that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh name in the shared folder, below a folder of this application that goes when it ends."""
+    base = f"{scratch_dir(spark)}/folioflow-{spark.sparkContext.applicationId}"
+    store, at = hadoop_path(spark, base)
+    if not store.exists(at):
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffle files behind df are no longer needed then; a collection on the
-    driver lets Spark's cleaner drop them, which bounds the peak of disk in use.
+    The shuffle files behind df go once it is written, which bounds the peak of disk in use.
     """
     spark = df.sparkSession
-    path, schema = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    path, schema, before = scratch_path(spark, label), df.schema, spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "scratch", None):
+            store, at = hadoop_path(t.sparkSession, path)
+            store.delete(at, True)
 
 
 def bound_batches(spark: SparkSession) -> None:

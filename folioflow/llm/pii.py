@@ -17,9 +17,10 @@ from folioflow.llm.common import bound_batches, mix, u64
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
-#: A span of any kind holds one of these characters.
+#: A pattern span of any kind holds one of these characters.
 TRIGGER = re.compile(r"[0-9@]")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Digits are taken all or none: a match always begins where a run of digits does and ends where one does, so no other start or length can match, and time is linear.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -33,8 +34,8 @@ def luhn(digits: str) -> bool:
 
 def valid(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
-    digits = re.sub(r"[^0-9]", "", found)
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in found.split(".")))
+    digits = re.sub(r"[^0-9]+", "", found)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
     return kind != "phone" or 10 <= len(digits) <= 15
@@ -73,7 +74,9 @@ def digest_form(spans: Sequence[Span]) -> str:
 
 # ---- the tagger ----------------------------------------------------------
 
-WIDTH, STRIDE = 64, 32
+#: Windows of training and of search. A search window decides its middle STRIDE characters; those beside them, MARGIN on either side, are context.
+WIDTH, SEARCH_WIDTH, MARGIN = 64, 128, 16
+STRIDE = SEARCH_WIDTH - 2 * MARGIN
 TAGS = 1 + 2 * len(KINDS)
 _SIGNS = "@.+-()_% \n,:;/\"'=#[]{}<>|*!?&$"
 SYMBOLS = 4 + 26 + len(_SIGNS)
@@ -140,9 +143,54 @@ class Tagger:
         return out, tape
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(time, window, tag)"""
-        both = np.concatenate([self.lstm(x, "f")[0], self.lstm(x, "b")[0]], 2)
-        return both @ self.w["out"] + self.w["bias"]
+        """(time, window, tag) for symbols x (window, time).
+
+        As lstm() and the linear layer, with the gates' sigmoids as one tanh: s(z) = (1 + tanh(z / 2)) / 2.
+        """
+        h_, w, steps = self.hidden, self.w, x.shape[1]
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), h_)
+        x, out = np.ascontiguousarray(x.T), np.empty((steps, len(x), TAGS), np.float32)
+        out[:] = w["bias"]
+        for d, order, part in (("f", range(steps), w["out"][:h_]), ("b", range(steps - 1, -1, -1), w["out"][h_:])):
+            table, inner = ((w[f"{d}x"] + w[f"{d}b"]) * half).astype(np.float32), (w[f"{d}h"] * half).astype(np.float32)
+            h, c = np.zeros((x.shape[1], h_), np.float32), np.zeros((x.shape[1], h_), np.float32)
+            z, more = np.empty((x.shape[1], 4 * h_), np.float32), np.empty((x.shape[1], 4 * h_), np.float32)
+            for t in order:
+                np.take(table, x[t], axis=0, out=z, mode="clip")
+                np.matmul(h, inner, out=more)
+                z += more
+                np.tanh(z, out=z)
+                z[:, : 3 * h_] *= 0.5
+                z[:, : 3 * h_] += 0.5
+                c *= z[:, h_ : 2 * h_]
+                c += z[:, :h_] * z[:, 3 * h_ :]
+                np.tanh(c, out=h)
+                h *= z[:, 2 * h_ : 3 * h_]
+                out[t] += h @ part
+        return out
+
+    def all_plain(self, e: np.ndarray) -> np.ndarray:
+        """Windows whose best path is surely tag 0 throughout.
+
+        Scores of the tags B and I of each kind are kept relative to the path of
+        tag 0 alone. A B may follow any other kind at the best of their steps,
+        and steps back to 0 are the best there are, which can only flatter these
+        paths; if none ever gains on the plain one, it is the best.
+        """
+        step, start = self.w["step"] + self.allowed, self.w["start"] + self.allowed[0]
+        step = step - step[0, 0]
+        opens, goes = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        enter, cross, leave = step[0, opens], step[1:, opens].max(0), float(step[1:, 0].max())
+        first_on, on = step[opens, goes], step[goes, goes]
+        lead = np.ascontiguousarray((e[:, :, 1:] - e[:, :, :1]).transpose(0, 2, 1))
+        b, i = lead[0, ::2] + (start[opens] - start[0])[:, None], lead[0, 1::2] + (start[goes] - start[0])[:, None]
+        plain = np.ones(e.shape[1], bool)
+        for t in range(1, len(e)):
+            most = np.maximum(b, i).max(0)
+            plain &= most + leave < -1e-3
+            i = np.maximum(b + first_on[:, None], i + on[:, None]) + lead[t, 1::2]
+            b = np.maximum(enter[:, None], most + cross[:, None]) + lead[t, ::2]
+        return plain & (np.maximum(b, i).max(0) < -1e-3)
 
     def sums(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward and backward log-sums of the CRF, and its log-partition."""
@@ -156,22 +204,32 @@ class Tagger:
         return a, b, lse(a[-1], 1)
 
     def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(best tags, their marginals), each (time, window)."""
-        step = self.w["step"] + self.allowed
-        v, back = e[0] + self.w["start"] + self.allowed[0], []
+        """(best tags, their marginals), each (time, window); windows of tag 0 alone are not summed, and have 1."""
+        step, v = self.w["step"] + self.allowed, (e[0] + self.w["start"] + self.allowed[0]).T
+        rows, back = np.arange(e.shape[1]), np.zeros((len(e), TAGS, e.shape[1]), np.int8)
+        open_to, goes = np.append(0, np.arange(1, TAGS, 2)), np.arange(2, TAGS, 2)  # I follows its own B or I alone
         for t in range(1, len(e)):
-            s = v[:, :, None] + step
-            back.append(s.argmax(1))
-            v = s.max(1) + e[t]
-        tag, rows = v.argmax(1), np.arange(e.shape[1])
+            new = np.empty_like(v)
+            stay, begun = v[goes] + step[goes, goes][:, None], v[goes - 1] + step[goes - 1, goes][:, None]
+            new[goes], back[t, goes] = np.maximum(stay, begun), np.where(begun > stay, goes[:, None] - 1, goes[:, None])
+            best, from_ = v[0] + step[0, open_to][:, None], np.zeros((len(open_to), e.shape[1]), np.int8)
+            for k in range(1, TAGS):
+                other = v[k] + step[k, open_to][:, None]
+                np.copyto(from_, k, where=other > best)
+                np.maximum(best, other, out=best)
+            new[open_to], back[t, open_to] = best, from_
+            v = new + e[t].T
+        tag = v.argmax(0)
         path = [tag]
-        for at in reversed(back):
-            tag = at[rows, tag]
+        for t in range(len(e) - 1, 0, -1):
+            tag = back[t, tag, rows]
             path.append(tag)
-        tags = np.stack(path[::-1])
-        a, b, z = self.sums(e)
-        marginal = np.exp(a + b - z[None, :, None])
-        return tags, np.take_along_axis(marginal, tags[:, :, None], 2)[:, :, 0]
+        tags, sure = np.stack(path[::-1]), np.ones(e.shape[:2], e.dtype)
+        if len(some := np.flatnonzero(tags.any(0))):
+            a, b, z = self.sums(e[:, some])
+            marginal = np.exp(a + b - z[None, :, None])
+            sure[:, some] = np.take_along_axis(marginal, tags[:, some, None], 2)[:, :, 0]
+        return tags, sure
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-likelihood of tags y (window, time) for symbols x."""
@@ -243,9 +301,17 @@ def made_up(n: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
         d += next(x for x in "0123456789" if luhn(d + x))
         return pick(d, " ".join(d[i : i + 4] for i in range(0, len(d), 4)), "-".join(d[i : i + 4] for i in range(0, len(d), 4)), ".".join(d[i : i + 4] for i in range(0, len(d), 4)))
 
-    ip = lambda: ".".join(str(r.integers(0, 256)) for _ in range(4))
+    def ip() -> str:
+        a, b, c, d = (str(x) for x in r.integers(0, 256, 4))
+        return pick(f"{a}.{b}.{c}.{d}", f"{a}.{b}.{c}.{d}", f"{a}.{b}.{c}[.]{d}", f"{a}[.]{b}[.]{c}[.]{d}")
+
+    def email() -> str:
+        name, host, end = f"{word()}{pick('.', '', '_')}{pick(word(), digits(2), '')}".strip("._"), f"{word()}{pick('', digits(1))}", pick("com", "org", "net", "co")
+        at, dot = pick(("@", "."), ("@", "."), ("@", "."), (" (at) ", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("[at]", "."), ("(at)", "(dot)"))
+        return f"{name}{at}{host}{dot}{pick(end, f'{word()}{dot}{end}')}"
+
     shapes = {
-        "email": lambda: f"{word()}{pick('.', '', '_')}{pick(word(), digits(2), '')}@{word()}{pick('', digits(1))}.{pick('com', 'org', 'example.net')}",
+        "email": email,
         "ip": ip,
         "card": card,
         "phone": lambda: pick(f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(4)} {digits(3)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"),
@@ -253,6 +319,7 @@ def made_up(n: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
     none = [
         lambda: f"{digits(1)}.{digits(1)}", lambda: digits(int(r.integers(1, 9))), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f'"{"".join(pick(*"0123456789abcdef") for _ in range(32))}"',
         lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(3)}.{digits(3)}.{digits(3)}.999", lambda: f"@{word()}", lambda: f"{digits(2)}, {digits(3)}", lambda: f"{digits(1)}.{digits(1)}.{digits(1)}",
+        lambda: f"{word()} at {word()}", lambda: f"{word()} ({word()})", lambda: f"[{digits(2)}]",
     ]
     out = []
     for _ in range(n):
@@ -270,45 +337,52 @@ def made_up(n: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
     return out
 
 
-def window_starts(text: str, most: int) -> list[int]:
-    """Where the windows with a digit or @ begin; of more than `most`, those with the least hashes of text and place, wherever they lie."""
-    starts = sorted({max(0, m.start() - WIDTH // 2) // STRIDE * STRIDE for m in TRIGGER.finditer(text)})
-    if len(starts) <= most:
-        return starts
-    seed = u64(zlib.crc32(text.encode("utf-8", "surrogatepass")) << 32)
-    return sorted(starts[i] for i in np.argsort(mix(np.array(starts, np.uint64) ^ seed), kind="stable")[:most])
+def window_starts(text: str, most: int, step: int = WIDTH // 2) -> list[int]:
+    """Where the training windows of a text begin, the first ones before it: all that hold a digit or @, at most `most`, and a quarter of `most` others.
+
+    Of more, those with the least hashes of text and place go, wherever they lie.
+    """
+    holds = {max(0, m.start() + MARGIN - WIDTH // 2) // step for m in TRIGGER.finditer(text)}
+    seed, out = u64(zlib.crc32(text.encode("utf-8", "surrogatepass")) << 32), []
+    for some, n in ((sorted(holds), most), (sorted({*range(max(1, len(text) // step))} - holds), most // 4)):
+        out += [some[i] for i in np.argsort(mix(np.array(some, np.uint64) ^ seed), kind="stable")[:n]]
+    return [k * step - MARGIN for k in sorted(out)]
 
 
 def windows_of(examples: Sequence[tuple[str, list[Span]]], max_windows: int = 8) -> tuple[np.ndarray, np.ndarray]:
     table, x, y = symbol_table(), [], []
     for text, spans in examples:
-        s, t = symbols(text, table), tags_of(spans, len(text))
+        s, t = (np.pad(v, (MARGIN, WIDTH)) for v in (symbols(text, table), tags_of(spans, len(text))))
         for at in window_starts(text, max_windows):
-            a, b = s[at : at + WIDTH], t[at : at + WIDTH].copy()
+            a, b = s[at + MARGIN :][:WIDTH], t[at + MARGIN :][:WIDTH].copy()
             for k in range(len(KINDS)):  # a span that began before the window begins with it
-                if len(b) and b[0] == 2 + 2 * k:
+                if b[0] == 2 + 2 * k:
                     b[0] -= 1
-            x.append(np.pad(a, (0, WIDTH - len(a))))
-            y.append(np.pad(b, (0, WIDTH - len(b))))
+            x.append(a)
+            y.append(b)
     return (np.stack(x), np.stack(y)) if x else (np.zeros((0, WIDTH), np.int64), np.zeros((0, WIDTH), np.int64))
 
 
 def fit(docs: DataFrame, max_documents: int = 400, made: int = 1500, max_windows: int = 8, **options) -> Tagger:
-    """Train on the pattern spans of at most max_documents texts with digits or @, first by a hash, and on seeded examples.
+    """Train on the pattern spans of at most max_documents different texts with digits or @, first by a hash, and on seeded examples.
 
-    A text gives at most max_windows windows of WIDTH characters, chosen by a hash over the whole of it.
+    A text gives at most max_windows windows of WIDTH characters with a digit or
+    @ and a quarter of that without, chosen by a hash over the whole of it.
+    Equal windows count once, before they come to the driver: repeated rows add
+    nothing, whatever their number.
     """
-    some = docs.where("doc_id is not null").where(F.col("text").rlike("[0-9@]")).select("doc_id", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(max_documents)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some.withColumnRenamed("doc_id", "d")), (F.col("doc_id") == F.col("d")) & (F.xxhash64("doc_id", "text") == F.col("h")))
+    h = F.struct(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("i"))
+    some = docs.where(F.col("text").rlike("[0-9@]")).select(h.alias("h")).distinct().orderBy("h").limit(max_documents)
+    rows = docs.select("text").join(F.broadcast(some), h == F.col("h")).select("text")  # two numbers a row, max_documents at most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = windows_of([(t, base_spans(t)) for t in batch.column("text").to_pylist()], max_windows)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.int64())), pa.array(list(y), pa.list_(pa.int64()))], names=["x", "y"])
 
-    got = rows.mapInArrow(cut, "x array<long>, y array<long>").toArrow()
+    got = rows.mapInArrow(cut, "x array<long>, y array<long>").distinct().toArrow()
     pairs = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True))
-    x, y = windows_of(made_up(made))
+    x, y = windows_of(made_up(made), WIDTH)
     if pairs:
         x, y = np.concatenate([x, np.array([p[0] for p in pairs])]), np.concatenate([y, np.array([p[1] for p in pairs])])
     return Tagger(**options).train(x, y)
@@ -317,78 +391,103 @@ def fit(docs: DataFrame, max_documents: int = 400, made: int = 1500, max_windows
 # ---- search --------------------------------------------------------------
 
 
+#: Ways to write @ and . that readers undo: in brackets, or as words between blanks.
+_AT, _DOT = re.compile(r" ?[\[(](?:at|AT|@)[\])] ?| (?:at|AT) "), re.compile(r" ?[\[(](?:dot|DOT|\.)[\])] ?| (?:dot|DOT) ")
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z][A-Za-z0-9-]*")
+#: Characters of the longest span that any kind allows: an address of 254 with every dot spelled out.
+LONGEST = 640
+
+
+def plain(found: str) -> str:
+    """A span as it is meant: name (at) host [dot] org is name@host.org, 10.0.0[.]1 is 10.0.0.1."""
+    return _DOT.sub(".", _AT.sub("@", found))
+
+
 def plausible(kind: str, found: str) -> bool:
-    """What a tagged span must look like beside the tagger's word for it."""
+    """What a tagged span must be beside the tagger's word for it: its kind in a plain, separated or spelled-out form."""
+    if len(found) > LONGEST:
+        return False
     if kind == "email":
-        local, _, domain = found.partition("@")
-        return len(local) > 0 and "." in domain.strip(".") and not re.search(r"[\s,;:]", found)
-    if kind == "phone" and (re.search(r"[^0-9 ().+-]", found) or not re.search(r"[ ()-]", found)):
+        return bool(ADDRESS.fullmatch(plain(found)))
+    if kind == "ip":
+        return bool(IP.fullmatch(plain(found))) and valid("ip", plain(found))
+    if kind == "phone" and (re.search(r"[^0-9 ()./+-]", found) or not re.search(r"[ ()./-]", found.strip())):
         return False
-    return valid(kind, found) if kind != "ip" else bool(IP.fullmatch(found)) and valid("ip", found)
+    return found[0] in "+(0123456789" and found[-1] in "0123456789" and valid(kind, found)
+
 
+def stream_of(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols of all texts with blank stretches between, windows' starts in them, each window's text, its place there)."""
+    table = symbol_table().astype(np.int8)
+    n = np.array([len(t) for t in texts], np.int64)
+    at = np.concatenate([[0], np.cumsum(n + SEARCH_WIDTH)]) + MARGIN
+    out = np.zeros(int(at[-1]) + SEARCH_WIDTH, np.int8)
+    for k, text in enumerate(texts):
+        out[at[k] : at[k] + n[k]] = symbols(text, table)
+    windows = -(-n // STRIDE)
+    owner = np.repeat(np.arange(len(texts)), windows)
+    place = (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE
+    return out, at[owner] + place - MARGIN, owner, place
 
-def tagged(texts: Sequence[str], model: Tagger, least: float, chunk: int = 2048) -> list[list[tuple[float, Span]]]:
+
+def tagged(texts: Sequence[str], model: Tagger, least: float, chunk: int = 1024) -> list[list[tuple[float, Span]]]:
     """Spans of each text with their scores, the least marginal of their tags.
 
-    Windows overlap by half and cover all characters; those without a digit or
-    @ hold no span and are not run. A span counts where a window holds it away
-    from its edges, unless these are the text's own.
+    Windows overlap and cover every text from end to end; all are decoded. Each
+    character takes its tag from the window in whose middle it lies, so a span
+    may be of any length and lie anywhere: it goes on into the next window's
+    middle while that has the same kind there.
     """
-    table, out = symbol_table(), [[] for _ in texts]
-    where: list[tuple[int, int]] = []
-    held: list[np.ndarray] = []
-
-    def flush() -> None:
-        if not held:
-            return
-        x = np.stack(held)
-        tags, sure = model.decode(model.emissions(x))
-        for j in np.flatnonzero((tags > 0).any(0)):
-            d, at = where[j]
-            n, end = len(texts[d]), min(WIDTH, len(texts[d]) - at)
-            t, i = tags[:, j], 0
-            while i < end:
-                if t[i] % 2 == 1:
-                    k = i + 1
-                    while k < end and t[k] == t[i] + 1:
-                        k += 1
-                    if (i > 0 or at == 0) and (k < end or at + end == n):
-                        out[d].append((float(sure[i:k, j].min()), (KINDS[(t[i] - 1) // 2], at + i, at + k)))
-                    i = k
-                else:
-                    i += 1
-        where.clear()
-        held.clear()
-
-    for d, text in enumerate(texts):
-        grid = sorted({g for m in TRIGGER.finditer(text) for g in (m.start() // STRIDE, m.start() // STRIDE - 1) if g >= 0})
-        if not grid:
+    stream, start, owner, place = stream_of(texts)
+    found = []
+    for lo in range(0, len(start), chunk):
+        x = stream[start[lo : lo + chunk, None] + np.arange(SEARCH_WIDTH)]
+        e = model.emissions(x)
+        some = np.flatnonzero(~model.all_plain(e))
+        if not len(some):
             continue
-        s = symbols(text, table)
-        for g in grid:
-            a = s[g * STRIDE : g * STRIDE + WIDTH]
-            held.append(np.pad(a, (0, WIDTH - len(a))))
-            where.append((d, g * STRIDE))
-            if len(held) == chunk:
-                flush()
-    flush()
-    return [[x for x in spans if x[0] >= least] for spans in out]
-
-
-def all_spans(texts: Sequence[str], model: Tagger, least: float = 0.9) -> list[tuple[list[Span], list[Span]]]:
+        tags, sure = model.decode(e[:, some])
+        tags, sure = tags[MARGIN : MARGIN + STRIDE].T, sure[MARGIN : MARGIN + STRIDE].T
+        w, t = np.nonzero(tags)
+        found.append((owner[lo + some[w]], place[lo + some[w]] + t, t == 0, tags[w, t], sure[w, t]))
+    out: list[list[tuple[float, Span]]] = [[] for _ in texts]
+    if not found:
+        return out
+    doc, pos, opens, tag, sure = (np.concatenate(v) for v in zip(*found, strict=True))
+    inside = pos < np.array([len(t) for t in texts])[doc]
+    doc, pos, opens, tag, sure = (v[inside] for v in (doc, pos, opens, tag, sure))
+    if not len(doc):
+        return out
+    kind = (tag - 1) // 2
+    goes_on = (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1) & (kind[1:] == kind[:-1]) & ((tag[1:] % 2 == 0) | opens[1:])
+    first = np.flatnonzero(np.append(True, ~goes_on))
+    last = np.append(first[1:], len(doc)) - 1
+    score = np.minimum.reduceat(sure, first)
+    for a, b, s in zip(first, last, score, strict=True):
+        if s >= least:
+            out[doc[a]].append((float(s), (KINDS[kind[a]], int(pos[a]), int(pos[b]) + 1)))
+    return out
+
+
+def all_spans(texts: Sequence[str], model: Tagger, least: float = 0.5) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text.
 
     Base spans stay. Tagged spans of all windows are reconciled over the whole
     text: surest first, the longer of equals, each unless it overlaps one that
-    is kept.
+    is kept. Characters in use are marked, so time grows with the spans' length.
     """
     base = [base_spans(t) for t in texts]
     out = []
     for text, own, more in zip(texts, base, tagged(texts, model, least), strict=True):
         kept = list(own)
-        for _, (kind, a, b) in sorted(set(more), key=lambda x: (-x[0], x[1][1] - x[1][2], x[1])):
-            if all(b <= s or e <= a for _, s, e in kept) and plausible(kind, text[a:b]):
-                kept.append((kind, a, b))
+        if more:
+            used = np.zeros(len(text), bool)
+            for _, a, b in own:
+                used[a:b] = True
+            for _, (kind, a, b) in sorted(set(more), key=lambda x: (-x[0], x[1][1] - x[1][2], x[1])):
+                if not used[a:b].any() and plausible(kind, text[a:b]):
+                    used[a:b] = True
+                    kept.append((kind, a, b))
         out.append((own, in_order(kept)))
     return out
 
@@ -406,7 +505,7 @@ def redact(text: str, spans: Sequence[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_pii(docs: DataFrame, model: Tagger, keep: Sequence[str] = ("doc_id",), least: float = 0.9) -> DataFrame:
+def find_pii(docs: DataFrame, model: Tagger, keep: Sequence[str] = ("doc_id",), least: float = 0.5) -> DataFrame:
     """The columns of `keep` with FOUND: pattern spans, all spans (code points, end exclusive), and the text with placeholders.
 
     A null text is empty and stays null in `redacted`. Rows with one id are
@@ -435,5 +534,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(docs, fit(docs))
     form = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
-    added = (F.size("spans") - F.size("base")).cast("bigint").alias("n_added")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(form("base"), 256).alias("base_sha256"), form("spans").alias("spans"), added)
+    n, added = F.size("spans").cast("bigint").alias("n_spans"), (F.size("spans") - F.size("base")).cast("bigint").alias("n_added")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(form("base"), 256).alias("base_sha256"), form("spans").alias("spans"), n, added)
