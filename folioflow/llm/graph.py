@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialize
+from folioflow.llm.common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,12 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels, F.col("dst") == F.col("v")).groupBy("src").agg(F.min("component").alias("near"))
         passed = labels.join(near, F.col("v") == F.col("src")).select("v", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("changed"))
         passed = materialize(passed, "labels")
+        discard(labels)
         if passed.where("changed").isEmpty():
-            return passed.drop("changed")
+            discard(both)
+            out = passed.drop("changed")
+            out.scratch = passed.scratch
+            return out
         roots = passed.select(F.col("v").alias("root"), F.col("component").alias("further"))
         labels = materialize(passed.join(roots, F.col("component") == F.col("root"), "left").select("v", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        discard(passed)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bound_batches, materialize, mix, shingle_values, u64, words
+from folioflow.llm.common import bound_batches, discard, materialize, mix, shingle_values, u64, words
 from folioflow.llm.graph import components
 
 FIRST_DEPTH = 2
@@ -46,7 +46,7 @@ def chosen_paths(values: np.ndarray, first: np.ndarray, trees: int, depth: int)
 
 
 def signatures(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, paths): the set's size, its 128-bit name, its nodes."""
+    """(doc_id, text_key, n_shingles, set_a, set_b, paths): the set's size, its 128-bit name, its nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,37 +63,41 @@ def signatures(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
                 for i, p in zip(full, chosen_paths(flat, at, trees, depth), strict=True):
                     paths[i] = p
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(paths, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "paths"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(paths, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "paths"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, paths array<long>")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_a long, set_b long, paths array<long>")
 
 
-def leaves(classes: DataFrame, trees: int, depth: int, node_limit: int) -> DataFrame:
+def leaves(classes: DataFrame, trees: int, depth: int, node_limit: int, shingle_limit: int) -> DataFrame:
     """(rep, tree, cell, chunk, chunks, pivot): each set's leaf in each tree, where it is not alone.
 
-    A node of at most node_limit sets is a leaf, larger ones branch on; the last
-    depth is a leaf at any size, and is cut into chunks of about node_limit by a
-    hash. Only members of larger nodes go on. pivot is the leaf's smallest rep.
+    A node of at most node_limit sets and shingle_limit shingles is a leaf,
+    larger ones branch on; the last depth is a leaf at any size, and is cut by a
+    hash into chunks of about these limits. Only members of larger nodes go on.
+    pivot is the leaf's smallest rep.
     """
     per = depth - FIRST_DEPTH + 1
     tree = F.sequence(F.lit(0), F.lit(trees - 1))
-    rows = classes.select("rep", F.explode(F.transform(tree, lambda t: F.struct(t.alias("tree"), F.slice(F.col("paths"), t * per + 1, per).alias("rest")))).alias("p")).select("rep", "p.tree", "p.rest")
-    out = None
+    rows = classes.select("rep", "n_shingles", F.explode(F.transform(tree, lambda t: F.struct(t.alias("tree"), F.slice(F.col("paths"), t * per + 1, per).alias("rest")))).alias("p")).select("rep", "n_shingles", "p.tree", "p.rest")
+    out, spent = None, []
     for level in range(per):
-        here = rows.select("rep", "tree", F.col("rest")[0].alias("cell"), F.slice("rest", 2, per).alias("rest"))
-        nodes = here.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("pivot")).where("members > 1")
-        nodes = materialize(nodes.withColumnRenamed("cell", "name"), "nodes")
+        here = rows.select("rep", "n_shingles", "tree", F.col("rest")[0].alias("cell"), F.slice("rest", 2, per).alias("rest"))
+        parts = F.ceil(F.greatest(F.count(F.lit(1)) / node_limit, F.sum("n_shingles") / shingle_limit)).cast("int").alias("chunks")
+        nodes = here.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("pivot"), parts).where("members > 1")
+        nodes = materialize(nodes.withColumnRenamed("cell", "name").drop("members"), "nodes")
         met = materialize(here.join(nodes, F.col("cell") == F.col("name")).drop("name"), "members")
-        ends = F.col("members") <= node_limit if level < per - 1 else F.lit(True)
-        chunks = F.ceil(F.col("members") / node_limit).cast("int")
-        leaf = met.where(ends).select("rep", "tree", "cell", F.pmod(F.xxhash64("rep", "cell"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"), "pivot")
+        spent += [nodes, met]
+        ends = F.col("chunks") == 1 if level < per - 1 else F.lit(True)
+        leaf = met.where(ends).select("rep", "tree", "cell", F.pmod(F.xxhash64("rep", "cell"), "chunks").cast("int").alias("chunk"), "chunks", "pivot")
         out = leaf if out is None else out.union(leaf)
-        rows = met.where(~ends).select("rep", "tree", "rest")
+        rows = met.where(~ends).select("rep", "n_shingles", "tree", "rest")
         if level < per - 1 and rows.isEmpty():
             break
-    return materialize(out, "leaves")
+    out = materialize(out, "leaves")
+    discard(*spent)
+    return out
 
 
 def join_up(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> np.ndarray:
@@ -169,30 +173,35 @@ def linked(rows: DataFrame, size: int, percent: int, both_sides: bool = False) -
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def still_mixed(leaf: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of leaves where several components meet, with `label`."""
+def still_mixed(leaf: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, list[DataFrame]]:
+    """(members of leaves where several components meet, with `label`; the tables behind them)."""
     if labels is None:
-        return leaf.withColumn("label", F.col("rep"))
+        return leaf.withColumn("label", F.col("rep")), []
     named = materialize(leaf.join(labels, F.col("rep") == F.col("v"), "left").drop("v").withColumn("label", F.coalesce("component", "rep")).drop("component"), "labelled")
     mixed = materialize(named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cell"), "mixed")
-    return named.join(mixed, "cell", "left_semi")
+    return named.join(mixed, "cell", "left_semi"), [named, mixed]
 
 
-def rest_of_large(leaf: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+def rest_of_large(leaf: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame | None, list[DataFrame]]:
     """Links that chunks may have missed: in leaves of several chunks where components still meet, all sets outside the largest component against all sets, chunk by chunk."""
-    large = materialize(still_mixed(leaf.where("chunks > 1"), labels), "large")
+    rows, spent = still_mixed(leaf.where("chunks > 1"), labels)
+    large = materialize(rows, "large")
     if large.isEmpty():
-        return None
+        return None, [*spent, large]
     top = large.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.max(F.struct("n", "label")).alias("top")).select("cell", F.col("top.label").alias("top"))
     marked = materialize(large.join(top, "cell").withColumn("few", F.col("label") != F.col("top")), "marked")
     some = marked.where("few").select("cell", F.col("chunk").alias("from")).distinct()
     each = F.sequence(F.lit(0), F.col("chunks") - 1)
     left = marked.where("few").withColumn("to", F.explode(each)).select(F.xxhash64("cell", "chunk", "to").alias("cell"), "rep", F.lit(0).alias("side"))
     right = marked.join(some, "cell").select(F.xxhash64("cell", "from", "chunk").alias("cell"), "rep", F.lit(1).alias("side"))
-    return linked(left.union(right).join(texts, "rep"), size, percent, both_sides=True)
+    return linked(left.union(right).join(texts, "rep"), size, percent, both_sides=True), [*spent, large, marked]
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: int | None = None, depth: int = 4, node_limit: int = 256, missed: float = 1e-5) -> DataFrame:
+def links_of(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("v").alias("a"), F.col("component").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: int | None = None, depth: int = 4, node_limit: int = 128, shingle_limit: int = 2_000_000, missed: float = 1e-5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Words are lower-cased (A-Z); a set holds the distinct shingles of `size`
@@ -209,41 +218,60 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: in
     meet in one task; a leaf gives links that span its components, not pairs.
     Trees run in three rounds, and a later round leaves out leaves whose sets
     are all in one component by then, as more links there change nothing. A leaf
-    that is large even at the last depth is compared in chunks, each with the
-    leaf's smallest set; what then is still apart in it is compared with all of
-    it, chunk by chunk. So nothing is capped, and a task holds two chunks.
+    that is large even at the last depth, by its sets or by their shingles, is
+    compared in chunks, each with the leaf's smallest set; what then is still
+    apart in it is compared with all of it, chunk by chunk. So nothing is
+    capped, and a task holds two chunks: 256 sets or 4 million shingles, or two
+    single sets beyond that.
 
     Null and empty texts, and null ids, link with nothing: n_shingles 0, or the
     null id as component_id, and kept. Rows with one doc_id count as one
-    document. Other columns are not read. An empty table gives no rows.
+    document: the sets of all its texts are linked, and all its rows with words
+    have one component. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     trees = tree_count(percent, depth, missed) if trees is None else trees
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     signed = materialize(signatures(docs, size, trees, depth), "signatures")
-    named = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "paths")).alias("least"))
-    classes = materialize(named.select("set_a", "set_b", F.col("least.doc_id").alias("rep"), F.col("least.paths").alias("paths")), "classes")
-    leaf = leaves(classes, trees, depth, node_limit)
-    asked = leaf.select("rep").distinct()
-    texts = materialize(docs.join(asked, F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.max("text").alias("text")), "texts")
-
-    labels, links = None, None
+    own = signed.where("n_shingles > 0 and doc_id is not null")
+    least = F.min(F.struct("doc_id", "text_key", "n_shingles", "paths")).alias("least")
+    named = own.groupBy("set_a", "set_b").agg(least).select("set_a", "set_b", "least.*", F.monotonically_increasing_id().alias("rep"))
+    classes = materialize(named, "classes")  # written once, so that the numbers stand
+    leaf = leaves(classes, trees, depth, node_limit, shingle_limit)
+    asked = leaf.select("rep").distinct().join(classes.select("rep", F.col("doc_id").alias("d"), F.col("text_key").alias("t")), "rep")
+    texts = materialize(docs.join(asked, (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("t"))).groupBy("rep").agg(F.max("text").alias("text")), "texts")
+
+    several = own.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b")).alias("x"), F.max(F.struct("set_a", "set_b")).alias("y")).where("x < y").select(F.col("doc_id").alias("d"))
+    several = own.join(several, F.col("doc_id") == F.col("d")).select(F.col("doc_id").alias("one"), "set_a", "set_b").distinct().join(classes.select("rep", "set_a", "set_b"), ["set_a", "set_b"])
+    several = materialize(several.select("one", "rep"), "one-document")
+    links = several.join(several.groupBy(F.col("one").alias("same")).agg(F.min("rep").alias("a")), F.col("one") == F.col("same")).where("a < rep").select("a", F.col("rep").alias("b"))
+
+    labels = None
     for lo, hi in ((0, 1), (1, 4), (4, trees)):
-        rows = still_mixed(leaf.where(F.col("tree").between(lo, hi - 1)), labels)
+        rows, spent = still_mixed(leaf.where(F.col("tree").between(lo, hi - 1)), labels)
         cells = rows.select(F.xxhash64("cell", "chunk").alias("cell"), "rep")
         pivots = rows.where("chunks > 1").select(F.xxhash64("cell", "chunk").alias("cell"), F.col("pivot").alias("rep"))
         found = linked(cells.union(pivots).distinct().join(texts, "rep"), size, percent)
-        links = materialize(found if links is None else labels.select(F.col("v").alias("a"), F.col("component").alias("b")).union(found), "found")
-        labels = components(links)
-    if (more := rest_of_large(leaf, labels, texts, size, percent)) is not None:
-        labels = components(materialize(labels.select(F.col("v").alias("a"), F.col("component").alias("b")).union(more), "found"))
-
-    final = classes.join(labels, F.col("rep") == F.col("v"), "left").select(F.col("set_a").alias("x"), F.col("set_b").alias("y"), F.coalesce("component", "rep").alias("component"))
-    final = materialize(final, "components")
-    own = F.col("n_shingles") > 0
-    out = signed.drop("paths").join(final, own & (F.col("set_a") == F.col("x")) & (F.col("set_b") == F.col("y")), "left")
-    component = F.when(F.col("doc_id").isNotNull() & own, F.col("component")).otherwise(F.col("doc_id"))
+        found = materialize((links if labels is None else links_of(labels)).union(found), "found")
+        discard(*spent, labels)
+        labels = components(found)
+        discard(found)
+    more, spent = rest_of_large(leaf, labels, texts, size, percent)
+    if more is not None:
+        found, old = materialize(links_of(labels).union(more), "found"), labels
+        labels = components(found)
+        discard(found, old)
+    discard(*spent, leaf, texts, several)
+
+    members = classes.join(labels, F.col("rep") == F.col("v"), "left").select(F.col("set_a").alias("x"), F.col("set_b").alias("y"), F.coalesce("component", "rep").alias("part"), F.col("doc_id").alias("d"))
+    members = materialize(members, "classes")
+    smallest = members.groupBy(F.col("part").alias("p")).agg(F.min("d").alias("component"))
+    final = materialize(members.join(smallest, F.col("part") == F.col("p")).select("x", "y", "component"), "components")
+    discard(labels, classes, members)
+    has = F.col("n_shingles") > 0
+    out = signed.drop("paths", "text_key").join(final, has & (F.col("set_a") == F.col("x")) & (F.col("set_b") == F.col("y")), "left")
+    component = F.when(F.col("doc_id").isNotNull() & has, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -47,7 +47,7 @@ def copies(r, n_words, n, edits):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"node_limit": 4, "depth": 3}, {"node_limit": 2, "depth": 2}])
+@pytest.mark.parametrize("options", [{}, {"node_limit": 4, "depth": 3}, {"node_limit": 2, "depth": 2}, {"shingle_limit": 300, "depth": 3}])
 def test_components_equal_brute_force(documents, options):
     r = random.Random(5)
     texts = [t for n, e in ((120, 1), (200, 2), (90, 1), (150, 3)) for t in copies(r, n, 14, e)]
@@ -60,6 +60,25 @@ def test_components_equal_brute_force(documents, options):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
+def test_documents_of_several_texts(documents):
+    """Rows with one doc_id are one document, whichever of its texts a link comes from; repeated rows add nothing."""
+    r = random.Random(8)
+    a, b, c, d = ([f"{x}{r.randrange(400)}" for _ in range(60)] for x in "abcd")
+    rows = [(1, a), (1, b), (2, [*a, "more"]), (3, [*b, "more"]), (4, [*c, "x"]), (5, c), (9, c), (9, d), (8, [*d, "y"]), (1, a), (7, d[:30]), (6, [])]
+    got = nd.near_duplicates(documents([" ".join(t) for _, t in rows], [i for i, _ in rows]), percent=85).collect()
+    assert {(x["doc_id"], x["component_id"]) for x in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (9, 4), (8, 4), (7, 7), (6, 6)} and len(got) == len(rows)
+    assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
+
+
+def test_very_long_texts(documents):
+    """Sets far beyond the shingle limit meet two at a time."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    texts = [" ".join(base[:cut] + [f"x{k}"] + base[cut:]) for k, cut in enumerate((5, 30_000, 59_000, 100))] + [" ".join(base[:20_000])]
+    got = nd.near_duplicates(documents(texts), percent=85, shingle_limit=50_000).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+
+
 @pytest.mark.parametrize("percent,shared", [(80, 8), (85, 34)])
 def test_pairs_at_the_threshold_meet_in_a_tree(documents, monkeypatch, percent, shared):
     """With the default trees and depth, isolated pairs of just the asked similarity meet at the last depth."""
