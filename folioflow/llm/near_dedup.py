@@ -201,7 +201,7 @@ def links_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("v").alias("a"), F.col("component").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: int | None = None, depth: int = 4, node_limit: int = 128, shingle_limit: int = 2_000_000, missed: float = 1e-5) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: int | None = None, depth: int = 4, node_limit: int = 256, shingle_limit: int = 2_000_000, missed: float = 1e-5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Words are lower-cased (A-Z); a set holds the distinct shingles of `size`
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: in
     that is large even at the last depth, by its sets or by their shingles, is
     compared in chunks, each with the leaf's smallest set; what then is still
     apart in it is compared with all of it, chunk by chunk. So nothing is
-    capped, and a task holds two chunks: 256 sets or 4 million shingles, or two
+    capped, and a task holds two chunks: 512 sets or 4 million shingles, or two
     single sets beyond that.
 
     Null and empty texts, and null ids, link with nothing: n_shingles 0, or the
