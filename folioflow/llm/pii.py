@@ -75,7 +75,7 @@ def digest_form(spans: Sequence[Span]) -> str:
 # ---- the tagger ----------------------------------------------------------
 
 #: Windows of training and of search. A search window decides its middle STRIDE characters; those beside them, MARGIN on either side, are context.
-WIDTH, SEARCH_WIDTH, MARGIN = 64, 128, 16
+WIDTH, SEARCH_WIDTH, MARGIN = 64, 256, 16
 STRIDE = SEARCH_WIDTH - 2 * MARGIN
 TAGS = 1 + 2 * len(KINDS)
 _SIGNS = "@.+-()_% \n,:;/\"'=#[]{}<>|*!?&$"
@@ -430,13 +430,15 @@ def stream_of(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return out, at[owner] + place - MARGIN, owner, place
 
 
-def tagged(texts: Sequence[str], model: Tagger, least: float, chunk: int = 1024) -> list[list[tuple[float, Span]]]:
+def tagged(texts: Sequence[str], model: Tagger, least: float, chunk: int = 512) -> list[list[tuple[float, Span]]]:
     """Spans of each text with their scores, the least marginal of their tags.
 
     Windows overlap and cover every text from end to end; all are decoded. Each
     character takes its tag from the window in whose middle it lies, so a span
     may be of any length and lie anywhere: it goes on into the next window's
-    middle while that has the same kind there.
+    middle while that has the same kind there. A chunk of windows is small
+    enough that its matrix products run on one thread: a second one would only
+    wait, and count as time.
     """
     stream, start, owner, place = stream_of(texts)
     found = []
