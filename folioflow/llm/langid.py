@@ -79,33 +79,48 @@ class Mixtures:
         gradient at the current ones bounds what it can gain, so that most
         texts are settled without a round of EM. Components are tried by falling
         bound; one that gains less than the fee is passed over until the set
-        grows, and the search ends when no bound left exceeds the fee.
+        grows, and when no bound left exceeds the fee, components that later ones
+        made needless go again: those whose loss is below the fee, the least
+        first. (In a set of two neither can be: the first was the best alone.)
         """
         n = np.bincount(buckets, minlength=BUCKETS)
         at = np.flatnonzero(n)
         c, p = n[at].astype(float), self.p[at].astype(float)
-        total = c.sum()
-        fee = self.penalty * 0.5 * np.log(total + 1)
+        fee = self.penalty * 0.5 * np.log(c.sum() + 1)
         single = c @ np.log(p)
         chosen = [int(np.argmax(single[:-1]))]
         theta, best = np.ones(1), single[chosen[0]]
         gain = self.bounds(c, p, chosen, theta)
         while gain[new := int(np.argmax(gain))] > fee:
             trial = [*chosen, new]
-            q, w = p[:, trial], np.append(theta * 0.8, 0.2)
-            for _ in range(self.rounds):
-                step = w * (q.T @ (c / (q @ w))) / total
-                moved, w = np.abs(step - w).max(), step
-                if moved < 1e-4:
-                    break
-            likelihood = c @ np.log(q @ w)
+            w, likelihood = self.settle(c, p[:, trial], np.append(theta * 0.8, 0.2))
             if likelihood - best <= fee:
                 gain[new] = -np.inf
                 continue
             chosen, theta, best = trial, w, likelihood
             gain = self.bounds(c, p, chosen, theta)
+        while len(chosen) > 2:
+            less = []
+            for k in range(len(chosen)):
+                trial = chosen[:k] + chosen[k + 1 :]
+                if any(x < len(self.languages) for x in trial):
+                    less.append((*self.settle(c, p[:, trial], np.delete(theta, k) + 0.01), trial))
+            w, likelihood, trial = max(less, key=lambda x: x[1])
+            if best - likelihood >= fee:
+                break
+            chosen, theta, best = trial, w, likelihood
         return np.array(chosen), theta
 
+    def settle(self, c: np.ndarray, p: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
+        """(proportions of the components p, log-likelihood) by EM from a start."""
+        w, total = start / start.sum(), c.sum()
+        for _ in range(self.rounds):
+            step = w * (p.T @ (c / (p @ w))) / total
+            moved, w = np.abs(step - w).max(), step
+            if moved < 1e-4:
+                break
+        return w, float(c @ np.log(p @ w))
+
 
 def fit(train: DataFrame, max_languages: int = 1000, **options) -> Mixtures:
     """Fit on the texts and labels of all given rows; rows without label or letters teach nothing.
