@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import WORD, Words, bound_batches, mix, runs_of, shingle_values, u64, words
+from folioflow.llm.common import WORD, Words, bound_batches, discard, materialize, mix, runs_of, shingle_values, u64, words
 
 FOUND = "found array<struct<item_id:bigint,n_shared:bigint,n_item:bigint>>"
 
@@ -102,25 +102,32 @@ def permuted(value: np.ndarray, seed: np.uint64) -> np.ndarray:
         return x * factor
 
 
-def left_out(items: DataFrame, least_words: int = 5) -> DataFrame:
+def left_out(items: DataFrame, least_words: int = 1) -> DataFrame:
     """(item_id, text, n_words): the items that find_items doesn't search, as id or text is null or the words are fewer than least_words."""
     n = F.regexp_count("text", F.lit(WORD)).cast("bigint")
     return items.where(F.col("item_id").isNull() | (F.coalesce(n, F.lit(0)) < F.greatest(F.lit(1), F.lit(least_words)))).select("item_id", "text", n.alias("n_words"))
 
 
-def blocks_of(items: DataFrame, size: int, hashes: int, block_shingles: int, least_words: int) -> Iterator[Items]:
-    """The test items in blocks of about block_shingles shingles, dealt by a hash; their sum, counted first, gives the number of blocks."""
+def searchable(items: DataFrame, least_words: int) -> DataFrame:
     known = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
-    known = known.where(F.regexp_count("text", F.lit(WORD)) >= max(1, least_words))
-    total = known.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
-    n = max(1, -(-int(total) // block_shingles))
+    return known.where(F.regexp_count("text", F.lit(WORD)) >= max(1, least_words))
+
+
+def block_count(items: DataFrame, block_shingles: int, least_words: int) -> int:
+    """Blocks of about block_shingles shingles that the items make, by the sum of their words."""
+    total = searchable(items, least_words).agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+    return -(-int(total) // block_shingles)
+
+
+def blocks_of(items: DataFrame, size: int, hashes: int, n: int, least_words: int) -> Iterator[Items]:
+    """The test items in n blocks, dealt by a hash, one at a time."""
     for k in range(n):
-        rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        rows = searchable(items, least_words).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
         if rows.num_rows:
             yield Items(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), size, hashes)
 
 
-def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8, size: int = 5, hashes: int = 40, block_shingles: int = 1_000_000, least_words: int = 5) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8, size: int = 5, hashes: int = 40, block_shingles: int = 1_000_000, least_words: int = 1) -> DataFrame:
     """docs with `found`: the test items whose distinct shingles are contained in the text by `containment` or more.
 
     Words are lower-cased (A-Z). Items are partitioned by size; for a partition
@@ -128,31 +135,50 @@ def find_items(docs: DataFrame, items: DataFrame, containment: float = 0.8, size
     compares sets of like size. An item that a window holds by 0.8 has a Jaccard
     similarity of 0.26 at least with it and is missed by all of 40 hashes with
     a probability of 6e-6. Candidates are confirmed on the exact shingles of the
-    whole text, so parts that lie far apart count together.
-
-    Test items go to the executors in blocks of bounded size, a pass over the
-    documents each; nothing is shuffled. Items of fewer than `least_words` words
-    are not searched, as they prove little; left_out() lists them. With less than
-    `size`, the short ones are found where their whole word sequence occurs, an
-    exact search with n_item 1. Null texts hold nothing; null item_ids are
-    left out; an item_id with several texts is found by any. A column `found` of
-    docs is replaced; all others are passed on.
+    whole text, so parts that lie far apart count together. An item of fewer
+    than `size` words has its whole sequence as its only shingle: it is found
+    where that occurs, by an exact search, with n_item 1. Items of fewer than
+    `least_words` words are left out on request; left_out() lists them.
+
+    Test items go to the executors in blocks of bounded size. One block is a
+    pass over the documents in which nothing is shuffled. Of more, each is a
+    pass of its own that writes what it found, so that the driver and a task
+    hold one block at a time; what all found then joins the documents.
+
+    Null and empty texts hold nothing, repeated rows and very long texts are
+    searched each and whole; null item_ids are left out; an item_id with several
+    texts is found by any. A column `found` of docs is replaced; all others are
+    passed on. An empty table gives no rows, one without items empty lists.
     """
     bound_batches(docs.sparkSession)
-    out = docs.drop("found").withColumn("found", F.array().cast(T.StructType.fromDDL(FOUND)["found"].dataType))
-    for block in blocks_of(items, size, hashes, block_shingles, least_words):
-        out = search(out, block, containment)
-    return out
+    docs = docs.drop("found")
+    none = F.array().cast(T.StructType.fromDDL(FOUND)["found"].dataType)
+    n = block_count(items, block_shingles, least_words)
+    blocks = blocks_of(items, size, hashes, n, least_words)
+    if n <= 1:
+        return next((search(docs, block, containment) for block in blocks), docs.withColumn("found", none))
+    key = [F.xxhash64("text").alias("_found_a"), F.xxhash64(F.lit(1), "text").alias("_found_b")]  # what is found depends on the text alone
+    parts = []
+    for block in blocks:
+        hits = search(docs.select("text", *key), block, containment).drop("text").where(F.size("found") > 0)
+        parts.append(materialize(hits.distinct().select("_found_a", "_found_b", F.explode("found").alias("f")), "items-found"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    every = materialize(every.groupBy("_found_a", "_found_b").agg(F.array_sort(F.collect_list("f")).alias("found")), "items-found")
+    discard(*parts)
+    return docs.select("*", *key).join(every, ["_found_a", "_found_b"], "left").select(*docs.columns, F.coalesce("found", none).alias("found"))
 
 
 def search(docs: DataFrame, block: Items, containment: float) -> DataFrame:
+    """docs with `found` for the items of one block."""
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = words(batch.column("text"), lower=True)
             value, first = shingle_values(w, block.size)
-            found = batch.column("found").to_pylist()
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             wanted: dict[int, list[int]] = {}
             for doc, item in sorted(block.candidates(value, first) | block.short_candidates(w)):
                 wanted.setdefault(doc, []).append(item)
@@ -162,11 +188,10 @@ def search(docs: DataFrame, block: Items, containment: float) -> DataFrame:
                 for i in some:
                     asked = exact_shingles(block.texts[i], int(block.run[i]))
                     if (n := len(own[int(block.run[i])] & asked)) >= containment * len(asked) - 1e-9:
-                        found[doc] = found[doc] + [{"item_id": block.ids[i], "n_shared": n, "n_item": len(asked)}]
-            at = batch.schema.get_field_index("found")
-            yield pa.RecordBatch.from_arrays([pa.array(found, kind) if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
+                        found[doc].append({"item_id": block.ids[i], "n_shared": n, "n_item": len(asked)})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "found"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructType.fromDDL(FOUND)["found"]]))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,9 +203,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 with w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
 v as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from benchmark),
-s as (select distinct doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) as g from w where len(ws) >= 5),
-b as (select distinct item_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) as g from v where len(ws) >= 5),
+k as (select unnest(range(1, 6)) as size),
+s as (select distinct doc_id, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) as g from w, k where len(ws) >= size),
+b as (select distinct item_id, least(5, len(ws)) as size, unnest(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(5, len(ws)) - 1], ' '))) as g from v where len(ws) >= 1),
 n as (select item_id, count(*) as n_item from b group by item_id),
-m as (select doc_id, item_id, count(*) as n_shared from s join b using (g) group by all)
+m as (select doc_id, item_id, count(*) as n_shared from s join b using (size, g) group by all)
 select doc_id, m.item_id, n_shared, n_item, n_shared / n_item as containment from m join n on n.item_id = m.item_id where n_shared >= 0.8 * n_item
 """

@@ -145,9 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options) -
     """Fit on at most max_rows labelled documents, those first by a hash of their id.
 
     Rows with null id, label or text teach nothing; a document labelled twice counts once for each
-    label. The labels' side is cut to the sample before it meets the texts.
+    label, and repeated labels once. The labels' side is cut to the sample before it meets the texts;
+    of several texts with one id the one with the least statistics teaches, so that max_rows bounds
+    what comes to the driver whatever is repeated.
     """
-    chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
+    bound_batches(docs.sparkSession)
+    chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # a row of two numbers each, max_rows at most
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,12 +158,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options) -
             x = statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), *(pa.array(c) for c in x.T)], names=["doc_id", "quality", *FEATURES])
 
-    t = rows.mapInArrow(measure, "doc_id long, quality int, " + ", ".join(f"{x} double" for x in FEATURES)).toPandas().sort_values(["doc_id", "quality", *FEATURES])
+    measured = rows.mapInArrow(measure, "doc_id long, quality int, " + ", ".join(f"{x} double" for x in FEATURES))
+    t = measured.groupBy("doc_id", "quality").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "quality", "x.*").toPandas().sort_values(["doc_id", "quality"])
     return boost(t[list(FEATURES)].to_numpy(), (t["quality"].to_numpy() > 0).astype(float), **options)
 
 
 def score(docs: DataFrame, forest: Forest, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row; null and empty texts are scored by their zero statistics."""
+    """(doc_id, held_out, score, predicted) for each row, from its whole text.
+
+    Null and empty texts are scored by their zero statistics, repeated rows alike, each. held_out is
+    the column of docs if there is one, else false; other columns are not read, whatever their names.
+    An empty table gives no rows.
+    """
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
