@@ -162,7 +162,7 @@ def test_rule_side_may_be_shuffled(spark, sf):
 
 @pytest.mark.parametrize("least", [0, 3])
 def test_archives_round_trip(spark, least):
-    html = ["<p>x</p>", "", None, "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n", "é\u2028\x00\r\n\r\n", "<p>x</p>", "", "ab", "ab", "tail\r\n", "x" * 300_000]
+    html = ["<p>x</p>", "", None, "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n", "é\u2028\x00\r\n\r\n", "<p>x</p>", "", "ab", "ab", "tail\r\n", "x" * 300_000, "y" * 9_000, "z" * 5_000_000, "y" * 9_000]
     rows = [(i, f"http://a/{i}?a=%0A\r\nb" if i % 2 else None, h, "c") for i, h in enumerate(html)]
     got = {r["page_id"]: r for r in warc.archive_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string, record_type string").repartition(3), least).collect()}
     payload = [(h or "").encode() for h in html]
@@ -173,6 +173,47 @@ def test_archives_round_trip(spark, least):
         assert (got[i]["record_type"], got[i]["refers_to"], got[i]["url"]) == ("revisit" if again else "response", first if again else None, rows[i][1])
 
 
+def test_archives_of_repeated_and_null_page_ids(spark):
+    rows = [(7, "u", "a"), (7, "u", "a"), (3, "v", "a"), (7, "w", "b"), (None, "x", "a"), (None, None, None), (2, "http://a/%41", "b"), (2, "http://a/%41", "b")]
+    got = warc.archive_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in got), key=repr) == sorted([
+        (7, "u", "response", None), (7, "u", "response", None), (3, "v", "revisit", 7), (7, "w", "response", None), (None, "x", "response", None), (None, None, "response", None),
+        (2, "http://a/%41", "revisit", 7), (2, "http://a/%41", "revisit", 7),
+    ], key=repr)
+
+
+def test_headers_are_fresh(spark):
+    """Every record has an id and a date of its own archive, and a revisit names the new id of a response with its payload."""
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i % 4}</p>") for i in range(40)], "page_id long, url string, html string").repartition(3)
+    base = warc.scratch_path(spark, "test")
+    first = warc.write_pages(pages, f"{base}/first", "2001-01-01T00:00:00Z")
+    second = warc.deduplicate_archive(spark, first, f"{base}/second", "2002-02-02T00:00:00Z")
+    heads = [[f for row in warc.archive_files(spark, [x for x, _ in folders]).collect() for f, _ in warc.split_records(warc.unpacked(memoryview(bytes(row["content"]))))] for folders in (first, second)]
+    ids = [{f["WARC-Record-ID"] for f in some} for some in heads]
+    assert [len(x) for x in ids] == [40, 40] and not ids[0] & ids[1]
+    assert {f["WARC-Date"] for f in heads[1]} == {"2002-02-02T00:00:00Z"}
+    response = {f["WARC-Record-ID"]: f for f in heads[1] if f["WARC-Type"] == "response"}
+    assert len(response) == 4
+    for f in heads[1]:
+        if f["WARC-Type"] == "revisit":
+            to = response[f["WARC-Refers-To"]]
+            assert to["X-Page-ID"] == f["X-Refers-To-Page"] and to["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and f["Content-Length"] == "0"
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 20])
+def test_records_are_split_in_any_pieces(step):
+    import gzip
+
+    blocks = [b"", b"x" * 50, b"WARC/1.1\r\n\r\n", b"\r\n\r\n" * 3]
+    raw = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(x) + x + b"\r\n\r\n" for x in blocks]
+    packed = gzip.compress(raw[0] + raw[1]) + gzip.compress(raw[2]) + gzip.compress(raw[3])
+    assert [b for _, b in warc.split_records(warc.unpacked(memoryview(packed), step))] == blocks
+    with pytest.raises(ValueError):
+        list(warc.split_records(warc.unpacked(memoryview(packed)[:-9], step)))
+    with pytest.raises(ValueError):
+        list(warc.split_records([raw[1][:-3]]))
+
+
 def test_pipeline_stages(spark, sf, documents):
     import corpus_pipeline as cp
     from test_duplicates import brute
