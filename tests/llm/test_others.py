@@ -113,18 +113,44 @@ def test_mix_comes_near_its_targets(documents):
 
 @pytest.mark.parametrize("shard,block", [(2000, 2000), (7, 3)])
 def test_top_k_equals_brute_force(spark, shard, block):
+    """Every row but the query's own is a candidate: repeated rows and ids count each, equal vectors tie."""
     r = np.random.default_rng(4)
     rows = [(i, [float(v) for v in np.float32(r.normal(size=6))], 1) for i in range(60)] + [(100 + i, [0.5] * 6, 1) for i in range(9)]
-    rows += [(200, None, 1), (201, [1.0, None] + [0.0] * 4, 1), (202, [float("nan")] * 6, 1), (203, [float("inf")] * 6, 1), (None, [1.0] * 6, 1), (204, [1.0, 2.0], 1), (206, [3.0, 1.0], 1), (5, rows[5][1], 1)]
+    rows += [(200, None, 1), (201, [1.0, None] + [0.0] * 4, 1), (202, [float("nan")] * 6, 1), (203, [float("inf")] * 6, 1), (None, [1.0] * 6, 1), (204, [1.0, 2.0], 1), (206, [3.0, 1.0], 1), (207, [], 1)]
+    rows += [(5, rows[5][1], 1), (6, rows[6][1], 1), (6, rows[6][1], 1), (8, [9.0, 0.0, 0.0, 0.0, 0.0, 1.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    got: dict = {}
-    for x in topk.top_k(table, F.col("vec_id") % 2 == 0, shard_rows=shard, query_rows=block).collect():
-        got.setdefault(x["query_id"], {})[x["rank"]] = (x["vec_id"], x["score"])
-    good = {i: np.floor(256 * np.float32(v).astype(float)).astype(int) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()}
-    for q in [i for i in good if i % 2 == 0]:
-        best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
-        assert got.pop(q, {}) == {k + 1: (i, -s) for k, (s, i) in enumerate(best)}
-    assert not got
+    told: dict = {}
+    got = [tuple(x) for x in topk.top_k(table, F.col("vec_id") % 2 == 0, shard_rows=shard, query_rows=block, told=told).collect()]
+    good = [(i, np.floor(256 * np.float32(v).astype(float)).astype(int)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    want = []
+    for n, (i, q) in enumerate(good):
+        if i % 2 == 0:
+            best = sorted((-int(q @ v), j) for m, (j, v) in enumerate(good) if m != n and len(v) == len(q))[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(got) == sorted(want)
+    assert told["first"] + told["rest"] <= told["queries"] * (told["shards"] - 1)
+
+
+def test_shards_that_lie_apart_are_not_searched(spark):
+    """Clusters far from each other: boxes rule out almost all pairs of a query and a shard."""
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.eye(8)[0] * 20 * (i % 8 + 1) + r.normal(size=8) * 0.1]) for i in range(640)]
+    told: dict = {}
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, shard_rows=80, told=told).collect()
+    assert len(got) == 64 * 5 and all(x["vec_id"] % 8 == 7 for x in got)
+    assert told["shards"] >= 8 and told["first"] + told["rest"] < 0.2 * told["queries"] * (told["shards"] - 1)
+
+
+def test_products_beyond_64_bits(spark):
+    wide = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**40, -2.0**40]), (2, [-(2.0**52), 0.0]), (3, [0.25, 2.0**30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(wide, F.col("vec_id") == 0).collect()
+    rows = [(0, [2.0**40, -(2.0**40), 3.0]), (1, [2.0**40 + 1, 2.0**40, 1.0]), (2, [2.0**40, 2.0**40, 2.0]), (3, [1.0, 1.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    whole = [(i, [int(x * 256) for x in v]) for i, v in rows]
+    want = sorted((-sum(a * b for a, b in zip(whole[0][1], v, strict=True)), i) for i, v in whole[1:])
+    assert [(x["vec_id"], x["score"]) for x in sorted(got, key=lambda x: x["rank"])] == [(i, -s) for s, i in want]
+    assert topk.whole(np.array([[1e308, -0.001]]), 256).tolist() == [[int(1e308) * 256, -1]]
 
 
 def judged(url, rules):
