@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Words, bound_batches, materialize, mix, runs_of, u64, words
+from folioflow.llm.common import Words, bound_batches, discard, materialize, mix, u64, words
 
-#: Rounds of pair naming after the round of runs; a run of more words is left as it is.
-ROUNDS, LONGEST_RUN = 8, 16
+#: A run of more equal words is left as it is.
+LONGEST_RUN = 16
 
 
 def window_starts(w: Words, window: int) -> np.ndarray:
@@ -25,8 +26,15 @@ def window_starts(w: Words, window: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(ok)[:-1])
 
 
-def anchors(w: Words, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(start, symbol): for each window's first word, a symbol that lies inside the window.
+def fold(name: np.ndarray, at: np.ndarray, symbol: np.ndarray, salt: int) -> None:
+    """Append a symbol, and in which round and on which side it was given up, to the names at `at`; both halves."""
+    with np.errstate(over="ignore"):
+        name[0, at] = mix(name[0, at] * u64(0x2545F4914F6CDD1D) + symbol + u64(salt))
+        name[1, at] = mix((name[1, at] ^ symbol) * u64(0x9FB21C651E98DF25) + u64(salt))
+
+
+def recompress(w: Words, window: int, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, anchor, name): for each window its first word, a symbol that lies inside it, and its 128-bit name, two rows.
 
     Each round names runs or pairs of neighbouring symbols by a hash of their
     parts alone, so a name stands for one sequence of words wherever it occurs,
@@ -35,13 +43,17 @@ def anchors(w: Words, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np
     outside a window can change a name only at its ends: the first symbol if
     it is on the right side, the last if on the left, the first and last run.
     These are given up round by round, and all that is left is the same wherever
-    the window occurs. The anchor is the first symbol left in the last round
-    that leaves one, so windows with equal words have equal anchors.
+    the window occurs. A region of one symbol gives that up and larger ones
+    shrink, so rounds end by themselves. The anchor is the first symbol left in
+    the last round that leaves one. The name is that of the symbols that were
+    given up, in order, on either side: together they spell the window, so
+    windows are equal exactly if these are.
     """
     start = window_starts(w, window)
     n, value = len(w.value), w.value
+    name = np.zeros((2, len(start) if names else 0), np.uint64)
     if not len(start):
-        return start, np.zeros(0, np.uint64)
+        return start, np.zeros(0, np.uint64), name
     anchor = mix(value[start] ^ u64(0xA5))
     fresh = np.zeros(n, bool)
     fresh[w.first[:-1][np.diff(w.first) > 0]] = True
@@ -58,21 +70,27 @@ def anchors(w: Words, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np
         symbol = np.where(named[run], mix(value + u64(0x51ED2701) * length[run].astype(np.uint64)), value)[keep]
     left = np.minimum((run_at + length)[run[start]], start + window)
     right = np.maximum(run_at[run[start + window - 1]], left)
+    if names:
+        every = np.arange(len(start))
+        for edge, many, salt in ((value[start], left - start, 1), (value[start + window - 1], start + window - right, 2)):
+            fold(name, every, mix(edge + many.astype(np.uint64)), salt)
     index = np.append(np.cumsum(keep) - 1, keep.sum())
     left, right, fresh = index[left], index[right], fresh[keep]
     alive = np.flatnonzero(left < right)
     left, right = left[alive], right[alive]
     anchor[alive] = symbol[left]
 
-    for r in range(rounds):
-        if not len(alive):
-            break
+    r = 0
+    while len(alive):
         is_left = (mix(symbol ^ u64(0x9E37 + 2 * r + 1)) & np.uint64(1)).astype(bool)
         joined = np.zeros(len(symbol), bool)
         joined[1:] = is_left[:-1] & ~is_left[1:] & ~fresh[1:]
         keep = ~joined
-        left = left + ~is_left[left]
-        right = right - is_left[right - 1]
+        from_left, from_right = ~is_left[left], is_left[right - 1]
+        if names:
+            fold(name, alive[from_left], symbol[left[from_left]], 4 * r + 5)
+            fold(name, alive[from_right], symbol[right[from_right] - 1], 4 * r + 6)
+        left, right = left + from_left, right - from_right
         left_in = left < right
         alive, left, right = alive[left_in], left[left_in], right[left_in]
         head = np.flatnonzero(joined) - 1
@@ -82,7 +100,8 @@ def anchors(w: Words, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np
         symbol, fresh = symbol[keep], fresh[keep]
         left, right = index[left], index[right]
         anchor[alive] = symbol[left]
-    return start, anchor
+        r += 1
+    return start, anchor, name
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -97,7 +116,7 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = words(batch.column("text"))
-            start, symbol = anchors(w, window)
+            start, symbol, _ = recompress(w, window, names=False)
             if not len(start):
                 continue
             change = np.flatnonzero(np.append(True, (symbol[1:] != symbol[:-1]) | (start[1:] != start[:-1] + 1)))
@@ -112,25 +131,33 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, doc_id, k, start) of the windows that the `runs` of each row name."""
+    """(h1, h2, doc_id, k, start) of the windows that the `runs` of each row name, by the names that their symbols give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = words(batch.column("text"))
-            for i, runs in enumerate(batch.column("runs").to_pylist()):
-                value = w.value[w.first[i] : w.first[i + 1]]
-                wanted = np.zeros(len(value) - window + 1, bool)
-                for x in runs:
-                    wanted[x["first"] : x["last"] + 1] = True
-                at = np.flatnonzero(wanted)
-                one, two = runs_of(value, window), runs_of(mix(value ^ u64(0x77)), window, 0x9FB21C651E98DF25)
-                ids = [pa.array(np.full(len(at), batch.column(c)[i].as_py(), np.int64)) for c in ("doc_id", "k")]
-                yield pa.RecordBatch.from_arrays([pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), *ids, pa.array(at.astype(np.int32))], names=["h1", "h2", "doc_id", "k", "start"])
+            begin, _, name = recompress(w, window)
+            runs = batch.column("runs")
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+            first, last = (runs.flatten().field(c).to_numpy(zero_copy_only=False) + w.first[owner] for c in ("first", "last"))
+            edge = np.zeros(len(w.value) + 1, np.int64)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, last + 1, -1)
+            wanted = np.flatnonzero(np.cumsum(edge)[begin] > 0)
+            at = begin[wanted]
+            doc = np.searchsorted(w.first, at, side="right") - 1
+            ids = [batch.column(c).take(pa.array(doc)) for c in ("doc_id", "k")]
+            yield pa.RecordBatch.from_arrays([*(pa.array(h[wanted].view(np.int64)) for h in name), *ids, pa.array((at - w.first[doc]).astype(np.int32))], names=["h1", "h2", "doc_id", "k", "start"])
 
     return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, k long, start int")
 
 
 def remove_words(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, n_words, n_removed, removed, kept) of rows (doc_id, text, copy, starts): all words go from a copy of at least `window` words, else those of the windows at `starts`.
+
+    Null texts are empty, null starts none; each row is judged for itself, whatever repeats, and
+    other columns are not passed on.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -163,29 +190,39 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     A word goes if a window of `window` consecutive words that covers it also
     starts in a document with a smaller doc_id. Anchors of at least two
     different texts tell which windows may repeat; only these are compared, by
-    128-bit names of their words. Of equal texts only the smallest doc_id's
+    the 128-bit names that their symbols give. Of equal texts only the smallest doc_id's
     takes part, the others go whole, so a group of copies adds nothing to the
     joins. Minima are partial aggregates; the joins that follow are between
     scans, so that a passage in very many documents is split at run time.
 
     Null text is empty. Rows with a null doc_id keep their words, and no other
     row loses words to them. Rows with one doc_id are not compared with each
-    other. Other columns are not read. An empty table gives no rows.
+    other; equal rows give equal results, each. Texts of any length are taken
+    whole. Other columns are not read. An empty table gives no rows.
+
+    Names are hashes of their parts, which every executor computes alike: the
+    global step of a round is agreement on the hash, not a table of names. What
+    crosses executors is the anchors, to find those that texts share, and then
+    the names of the windows around them.
     """
     bound_batches(docs.sparkSession)
     docs = with_key(docs)
     known = docs.where("doc_id is not null")
-    shared = anchor_rows(known, window).groupBy("symbol").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y").select("symbol")
+    found = materialize(anchor_rows(known, window), "anchors")
+    shared = found.groupBy("symbol").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y").select("symbol")
     shared = materialize(shared, "symbols")
     firsts = known.select("doc_id", "k", "k2").groupBy("k", "k2").agg(F.min("doc_id").alias("doc_id"))
     firsts = materialize(firsts.select("doc_id", "k"), "first-texts")
-    hits = anchor_rows(known, window).join(shared, "symbol").groupBy("doc_id", "k").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    hits = found.join(shared, "symbol").groupBy("doc_id", "k").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     hits = materialize(hits.join(firsts, ["doc_id", "k"], "left_semi"), "hits")
+    discard(found, shared)
     candidates = materialize(window_rows(known.drop("k2").join(hits, ["doc_id", "k"]).select("doc_id", "k", "text", "runs"), window), "windows")
     repeated = candidates.groupBy("h1", "h2").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest").drop("latest")
     repeated = materialize(repeated, "repeated")
     gone = candidates.join(repeated, ["h1", "h2"]).where("doc_id > earliest").groupBy("doc_id", "k").agg(F.collect_set("start").alias("starts"))
+    discard(hits)
     info = materialize(firsts.join(gone, ["doc_id", "k"], "left").withColumn("first", F.lit(True)), "repeats")
+    discard(firsts, candidates, repeated)
     full = docs.drop("k2").join(info, ["doc_id", "k"], "left")
     copy = F.col("first").isNull() & F.col("doc_id").isNotNull()
     return remove_words(full.select("doc_id", "text", copy.alias("copy"), "starts"), window)
