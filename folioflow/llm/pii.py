@@ -145,29 +145,38 @@ class Tagger:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(time, window, tag) for symbols x (window, time).
 
-        As lstm() and the linear layer, with the gates' sigmoids as one tanh: s(z) = (1 + tanh(z / 2)) / 2.
+        As lstm() and the linear layer, but both directions step together, the
+        gates' sigmoids are one tanh, s(z) = (1 + tanh(z / 2)) / 2, and the
+        halves that this leaves on states and outputs are in the weights.
         """
-        h_, w, steps = self.hidden, self.w, x.shape[1]
+        h_, w, n, steps = self.hidden, self.w, len(x), x.shape[1]
         half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), h_)
-        x, out = np.ascontiguousarray(x.T), np.empty((steps, len(x), TAGS), np.float32)
-        out[:] = w["bias"]
-        for d, order, part in (("f", range(steps), w["out"][:h_]), ("b", range(steps - 1, -1, -1), w["out"][h_:])):
-            table, inner = ((w[f"{d}x"] + w[f"{d}b"]) * half).astype(np.float32), (w[f"{d}h"] * half).astype(np.float32)
-            h, c = np.zeros((x.shape[1], h_), np.float32), np.zeros((x.shape[1], h_), np.float32)
-            z, more = np.empty((x.shape[1], 4 * h_), np.float32), np.empty((x.shape[1], 4 * h_), np.float32)
-            for t in order:
-                np.take(table, x[t], axis=0, out=z, mode="clip")
-                np.matmul(h, inner, out=more)
-                z += more
-                np.tanh(z, out=z)
-                z[:, : 3 * h_] *= 0.5
-                z[:, : 3 * h_] += 0.5
-                c *= z[:, h_ : 2 * h_]
-                c += z[:, :h_] * z[:, 3 * h_ :]
-                np.tanh(c, out=h)
-                h *= z[:, 2 * h_ : 3 * h_]
-                out[t] += h @ part
-        return out
+        table = np.concatenate([(w[f"{d}x"] + w[f"{d}b"]) * half for d in "fb"]).astype(np.float32)
+        inner = np.stack([w[f"{d}h"] * half / 2 for d in "fb"]).astype(np.float32)
+        part = (w["out"].reshape(2, h_, TAGS) / 2).astype(np.float32)
+        x = np.asarray(x.T, np.intp)
+        asked = np.concatenate([x, x[::-1] + SYMBOLS], 1)
+        (h, c), (u, v) = np.zeros((2, 2, n, h_), np.float32), np.empty((2, 2, n, h_), np.float32)
+        z, more = np.empty((2, n, 4 * h_), np.float32), np.empty((2, n, 4 * h_), np.float32)
+        i, f, o, g = (z[:, :, k * h_ : (k + 1) * h_] for k in range(4))
+        rows = z.reshape(2 * n, 4 * h_)
+        out = np.empty((2, steps, n, TAGS), np.float32)
+        for t in range(steps):
+            np.take(table, asked[t], axis=0, out=rows, mode="clip")
+            np.matmul(h, inner, out=more)
+            z += more
+            np.tanh(z, out=z)
+            np.multiply(i, g, out=u)  # c = ((1 + f) c + (1 + i) g) / 2
+            u += g
+            np.multiply(f, c, out=v)
+            c += v
+            c += u
+            c *= 0.5
+            np.tanh(c, out=h)  # h = (1 + o) tanh(c)
+            np.multiply(o, h, out=v)
+            h += v
+            np.matmul(h, part, out=out[:, t])
+        return out[0] + out[1, ::-1] + w["bias"]
 
     def all_plain(self, e: np.ndarray) -> np.ndarray:
         """Windows whose best path is surely tag 0 throughout.
@@ -441,17 +450,27 @@ def tagged(texts: Sequence[str], model: Tagger, least: float, chunk: int = 512)
     wait, and count as time.
     """
     stream, start, owner, place = stream_of(texts)
-    found = []
-    for lo in range(0, len(start), chunk):
-        x = stream[start[lo : lo + chunk, None] + np.arange(SEARCH_WIDTH)]
-        e = model.emissions(x)
-        some = np.flatnonzero(~model.all_plain(e))
-        if not len(some):
-            continue
-        tags, sure = model.decode(e[:, some])
+    found, held, which = [], [], []
+
+    def decode() -> None:
+        if not held:
+            return
+        tags, sure = model.decode(np.concatenate(held, 1))
+        some = np.concatenate(which)
+        held.clear()
+        which.clear()
         tags, sure = tags[MARGIN : MARGIN + STRIDE].T, sure[MARGIN : MARGIN + STRIDE].T
         w, t = np.nonzero(tags)
-        found.append((owner[lo + some[w]], place[lo + some[w]] + t, t == 0, tags[w, t], sure[w, t]))
+        found.append((owner[some[w]], place[some[w]] + t, t == 0, tags[w, t], sure[w, t]))
+
+    for lo in range(0, len(start), chunk):
+        e = model.emissions(stream[start[lo : lo + chunk, None] + np.arange(SEARCH_WIDTH)])
+        some = np.flatnonzero(~model.all_plain(e))
+        held.append(e[:, some])
+        which.append(lo + some)
+        if sum(map(len, which)) >= chunk:
+            decode()
+    decode()
     out: list[list[tuple[float, Span]]] = [[] for _ in texts]
     if not found:
         return out
