@@ -157,11 +157,13 @@ def test_equal_windows_have_equal_anchors(seed):
     passage = [r.choice(vocabulary) if r.random() < 0.7 else "a" for _ in range(120)]
     texts = [" ".join([r.choice(vocabulary) for _ in range(r.randrange(60))] + passage + [r.choice(vocabulary) for _ in range(r.randrange(60))]) for _ in range(8)]
     w = words(pa.array(texts))
-    start, anchor = ss.anchors(w, 50)
+    start, anchor, name = ss.recompress(w, 50)
     by_window: dict = {}
-    for s, a in zip(start, anchor, strict=True):
-        by_window.setdefault(w.value[s : s + 50].tobytes(), set()).add(int(a))
+    for s, a, *h in zip(start, anchor, *name, strict=True):
+        by_window.setdefault(w.value[s : s + 50].tobytes(), set()).add((int(a), *map(int, h)))
     assert max(map(len, by_window.values())) == 1
+    assert all(len({next(iter(v))[k] for v in by_window.values()}) == len(by_window) for k in (1, 2))  # different windows, different names
+    assert np.array_equal(ss.recompress(w, 50, names=False)[1], anchor)
     assert len(start) == sum(max(0, len(t.split()) - 49) for t in texts)
 
 

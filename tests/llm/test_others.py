@@ -267,3 +267,37 @@ def test_pipeline_stages(spark, sf, documents):
         else:
             assert ids <= {r["doc_id"] for r in before} and {r["copy"] for r in after} == {1, 2}
     assert cp.run(spark, sf).count() == len(after)
+
+
+def odd_documents(spark, columns):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and ids, and columns whose names operators use."""
+    r = random.Random(4)
+    prose = " ".join(r.choice("the water of river runs down from hills and into sea while people walk along it".split()) for _ in range(120))
+    rows = [(k, f"{prose} number{k} and {' '.join(r.choice('ship tree house road bird cloud'.split()) for _ in range(90))}", "en", ("a", "b", None)[k % 3]) for k in range(30)]
+    rows += [(None, prose, "en", "a"), (None, None, None, None), (100, None, "en", "a"), (101, "", None, "b"), (102, "  \n ", "en", "b"), (103, "1234 5678", "en", "a"), (104, "river water " * 60_000, "en", "a")]
+    rows += [rows[3], rows[3], (5, "a quite different text about the sea and the people of the hills " * 4, "en", "b"), (105, rows[7][1], "en", "a")]
+    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), *["x"] * len(columns)) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {c} string" for c in columns))
+
+
+@pytest.mark.parametrize("name", ["language", "near_duplicates", "leaks", "personal_data", "mix"])
+@pytest.mark.parametrize("columns", [(), ("score", "found", "spans", "size", "copies", "rep", "kept", "_a", "value")])
+def test_stages_on_odd_tables(spark, sf, name, columns):
+    import corpus_pipeline as cp
+
+    stage = dict(cp.STAGES)[name]
+    docs = odd_documents(spark, columns)
+    before, after = docs.collect(), stage(spark, docs, sf).collect()
+    ids = [r["doc_id"] for r in after]
+    again = stage(spark, docs.repartition(5), sf).collect()
+    assert sorted(map(repr, after)) == sorted(map(repr, again))
+    if name != "mix":
+        assert not after or after[0].__fields__ == docs.columns
+    if name == "language":
+        assert {100, 101, 102, 103}.isdisjoint(ids) and ids.count(3) == 3 and ids.count(5) == 2 and 104 in ids and ids.count(None) == 1
+    elif name == "near_duplicates":
+        assert ids.count(3) == 1 and ids.count(5) == 2 and 105 not in ids and ids.count(None) == 2 and {100, 101, 102, 103, 104} <= set(ids)
+    elif name in ("leaks", "personal_data"):
+        assert sorted(map(repr, ids)) == sorted(repr(r["doc_id"]) for r in before)
+    else:
+        assert {r["copy"] for r in after} <= {1, 2} and set(map(repr, ids)) <= {repr(r["doc_id"]) for r in before}
+    assert stage(spark, docs.limit(0), sf).count() == 0
