@@ -2,47 +2,67 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, langid, mixing, near_dedup, pii
-from folioflow.llm.common import scratch_dir
+from folioflow.llm.common import scratch_path
 
 #: A document is rejected if more than this share of its trigrams fits no language.
 MOST_OTHER = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from all labelled documents; those without a letter, or mostly in no language, go."""
+    """Learn from all labelled documents; those without a letter, or mostly in no language, go.
+
+    Null and empty texts have no letter. Repeated rows are judged each, texts of any length whole. An
+    empty table gives no rows; if no row has a label, nothing is learned and all are in no language.
+    """
     found = langid.predict(docs, langid.fit(docs), keep=docs.columns)
     other = F.aggregate(F.zip_with("languages", "proportions", lambda lang, share: F.when(lang == langid.OTHER, share).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
     return found.where((F.col("lang_pred") != "und") & (other <= MOST_OTHER)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; rows that repeat an id go too."""
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group stays, that with the smallest doc_id.
+
+    Null, empty and wordless texts are in no group and stay. Rows with one doc_id are one document:
+    it stays or goes with all its texts, but of rows that repeat both id and text one stays, that
+    with the least other columns. Rows without an id stay as they are. An empty table gives no rows.
+    """
+    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    one = known.groupBy("doc_id", F.xxhash64("text").alias("_a"), F.xxhash64(F.lit(1), "text").alias("_b")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return one.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go together. Texts are searched
+    whole. An empty table gives no rows, and an empty benchmark takes none.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.find_items(docs, items).where(F.size("found") == 0).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, with placeholders for personal data; n_chars follows."""
+    """All documents stay, with placeholders for personal data; n_chars follows.
+
+    Null texts stay null, rows without a finding as they are, repeated rows alike. Texts are searched
+    whole. An empty table gives no rows.
+    """
     found = pii.find_pii(docs, pii.fit(docs), keep=docs.columns)
     changed = {"text": F.col("redacted"), "n_chars": F.when(F.size("spans") > 0, F.char_length("redacted").cast("bigint")).otherwise(F.col("n_chars"))}
     return found.select(*[changed[c].alias(c) if c in changed else c for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is drawn, with size, source_size, target, copies and copy."""
+    """The mix: each document as often as it is drawn, with size, source_size, target, copies and copy.
+
+    Null and empty texts have size 0 and are drawn like others of their source; rows of one id are
+    drawn alike, rows without one by their text. An empty table gives no rows.
+    """
     return mixing.emit(docs)
 
 
@@ -54,7 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
