@@ -37,9 +37,12 @@ def record_text(record_id: Column, page_id: Column, url: Column, html: Column, d
     return F.concat(F.lit("WARC/1.1\r\n"), *fields, F.lit("\r\n"), html)
 
 
-def write_archive(records: DataFrame, path: str, files_of: int) -> str:
-    """Write the `record` column as gzip archives of files_of records through Spark's own writer, which any store takes."""
-    records.select("record").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", files_of).text(path)
+def write_archive(records: DataFrame, path: str, files_of: int, level: str = "BEST_SPEED") -> str:
+    """Write the `record` column as gzip archives of files_of records through Spark's own writer, which any store takes.
+
+    level is a name of zlib's; the fastest one takes half the time of the default for a tenth more bytes.
+    """
+    records.select("record").write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", level).option("maxRecordsPerFile", files_of).text(path)
     return path
 
 
