@@ -6,14 +6,13 @@ which decides ties and the order of members.
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import dictionaries as d
 from folioflow.functions import text as tx
+from folioflow.functions.tables import numbered, written
 
 GROUP = "name string, kind int, first bigint, members array<string>"
 
@@ -29,7 +28,7 @@ def grouped(rows: DataFrame, prefix: str, key: str, kind: int) -> DataFrame:
 
 
 def author_groups(meta: DataFrame) -> DataFrame:
-    return grouped(meta.where(F.size("authors") > 0).withColumn("author", F.col("authors")[0]), "author_", "author", 0)
+    return grouped(meta.where(F.size("authors") > 0).withColumn("author", F.get("authors", F.lit(0))), "author_", "author", 0)
 
 
 def institution_groups(meta: DataFrame) -> DataFrame:
@@ -53,45 +52,58 @@ def topic_groups(meta: DataFrame, most: int = 20) -> DataFrame:
 
 
 def overlapping(groups: DataFrame) -> DataFrame:
-    """Adds `part`, equal for groups that a chain of shared members connects; the merge never looks across parts."""
-    spark = groups.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    flat = groups.select("name", F.explode("members").alias("m")).distinct()
+    """Adds `part`, equal for groups that a chain of shared members connects; the merge never looks across parts.
+
+    Each round passes the least name over members, by partial minima; a member is in few groups, one for each kind of group that it has.
+    """
+    flat = written(groups.select("name", F.explode("members").alias("m")).distinct(), "members")
     labels = groups.select("name", F.col("name").alias("part"))
-    while base:
+    while True:
         least = flat.join(labels, "name").groupBy("m").agg(F.min("part").alias("low"))
         moved = flat.join(least, "m").groupBy("name").agg(F.min("low").alias("low")).join(labels, "name")
-        path = f"{base.rstrip('/')}/parts-{uuid.uuid4().hex}"
-        moved.select("name", "low", (F.col("low") < F.col("part")).alias("changed")).write.parquet(path)
-        done = spark.read.parquet(path)
+        done = written(moved.select("name", "low", (F.col("low") < F.col("part")).alias("changed")), "parts")
         labels = done.select("name", F.col("low").alias("part"))
         if done.where("changed").isEmpty():
             return groups.join(labels, "name")
-    return groups.withColumn("part", F.lit(""))
+
+
+def fold(rows: pd.DataFrame, overlap: float) -> pd.DataFrame:
+    """The greedy merge of one part. An index of members leads to the kept groups that hold them, so time grows with the memberships and not with pairs of groups."""
+    kept: list[dict] = []
+    holders: dict[str, list[int]] = {}
+    for r in rows.sort_values(["kind", "first", "name"]).itertuples(index=False):
+        own = list(r.members)
+        shared: dict[int, int] = {}
+        for m in own:
+            for k in holders.get(m, ()):
+                shared[k] = shared.get(k, 0) + 1
+        into = min((k for k, n in shared.items() if n / min(len(own), len(kept[k]["members"])) > overlap), default=None)
+        if into is None:
+            into = len(kept)
+            kept.append({"name": r.name, "kind": r.kind, "first": r.first, "members": dict.fromkeys(own), "merged": False})
+        else:
+            kept[into]["merged"] = True
+        for m in own:
+            if (at := holders.setdefault(m, [])) and into in at:
+                continue
+            at.append(into)
+            kept[into]["members"][m] = None
+    for k in kept:
+        k["members"] = sorted(k["members"]) if k.pop("merged") else list(k["members"])
+    return pd.DataFrame(kept, columns=["name", "kind", "first", "members"])
 
 
 def merge_overlapping(groups: DataFrame, overlap: float = 0.5) -> DataFrame:
     """(name, first, kind, members): groups in order of kind and first; each joins the first kept group of which the smaller is shared by more than `overlap`.
 
-    The order matters, so a part of connected groups is folded in one task; parts
-    are apart where a shared folder is set for the rounds that find them. Members
-    of merged groups are sorted.
+    The order matters, so groups that a chain of shared members connects are
+    folded in one task; groups are far fewer than documents. A group without
+    connections is passed on as it is. Members of merged groups are sorted.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in rows.sort_values(["kind", "first", "name"]).itertuples(index=False):
-            own = list(r.members)
-            for k in kept:
-                shared = len(set(own) & set(k["members"]))
-                if shared and shared / min(len(own), len(k["members"])) > overlap:
-                    k["members"] = sorted({*k["members"], *own})
-                    break
-            else:
-                kept.append({"name": r.name, "kind": r.kind, "first": r.first, "members": own})
-        return pd.DataFrame(kept, columns=["name", "kind", "first", "members"])
-
-    return overlapping(groups).groupBy("part").applyInPandas(fold, GROUP)
+    parts = written(overlapping(groups), "group-parts")
+    several = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
+    alone = parts.join(several, "part", "left_anti").select("name", "kind", "first", "members")
+    return alone.unionByName(parts.join(several, "part").groupBy("part").applyInPandas(lambda rows: fold(rows, overlap), GROUP))
 
 
 def related_groups(meta: DataFrame) -> DataFrame:
@@ -168,7 +180,7 @@ def content_groups(meta: DataFrame) -> DataFrame:
     related = related_groups(meta).select(F.lit(0).alias("turn"), F.struct("kind", "first", "name").alias("key"), F.lit("related").alias("group_type"), tx.title_case(F.replace("name", F.lit("_"), F.lit(" "))).alias("title"), "members", F.lit("").alias("code"))
     course = courses(meta).select(F.lit(1).alias("turn"), F.struct(F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("first"), F.col("code").alias("name")).alias("key"), F.lit("course").alias("group_type"), F.concat_ws(": ", "code", "course_name").alias("title"), F.col("materials").alias("members"), "code")
     rows = series(meta).select(F.lit(2).alias("turn"), F.struct(F.lit(0).alias("kind"), F.col("first").cast("bigint").alias("first"), F.col("series").alias("name")).alias("key"), F.lit("series").alias("group_type"), F.concat(F.lit("Series: "), F.col("series")).alias("title"), F.col("files").alias("members"), F.lit("").alias("code"))
-    every = related.union(course).union(rows).withColumn("i", F.row_number().over(Window.orderBy("turn", "key")) - 1)
+    every = numbered(related.union(course).union(rows), "i", "turn", "key")
     return every.select(F.when(F.col("group_type") == "course", F.concat(F.lit("course_"), F.col("code"))).otherwise(F.concat_ws("_", "group_type", F.col("i").cast("string"))).alias("group_id"), "group_type", "title", "members")
 
 

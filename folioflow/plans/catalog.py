@@ -44,7 +44,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ca.search_documents(fx.meta(spark), 0.5, 5, subject_area="mathematics").select("filename", "quality_score")
+    return ca.search_documents(fx.meta(spark, sf_dir), 0.5, 5, subject_area="mathematics").select("filename", "quality_score")
 
 
 def part_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def part_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fx.meta(spark).withColumn("similarity_hash", F.col("subject_area"))
+    m = fx.meta(spark, sf_dir).withColumn("similarity_hash", F.col("subject_area"))
     return ca.similar_by_hash(m, "physics", 0.87).select("filename")
 
 
@@ -144,7 +144,7 @@ def download_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ca.collection_statistics(fx.meta(spark), "subject_area", "academic_level")
+    out = ca.collection_statistics(fx.meta(spark, sf_dir), "subject_area", "academic_level")
     flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|").alias(c)
     return out.select("documents", "bytes", F.round("mean_quality", 6).alias("mean_quality"), flat("by_subject_area"), flat("by_academic_level"))
 
@@ -186,7 +186,7 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subject_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sk.index_lines(fx.meta(spark).where("subject_area <> ''"))
+    return sk.index_lines(fx.meta(spark, sf_dir).where("subject_area <> ''"))
 
 
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fx.meta(spark)
+    m = fx.meta(spark, sf_dir)
     path = F.concat_ws("/", F.lit("/data"), "subject_area", F.regexp_replace(F.lower("title"), " ", "_"))
     return m.select("filename", pf.subject_from_path(path, F.col("subject_area")).alias("subject"), F.array_join(pf.keywords_from_path(path, F.col("keywords")), "|").alias("keywords"),
                     pf.folder_path(F.col("subject_area"), F.col("academic_level"), F.lit("general")).alias("folder"))
@@ -94,7 +94,7 @@ def page_url_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fx.meta(spark)
+    m = fx.meta(spark, sf_dir)
     link = F.concat(F.lit("https://"), F.coalesce(F.nullif("download_source", F.lit("")), F.lit("x.org")))
     return m.select("filename", u.academic_source(link, F.array(F.coalesce(F.nullif("subject_area", F.lit("")), F.lit("general"))), F.col("institution")).alias("academic"),
                     u.repository_page(F.col("content"), link).alias("repository"), u.academic_link_text(F.col("title"), "es").alias("link_ok"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 META = (
     "ordinal int, filename string, title string, authors array<string>, institution string, subject_area string, academic_level string, keywords array<string>, course_code string, "
@@ -36,8 +37,58 @@ DOCS = [
 ]
 
 
-def meta(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DOCS, META)
+#: Titles of the catalogue: # is the cohort of a document, @ its part.
+TITLES = [
+    "Operating Systems C# Lecture @", "Operating Systems C# Homework @", "Graph Theory C# Exam @", "Organic Chemistry C# Handbook", "Introduction to Calculus C# Part @", "Linear Algebra C# Part @", "", "Quantum Physics C# Seminar - @",
+    "Topology C# Seminar - @", "Marketing Plan #", "Cell Biology C# (@)", "Genetics C# (@)", "", "Universidad C#: artículo de investigación", "Graph Theory and Logic C# Exam",
+]
+COHORT = 60
+
+
+def meta(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    """The template rows; with sf_dir, a catalogue of all `documents`.
+
+    The generated texts hold no titles, authors or academic words, so a document
+    takes these from the template that its id deals it: fifteen templates in
+    four parts make a cohort, whose number goes into title, authors, institution
+    and code, so that groups grow in number with the table and not in size.
+    Language, source, length and the whole text are the document's own.
+    """
+    if sf_dir is None:
+        return spark.createDataFrame(DOCS, META)
+    rows = [(*r, t) for r, t in zip(DOCS, TITLES, strict=True)]
+    tpl = F.broadcast(spark.createDataFrame(rows, META.replace("ordinal int", "turn int") + ", pattern string").withColumnsRenamed({c: f"t_{c}" for c in ("filename", "title", "file_size", "page_count", "text_ratio", "quality_score")}))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").join(tpl, F.col("doc_id") % len(DOCS) == F.col("turn"))
+    i = F.col("doc_id")
+    cohort = F.floor(i / COHORT).cast("bigint")
+    step = F.floor((i % COHORT) / len(DOCS)).cast("bigint")
+    part = step + 1 + F.when((cohort % 2 == 1) & (step >= 2), 1).otherwise(0)
+    number = lambda c: c.cast("string")
+    named = lambda c, n: F.when(F.col(c) == "", "").otherwise(F.concat(c, F.lit(" "), number(n)))
+    return d.select(
+        i.alias("ordinal"), F.concat(F.lit("doc"), F.lpad(number(i), 9, "0"), F.lit(".pdf")).alias("filename"),
+        F.replace(F.replace("pattern", F.lit("#"), number(cohort)), F.lit("@"), number(part)).alias("title"),
+        F.transform("authors", lambda a: F.concat(a, F.lit(" "), number(F.floor(i / 40)))).alias("authors"), named("institution", F.floor(cohort / 2)).alias("institution"), "subject_area", "academic_level",
+        F.filter(F.concat("keywords", F.array("lang", "source")), lambda k: k.isNotNull()).alias("keywords"),
+        F.when(F.col("course_code") == "", "").otherwise(F.concat(F.regexp_extract("course_code", "^[A-Z]+", 0), number(100 + cohort * 7 % 900))).alias("course_code"),
+        (i * 37 % 450).cast("int").alias("page_count"), (i * 13 % 100 / 100.0).alias("text_ratio"), (i * 29 % 100 / 100.0).alias("quality_score"), "description",
+        (F.coalesce("n_chars", F.lit(0)) * F.when(i % 23 == 0, 100_000).otherwise(97)).cast("bigint").alias("file_size"), "download_source", F.concat_ws(" ", "content", "text").alias("content"),
+    )
+
+
+def spread(spark: SparkSession, sf_dir: str, rows: Sequence[tuple], schema: str, table: str, key: str, **columns: str) -> DataFrame:
+    """Template rows dealt over a table by its key: a row of the template for each row of the table, with the given columns as SQL over both."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    tpl = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "turn int, " + schema)
+    both = spark.read.parquet(f"{sf_dir}/{table}.parquet").alias("x").join(F.broadcast(tpl).alias("t"), F.col(f"x.{key}") % len(rows) == F.col("t.turn"))
+    return both.select(*[F.expr(columns[n]).alias(n) if n in columns else F.col(f"t.{n}") for n in names])
+
+
+def spread_sql(name: str, rows: Sequence[tuple], schema: str, table: str, key: str, **columns: str) -> str:
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [f"t.{n}" for n in names]
+    body = values_sql(f"{name}_tpl", [(i, *r) for i, r in enumerate(rows)], "turn int, " + schema)
+    return f"{body}, {name} as (select {', '.join(f'{columns[n]} as {n}' if n in columns else f'{k} as {n}' for n, k in zip(names, kinds, strict=True))} from {table} x join {name}_tpl t on x.{key} % {len(rows)} = t.turn)"
 
 
 def literal(v: Any) -> str:
@@ -60,7 +111,14 @@ def values_sql(name: str, rows: Sequence[tuple], schema: str) -> str:
 
 
 def meta_sql() -> str:
-    return values_sql("meta", DOCS, META)
+    """`meta` as meta() makes it of all documents."""
+    named = lambda c, n: f"case when {c} = '' then '' else {c} || ' ' || {n} end as {c}"
+    return f"""{values_sql('tpl', [(*r, t) for r, t in zip(DOCS, TITLES, strict=True)], META.replace('ordinal int', 'turn int').replace('filename', 't_filename').replace('title', 't_title') + ', pattern string')},
+  dealt as (select *, doc_id // {COHORT} as cohort, doc_id % {COHORT} // {len(DOCS)} as step from documents d join tpl on doc_id % {len(DOCS)} = turn),
+  meta as (select doc_id as ordinal, 'doc' || lpad(doc_id::varchar, 9, '0') || '.pdf' as filename, replace(replace(pattern, '#', cohort::varchar), '@', (step + 1 + case when cohort % 2 = 1 and step >= 2 then 1 else 0 end)::varchar) as title,
+    list_transform(authors, lambda a: a || ' ' || (doc_id // 40)) as authors, {named('institution', '(cohort // 2)')}, subject_area, academic_level, list_filter(list_concat(keywords, [lang, source]), lambda k: k is not null) as keywords,
+    case when course_code = '' then '' else regexp_extract(course_code, '^[A-Z]+') || (100 + cohort * 7 % 900) end as course_code, (doc_id * 37 % 450)::int as page_count, (doc_id * 13 % 100 / 100.0)::double as text_ratio, (doc_id * 29 % 100 / 100.0)::double as quality_score,
+    description, (coalesce(n_chars, 0) * case when doc_id % 23 = 0 then 100000 else 97 end)::bigint as file_size, download_source, concat_ws(' ', content, text) as content from dealt)"""
 
 
 def table_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:

@@ -17,11 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rl.with_texts(fx.meta(spark).select("filename", "title"), spark.createDataFrame(FILES, "filename string, text string"))
+    return rl.with_texts(fx.meta(spark, sf_dir).select("filename", "title"), spark.createDataFrame(FILES, "filename string, text string"))
 
 
 def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fx.meta(spark)
+    m = fx.meta(spark, sf_dir)
     return rl.group_documents(gr.author_groups(m), m.select("filename", "title")).select("name", "filename", "title")
 
 
@@ -33,7 +33,7 @@ def order_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fx.meta(spark)
+    m = fx.meta(spark, sf_dir)
     added = rl.add_member(F.col("keywords"), F.lit("limit"))
     return m.select("filename", F.array_join(added, "|").alias("added"), F.array_join(rl.remove_member(added, F.lit("calculus")), "|").alias("removed"), F.size(added).cast("bigint").alias("n"))
 
@@ -68,7 +68,7 @@ def processing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rl.in_page_order(fx.meta(spark), "subject_area", "academic_level").select("filename", F.col("place").cast("bigint").alias("place"))
+    return rl.in_page_order(fx.meta(spark, sf_dir), "subject_area", "academic_level").select("filename", F.col("place").cast("bigint").alias("place"))
 
 
 QUERIES = {f.__name__: f for f in (text_join, group_members, order_customers, membership, newest_orders, recovery_statistics, crawl_statistics, distinct_urls, processing_report, page_order)}

@@ -39,31 +39,31 @@ def conversation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relevance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("keyword_score", "institution_score", "author_score", "structure_score", "file_quality", "relevance_score")
-    return sc.relevance(fx.meta(spark)).select("filename", *map(r6, names), "is_educational", F.size("reasons").cast("bigint").alias("n_reasons"))
+    return sc.relevance(fx.meta(spark, sf_dir)).select("filename", *map(r6, names), "is_educational", F.size("reasons").cast("bigint").alias("n_reasons"))
 
 
 def level_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sc.classify_level(fx.meta(spark))
+    out = sc.classify_level(fx.meta(spark, sf_dir))
     names = ("level_ease", "level_grade", "high_school_terms", "undergraduate_terms", "graduate_terms", "course_level", "level_confidence", "complexity_score")
     return out.select("filename", "predicted_level", *map(r6, names), F.array_join("reasoning", "; ").alias("reasoning"))
 
 
 def inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.include(sc.classify_level(sc.relevance(fx.meta(spark)))).select("filename", "is_educational", "predicted_level", "should_include")
+    return sc.include(sc.classify_level(sc.relevance(fx.meta(spark, sf_dir)))).select("filename", "is_educational", "predicted_level", "should_include")
 
 
 def filter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sc.filter_statistics(sc.include(sc.classify_level(sc.relevance(fx.meta(spark)))))
+    out = sc.filter_statistics(sc.include(sc.classify_level(sc.relevance(fx.meta(spark, sf_dir)))))
     return out.withColumn("inclusion_rate", F.round("inclusion_rate", 6))
 
 
 def extractor_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.meta(spark).select("filename", sc.extractor_level(F.col("title"), F.col("content")).alias("level"))
+    return fx.meta(spark, sf_dir).select("filename", sc.extractor_level(F.col("title"), F.col("content")).alias("level"))
 
 
 def subject_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     subject, score = sc.subject_by_occurrence(F.concat_ws(" ", "title", "content"))
-    return fx.meta(spark).select("filename", subject.alias("subject"), score.alias("score"))
+    return fx.meta(spark, sf_dir).select("filename", subject.alias("subject"), score.alias("score"))
 
 
 def subject_occurrence_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +72,11 @@ def subject_occurrence_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.classify_topic(fx.meta(spark)).select("filename", "named_subject", "subject", "topic", r6("topic_score"))
+    return sc.classify_topic(fx.meta(spark, sf_dir)).select("filename", "named_subject", "subject", "topic", r6("topic_score"))
 
 
 def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fx.meta(spark)
+    m = fx.meta(spark, sf_dir)
     labels = F.array_join(sc.labels_of(F.col("content"), F.col("download_source")), ",")
     return m.select("filename", labels.alias("subjects"), sc.scraping_strategy(F.concat_ws(" ", "title", "content")).alias("strategy"))
 
@@ -91,7 +91,7 @@ def category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang, sure = sc.language_vote(F.concat_ws(" ", "title", "content"))
-    return fx.meta(spark).select("filename", lang.alias("language"), F.round(sure, 6).alias("confidence"))
+    return fx.meta(spark, sf_dir).select("filename", lang.alias("language"), F.round(sure, 6).alias("confidence"))
 
 
 def language_keyword_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ def _level_sql(source: str) -> str:
   lv1 as (select *, {g.COUNTS}, {terms}, {course} as worth from lv0),
   lv2 as (select *, {g.MEASURES}, case when len(worth) > 0 then least(list_sum(worth) / len(worth), 1.0) else 0.0 end::double as course_level from lv1),
   lv3 as (select *, {g.first_most(scores, 'unknown')} as best, trim(t) = '' as blank from lv2),
-  lv as (select * exclude (best), case when blank then 0.0 else best.score end as level_confidence, case when blank or best.score < 0.3::double or best.score <= 0 then 'unknown' else best.label end as predicted_level,
+  lv as materialized (select * exclude (best), case when blank then 0.0 else best.score end as level_confidence, case when blank or best.score < 0.3::double or best.score <= 0 then 'unknown' else best.label end as predicted_level,
     case when blank then 0.0 else {g.COMPLEXITY} end as complexity_score, case when blank then '' else array_to_string(list_filter([{reasons}], lambda r: r is not null), '; ') end as reasoning from lv3)"""
 
 
@@ -218,7 +218,7 @@ SQL = {
       ((keyword_score > 0.3::double)::int + (institution_score > 0.5)::int + (author_score > 0.3::double)::int + (file_quality < 0.5)::int + (structure_score > 0.4::double)::int + (relevance_score < 0.4::double)::int)::bigint as n_reasons from rel""",
     "level_scores": f"""with {fx.meta_sql()}, {_level_sql('meta')} select filename, predicted_level, round(flesch_ease, 6) as level_ease, round(fk_grade, 6) as level_grade, {', '.join(f'round({c}, 6) as {c}' for c in ('high_school_terms', 'undergraduate_terms', 'graduate_terms', 'course_level', 'level_confidence', 'complexity_score'))}, reasoning from lv""",
     "inclusion": f"with {fx.meta_sql()}, {_relevance_sql()}, {_level_sql('rel')} select filename, is_educational, predicted_level, {_INC} as should_include from lv",
-    "filter_counts": f"""with {fx.meta_sql()}, {_relevance_sql()}, {_level_sql('rel')}, i as (select *, {_INC} as inc from lv),
+    "filter_counts": f"""with {fx.meta_sql()}, {_relevance_sql()}, {_level_sql('rel')}, i as materialized (select is_educational, predicted_level, {_INC} as inc from lv),
       a as (select count(*) as processed, count(*) filter (where is_educational) as educational_found, count(*) filter (where is_educational and predicted_level = 'high_school') as high_school, count(*) filter (where is_educational and predicted_level = 'undergraduate') as undergraduate,
       count(*) filter (where is_educational and predicted_level = 'graduate') as graduate, count(*) filter (where is_educational and predicted_level not in ('high_school', 'undergraduate', 'graduate')) as unknown_level, count(*) filter (where not inc) as filtered_out from i)
       select *, round((educational_found - filtered_out) / processed, 6) as inclusion_rate from a""",
