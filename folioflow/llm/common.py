@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 ARROW_BATCH_BYTES = 8 << 20
+ROW_GROUP_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,16 +56,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffle files behind df go once it is written, which bounds the peak of disk in use.
+    The shuffle files behind df go once it is written, which bounds the peak of disk in use. Row
+    groups are small: a reader holds a column of one at a time, outside the heap as well.
     """
     spark = df.sparkSession
     path, schema, before = scratch_path(spark, label), df.schema, spark.conf.get(DROP_SHUFFLES)
     spark.conf.set(DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
-    out = spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).option("parquet.hadoop.vectored.io.enabled", "false").parquet(path)
     out.scratch = path
     return out
 
