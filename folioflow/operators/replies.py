@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,13 +64,13 @@ def mapped_fields(reply: Column) -> dict[str, Column]:
     return {f: F.coalesce(*[F.get_json_object(reply, f"$.{k}") for k in keys]) for f, keys in FIELDS.items()}
 
 
-def navigation_links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, link): links in <nav> elements, and in others of a navigation class or id, whose text names an academic section."""
+def navigation_links(pages: DataFrame, words: Sequence[str] = NAV_WORDS) -> DataFrame:
+    """(page_id, pos, link): links in <nav> elements, and in others of a navigation class or id, whose text holds one of the words, by default an academic section."""
     html = F.col("html")
     nav = F.regexp_extract_all(html, F.lit(r"(?is)<nav(?:\s[^>]*)?>(.*?)</nav\s*>"), 1)
     named = F.regexp_extract_all(html, F.lit(r"""(?is)<(?:div|ul|menu|section|header)\s[^>]*(?:class|id)=["'][^"']*\b(?:navigation|menu|navbar|nav)\b[^"']*["'][^>]*>(.*?)</(?:div|ul|menu|section|header)\s*>"""), 1)
     inside = F.array_join(F.concat(nav, named), "\n")
-    wanted = F.filter(pg.anchors(inside), lambda a: tx.any_of(F.lower(a["text"]), NAV_WORDS))
+    wanted = F.filter(pg.anchors(inside), lambda a: tx.any_of(F.lower(a["text"]), list(words)))
     links = F.array_distinct(F.transform(wanted, lambda a: u.resolve(F.col("url"), a["href"])))
     return pages.select("page_id", F.posexplode(links).alias("pos", "link"))
 

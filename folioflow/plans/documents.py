@@ -25,6 +25,10 @@ LINKS = [
     (7, "https://other.org/library/view?format=pdf&id=3"), (8, "mailto:a@north.edu"), (9, "https://www.north.edu/a/b/c/d/e/computer-science/index.html"), (10, "https://www.north.edu/files/archive.zip"),
     (11, "https://www.north.edu/news#top"), (12, "https://www.north.edu/research/papers/study.pdf?download=1"),
 ]
+#: The rows above, dealt over whole tables.
+AUTHORS_ = fx.Spread(AUTHORS, "id int, names string", "documents", "doc_id", id="x.doc_id", names="concat(t.names, '; Kim Lee', coalesce(x.source, ''))")
+RAW_ = fx.Spread(RAW, RAW_SCHEMA, "documents", "doc_id", id="x.doc_id", filename="concat('f', x.doc_id, '_', t.filename)", pages="x.doc_id % 70", chars="coalesce(x.n_chars, 0)")
+LINKS_ = fx.Spread(LINKS, "id int, url string", "pages", "page_id", id="x.page_id", url="replace(t.url, '/a', concat('/a', x.page_id % 5))")
 BASE = "https://www.north.edu/"
 INCLUDE, EXCLUDE = [r"lecture.*\.pdf", r"\.pdf$", r"\.pdf\?"], [r"archive", r"draft"]
 SUBJECTS = ["computer_science", "physics"]
@@ -33,15 +37,16 @@ MARKUP = [
     (2, "https://y.org/", '<h1>Only <b>Heading</b></h1><p>First paragraph of the page.</p><p>By: Someone Else</p><h2>Part</h2><script>var f="data/a.pdf";</script><div data-file="slides.pdf">Hill College</div> https://z.org/t.pdf'),
     (3, "https://z.net/a/b", ""),
 ]
+MARKUP_ = fx.Spread(MARKUP, "page_id int, url string, html string", "pages", "page_id", page_id="x.page_id", html="concat(t.html, coalesce(x.html, ''))")
 
 
 def author_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(AUTHORS, "id int, names string")
+    rows = AUTHORS_.rows(spark, sf_dir)
     return rows.select("id", F.array_join(pf.parse_authors(F.col("names")), "|").alias("authors"))
 
 
 def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = spark.createDataFrame(RAW, RAW_SCHEMA)
+    r = RAW_.rows(spark, sf_dir)
     title = pf.merged_title(F.col("embedded"), F.col("extracted"), F.col("filename"))
     ratio = pf.text_ratio(F.col("chars"), F.col("images"))
     quality = pf.quality_score(F.col("pages"), F.coalesce(ratio, F.lit(0.0)), F.col("chars"), title, F.col("n_authors"))
@@ -66,7 +71,7 @@ def quality_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(LINKS, "id int, url string")
+    rows = LINKS_.rows(spark, sf_dir)
     url = F.col("url")
     return rows.select("id", pf.safe_filename(url, F.lit("North Hill University Library")).alias("name"), pf.legacy_filename(url, F.lit("en"), F.lit("physics")).alias("legacy"), pf.download_url(url).alias("download"), pf.safe_folder(url).alias("folder"))
 
@@ -79,7 +84,7 @@ def path_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(LINKS, "id int, url string")
+    rows = LINKS_.rows(spark, sf_dir)
     url, base = F.col("url"), F.lit(BASE)
     return rows.select(
         "id", u.wanted_file(url, INCLUDE, EXCLUDE).alias("wanted"), u.crawlable_page(url, base).alias("page"), u.crawlable_type(url).alias("type_ok"), u.academic_url(url).alias("academic"),
@@ -112,16 +117,16 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markup_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = spark.createDataFrame(MARKUP, "page_id int, url string, html string")
+    m = MARKUP_.rows(spark, sf_dir)
     return pg.page_metadata(m).join(m.select("page_id", pg.site_name(F.col("html"), u.host(F.col("url"))).alias("site"), F.array_join(pg.file_patterns(F.col("html")), "|").alias("patterns")), "page_id")
 
 
 def markup_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pg.pdf_urls(spark.createDataFrame(MARKUP, "page_id int, url string, html string"))
+    return pg.pdf_urls(MARKUP_.rows(spark, sf_dir))
 
 
 def markup_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = spark.createDataFrame(MARKUP, "page_id int, url string, html string")
+    m = MARKUP_.rows(spark, sf_dir)
     return m.select("page_id", F.array_join(pg.embedded_urls(F.col("html"), F.col("url")), "|").alias("embedded"), F.array_join(pg.legacy_links(F.col("html")), "|").alias("legacy"))
 
 
@@ -177,7 +182,7 @@ def _pdfs_sql() -> str:
     loose = f"({_ENDS('x.href', ['.pdf'])} or {g.any_of('lower(x.href)', [*d.PDF_QUERY_TERMS, '.pdf?', '.pdf#'])})"
     told = f"({g.any_of('x.text', pg.LINK_WORDS)} and (contains(x.text, 'pdf') or ends_with(lower(x.href), '.pdf')))"
     pats = ", ".join(f"regexp_extract_all(html, {fx.literal(p)}, 1)" for p in pg.PDF_PATTERNS)
-    return f"""with {fx.values_sql('m', MARKUP, 'page_id int, url string, html string')}, a as (select *, {anchors} as a from m),
+    return f"""with {MARKUP_.sql('m')}, a as (select *, {anchors} as a from m),
       f as (select page_id, url, flatten([list_transform(list_filter(a, lambda x: {loose}), lambda x: x.href), {pats}, list_transform(list_filter(a, lambda x: {told}), lambda x: x.href)]) as found from a),
       e as (select page_id, url, unnest(found) as href, unnest(range(1, len(found) + 1)) as seq from f), r as (select page_id, seq, {_resolve('url', 'href')} as link from e),
       k as (select page_id, link, min(seq) as seq from r where {_PDF('link')} group by all)
@@ -192,9 +197,9 @@ QUERIES = {f.__name__: f for f in (
     author_arrays, metadata_merge, text_profile, quality_by_source, file_names, path_metadata, url_predicates, page_url_priority, source_tests, page_meta, page_links, markup_meta, markup_pdfs, markup_embedded,
 )}
 SQL = {
-    "author_arrays": rf"""with {fx.values_sql('a', AUTHORS, 'id int, names string')} select id, array_to_string(list_filter(list_transform(regexp_split_to_array(names, ';|,| and | & |\n'),
+    "author_arrays": rf"""with {AUTHORS_.sql('a')} select id, array_to_string(list_filter(list_transform(regexp_split_to_array(names, ';|,| and | & |\n'),
       lambda a: trim(regexp_replace(regexp_replace(trim(a), '(?i)^(Dr\.?|Prof\.?|Professor)\s+', ''), '(?i)\s+(Ph\.?D\.?|M\.?D\.?)$', ''))), lambda a: length(a) > 2)[1:10], '|') as authors from a""",
-    "metadata_merge": f"""with {fx.values_sql('r', RAW, RAW_SCHEMA)}, p as (select *, regexp_replace(regexp_replace(filename, '(?i)\\.pdf$', ''), '[_-]+', ' ', 'g') as plain from r),
+    "metadata_merge": f"""with {RAW_.sql('r')}, p as (select *, regexp_replace(regexp_replace(filename, '(?i)\\.pdf$', ''), '[_-]+', ' ', 'g') as plain from r),
       t as (select *, coalesce(nullif(embedded, ''), nullif(extracted, ''), {_TITLE_CASE.format(x='plain')}) as title, case when chars > 0 then case when images = 0 then case when chars > 1000 then 1.0 else 0.5 end::double else least(1.0::double, chars / (1000 * images)) end end as ratio from p)
       select id, title, round(ratio, 6) as text_ratio, round({_QUALITY.format(p='pages', r='coalesce(ratio, 0.0)', c='chars', t='title', a='n_authors')}, 6) as quality from t""",
     "text_profile": f"""select doc_id, {_TITLE} as title, round(greatest(0.0, least(1.0, 1.0::double - abs(len(regexp_extract_all(text, '\\S+')) / (len(regexp_extract_all(text, '[.!?]+')) + 1) - 15) / 15)), 6) as readability, sha256(text) as content_hash,
@@ -203,7 +208,7 @@ SQL = {
       from (select *, regexp_extract_all(text, '\\s*([^.!?]+[.!?]*)', 1) as s from documents)""",
     "quality_by_source": f"""with q as (select doc_id, source, round({_QUALITY.format(p='ceil(length(text) / 2000)', r='1.0::double', c='length(text)', t=_TITLE, a='0')}, 6) as q from documents)
       select source, count(*) as n_docs, round(avg(q), 6) as avg_q, sum(quality)::bigint as n_good, count(quality) as n_labelled from q left join labels using (doc_id) group by source""",
-    "file_names": f"""with {fx.values_sql('l', LINKS, 'id int, url string')}, p as (select *, case when {_PATH.format(x='url')} = '' then '' else {_PATH.format(x='url')} end as path from l),
+    "file_names": f"""with {LINKS_.sql('l')}, p as (select *, case when {_PATH.format(x='url')} = '' then '' else {_PATH.format(x='url')} end as path from l),
       b as (select *, regexp_extract(path, '([^/]*)$', 1) as base, regexp_replace(replace(path, '/', '_'), '[^\\p{{L}}\\p{{N}}_.-]', '_', 'g') as other from p)
       select id, substr(substr('North_Hill_University_Library', 1, 20) || '_' || {_SAFE.format(x="case when ends_with(lower(base), '.pdf') then base when ends_with(lower(other), '.pdf') then other else other || '.pdf' end")}, 1, 100) as name,
       concat_ws('_', 'en', 'physics', substr(case when ends_with(base, '.pdf') then base else regexp_replace(base, '[^\\p{{L}}\\p{{N}}_]+', '_', 'g') || '.pdf' end, 1, 64)) as legacy,
@@ -214,7 +219,7 @@ SQL = {
       select filename, case when {g.any_of('path', ['computer', 'cs'])} then 'computer_science' when contains(path, 'math') then 'mathematics' when contains(path, 'physics') then 'physics' else subject_area end as subject,
       coalesce(array_to_string(list_sort(list_distinct(flatten([keywords, case when contains(name, 'lecture') then ['lecture', 'course material'] else [] end, case when contains(name, 'tutorial') then ['tutorial', 'learning'] else [] end,
       case when contains(name, 'assignment') then ['assignment', 'homework'] else [] end, case when contains(name, 'exam') then ['exam', 'test'] else [] end]))), '|'), '') as keywords, subject_area || '/' || academic_level || '/general' as folder from n""",
-    "url_predicates": f"""with {fx.values_sql('l', LINKS, 'id int, url string')}, h as (select *, {_HOST.format(x='url')} = 'www.north.edu' as same from l)
+    "url_predicates": f"""with {LINKS_.sql('l')}, h as (select *, {_HOST.format(x='url')} = 'www.north.edu' as same from l)
       select id, not {_RX('url', EXCLUDE)} and {_RX('url', INCLUDE)} as wanted, same and not {_ENDS('url', d.PAGE_EXTENSIONS)} and not {g.any_of('lower(url)', d.PAGE_SKIPS)} as page, not {_ENDS('url', d.CRAWL_EXTENSIONS)} as type_ok, {_ACADEMIC} as academic,
       {_RX('lower(url)', _PATHS)} as entry, not {g.any_of('lower(url)', d.CRAWL_SKIPS)} as general, same and not {_ENDS('url', d.CRAWL_EXTENSIONS)} and ({_ACADEMIC} or not {g.any_of('lower(url)', d.CRAWL_SKIPS)}) as crawl, {_PDF('url')} as pdf,
       {_ENDS('url', ['.pdf'])} or {g.any_of('lower(url)', [*d.PDF_QUERY_TERMS, '.pdf?', '.pdf#'])} as loose_pdf, {g.any_of('lower(url)', ['document', 'material', 'resource', 'download', 'file', 'publication', 'paper', 'report', 'lecture', 'course'])} as maybe, {_priority(SUBJECTS)} as priority from h""",
@@ -226,7 +231,7 @@ SQL = {
     "page_meta": f"select page_id, coalesce({_inner('title')}, {_inner('h1')}, '') as title, {_DESC} as description, {_KEYS} as keywords, length({_PAGE_TEXT})::bigint as text_chars from pages",
     "page_links": f"""with a as (select page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*href=["''][^"'']*["''][^>]*>.*?</a\\s*>') as a from pages), e as (select page_id, url, unnest(a) as a, unnest(range(0, len(a))) as pos from a),
       h as (select page_id, url, pos, regexp_extract(a, '(?is)href=["'']([^"'']*)["'']', 1) as href, trim({_tag('a')}) as link_text from e) select page_id, pos, href, link_text, {_resolve('url', 'href')} as link from h""",
-    "markup_meta": f"""with {fx.values_sql('m', MARKUP, 'page_id int, url string, html string')}, t as (select *, {_PAGE_TEXT} as txt, {_HOST.format(x='url')} as host, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) as raw from m),
+    "markup_meta": f"""with {MARKUP_.sql('m')}, t as (select *, {_PAGE_TEXT} as txt, {_HOST.format(x='url')} as host, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) as raw from m),
       i as (select *, coalesce(nullif(trim(regexp_extract(txt, '(?i)([^<>\\n]+ university)', 1)), ''), nullif(trim(regexp_extract(txt, '(?i)([^<>\\n]+ college)', 1)), ''), nullif(trim(regexp_extract(txt, '(?i)([^<>\\n]+ institute)', 1)), ''), nullif(trim(regexp_extract(txt, '(?i)university of ([^<>\\n]+)', 1)), '')) as inst,
         regexp_replace(regexp_replace(raw, '\\s*-\\s*.*$', ''), '\\s*\\|\\s*.*$', '') as short, replace(replace(replace(host, 'www.', ''), '.edu', ''), '.org', '') as bare,
         list_transform(regexp_extract_all(html, {fx.literal(pg.PDF_PATTERNS[0])}, 1), lambda x: lower(x)) as ls from t)
@@ -238,7 +243,7 @@ SQL = {
       array_to_string(list_sort(list_filter([case when len(list_filter(ls, lambda x: contains(x, 'lecture'))) > 0 then 'lecture.*\\.pdf' end, case when len(list_filter(ls, lambda x: contains(x, 'notes'))) > 0 then 'notes.*\\.pdf' end,
         case when len(list_filter(ls, lambda x: contains(x, 'slides'))) > 0 then 'slides.*\\.pdf' end, case when len(list_filter(ls, lambda x: contains(x, 'homework') or contains(x, 'assignment'))) > 0 then '(homework|assignment).*\\.pdf' end, '\\.pdf$'], lambda x: x is not null)), '|') as patterns from i""",
     "markup_pdfs": _pdfs_sql(),
-    "markup_embedded": f"""with {fx.values_sql('m', MARKUP, 'page_id int, url string, html string')}, f as (select *, list_concat(regexp_extract_all(html, '(?i)["'']([^"'']*\\.pdf[^"'']*)["'']', 1), regexp_extract_all(html, '(?i)data-[^=]*=["'']([^"'']*\\.pdf[^"'']*)["'']', 1)) as found,
+    "markup_embedded": f"""with {MARKUP_.sql('m')}, f as (select *, list_concat(regexp_extract_all(html, '(?i)["'']([^"'']*\\.pdf[^"'']*)["'']', 1), regexp_extract_all(html, '(?i)data-[^=]*=["'']([^"'']*\\.pdf[^"'']*)["'']', 1)) as found,
       list_filter(list_concat(regexp_extract_all(html, {fx.literal(pg.PDF_PATTERNS[0])}, 1), regexp_extract_all(html, {fx.literal(pg.PDF_PATTERNS[1])}, 1)), lambda x: ends_with(x, '.pdf')) as legacy from m)
       select page_id, array_to_string(list_transform(found, lambda h: {_resolve('url', 'h')}), '|') as embedded, array_to_string(legacy, '|') as legacy from f""",
 }

@@ -76,7 +76,7 @@ def meta(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     )
 
 
-def spread(spark: SparkSession, sf_dir: str, rows: Sequence[tuple], schema: str, table: str, key: str, **columns: str) -> DataFrame:
+def spread(spark: SparkSession, sf_dir: str, rows: Sequence[tuple], schema: str, table: str, key: str, columns: dict[str, str]) -> DataFrame:
     """Template rows dealt over a table by its key: a row of the template for each row of the table, with the given columns as SQL over both."""
     names = [x.split()[0] for x in schema.split(", ")]
     tpl = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "turn int, " + schema)
@@ -84,13 +84,29 @@ def spread(spark: SparkSession, sf_dir: str, rows: Sequence[tuple], schema: str,
     return both.select(*[F.expr(columns[n]).alias(n) if n in columns else F.col(f"t.{n}") for n in names])
 
 
-def spread_sql(name: str, rows: Sequence[tuple], schema: str, table: str, key: str, **columns: str) -> str:
+def spread_sql(name: str, rows: Sequence[tuple], schema: str, table: str, key: str, columns: dict[str, str]) -> str:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [f"t.{n}" for n in names]
     body = values_sql(f"{name}_tpl", [(i, *r) for i, r in enumerate(rows)], "turn int, " + schema)
     return f"{body}, {name} as (select {', '.join(f'{columns[n]} as {n}' if n in columns else f'{k} as {n}' for n, k in zip(names, kinds, strict=True))} from {table} x join {name}_tpl t on x.{key} % {len(rows)} = t.turn)"
 
 
+class Spread:
+    """Template rows over a table, as Spark rows and as SQL."""
+
+    def __init__(self, rows: Sequence[tuple], schema: str, table: str, key: str, **columns: str):
+        self.args = rows, schema, table, key
+        self.columns = columns
+
+    def rows(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, schema, table, key = self.args
+        return spread(spark, sf_dir, rows, schema, table, key, self.columns)
+
+    def sql(self, name: str) -> str:
+        rows, schema, table, key = self.args
+        return spread_sql(name, rows, schema, table, key, self.columns)
+
+
 def literal(v: Any) -> str:
     if v is None:
         return "null"

@@ -16,6 +16,7 @@ ERRORS = [
     (7, "MemoryError", None, ""), (8, "Custom", None, "Access denied"), (9, "Custom", None, "out of memory"), (10, "Custom", 301, "nothing"), (11, "UnicodeDecodeError", None, "can't decode byte"), (12, "OSError", None, "disk"),
 ]
 ERROR_SCHEMA = "id int, name string, status int, message string"
+ERRORS_ = fx.Spread(ERRORS, ERROR_SCHEMA, "events", "event_id", id="x.event_id")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,13 +98,14 @@ def rate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(ERRORS, ERROR_SCHEMA).withColumn("e", mo.classify_error(F.col("name"), F.col("status"), F.col("message")))
+    rows = ERRORS_.rows(spark, sf_dir).withColumn("e", mo.classify_error(F.col("name"), F.col("status"), F.col("message")))
     c, s = F.col("e.category"), F.col("e.severity")
     return rows.select("id", c.alias("category"), s.alias("severity"), mo.retryable(c, s, F.col("message")).alias("retry"), mo.recovery_strategy(c, s).alias("strategy"))
 
 
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(8).select("id", mo.backoff(F.col("id")).alias("exponential"), mo.backoff(F.col("id"), 0.5, 3.0, 100.0).alias("steeper"))
+    e = events(spark, sf_dir).select(F.col("event_id").alias("id"), (F.col("event_id") % 8).alias("attempt"))
+    return e.select("id", mo.backoff(F.col("attempt")).alias("exponential"), mo.backoff(F.col("attempt"), 0.5, 3.0, 100.0).alias("steeper"))
 
 
 def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +115,7 @@ def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALERTS = "alerts as (select *, (value - limit_) / limit_ * 100 as excess from (select *, case " + " ".join(f"when event_type = '{k}' then {v}::double" for k, v in THRESHOLDS.items()) + " end as limit_ from events) where value > limit_), a as (select *, case when excess > 50 then 'critical' when excess > 25 then 'error' else 'warning' end as severity from alerts)"
-_E = f"with {fx.values_sql('e', ERRORS, ERROR_SCHEMA)}"
+_E = f"with {ERRORS_.sql('e')}"
 _CLASS = "case " + " ".join(f"when name = '{n}' then '{c}:{s}'" for n, c, s in d.ERROR_NAMES) + " when status = 429 then 'rate_limit:low' when status in (401, 403) then 'authentication:high' when status between 400 and 499 then 'content:medium' when status between 500 and 599 then 'network:high' " + " ".join(f"when {g.any_of('lower(message)', t)} then '{c}:{s}'" for t, c, s in d.ERROR_WORDS) + " else 'unknown:medium' end"
 
 QUERIES = {f.__name__: f for f in (
@@ -138,5 +140,5 @@ SQL = {
     "error_classification": f"""{_E}, c as (select *, string_split({_CLASS}, ':') as cs from e), f as (select id, message, cs[1] as category, cs[2] as severity from c)
       select id, category, severity, severity <> 'critical' and category <> 'authentication' and not (category = 'content' and contains(lower(message), 'decode')) and category in ('network', 'timeout', 'rate_limit') as retry,
       case when severity = 'critical' then 'abort' {' '.join(f"when category = '{c}' then '{s}'" for c, s in d.RECOVERY.items())} else 'retry' end as strategy from f""",
-    "backoff_schedule": "select i::bigint as id, least(1.0 * pow(2.0, i), 60.0)::double as exponential, least(0.5 * pow(3.0, i), 100.0)::double as steeper from range(8) t(i)",
+    "backoff_schedule": "select event_id as id, least(1.0 * pow(2.0, event_id % 8), 60.0)::double as exponential, least(0.5 * pow(3.0, event_id % 8), 100.0)::double as steeper from events",
 }

@@ -82,10 +82,11 @@ def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATEGORIES = [("p1", ["cs.LG", "stat.ML"]), ("p2", ["hep-th", "quant-ph"]), ("p3", ["cond-mat.str-el", "astro-ph.GA"]), ("p4", ["econ.EM", "xyz"]), ("p5", ["unknown"]), ("p6", [])]
+CATEGORIES_ = fx.Spread(CATEGORIES, "paper string, categories array<string>", "documents", "doc_id", paper="concat(t.paper, '-', x.doc_id)")
 
 
 def category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(CATEGORIES, "paper string, categories array<string>")
+    rows = CATEGORIES_.rows(spark, sf_dir)
     return rows.select("paper", F.array_join(sc.category_subjects(F.col("categories")), ",").alias("subjects"))
 
 
@@ -197,7 +198,7 @@ def _labels_sql() -> str:
 
 def _category_sql() -> str:
     one = "case " + " ".join(f"when starts_with(c, '{p}') then '{s}'" for p, s in d.CATEGORY_PREFIXES) + " end"
-    return f"""with {fx.values_sql('p', CATEGORIES, 'paper string, categories array')}, x as (select paper, list_sort(list_distinct(list_filter(list_transform(categories, lambda c: {one}), lambda s: s is not null))) as found from p)
+    return f"""with {CATEGORIES_.sql('p')}, x as (select paper, list_sort(list_distinct(list_filter(list_transform(categories, lambda c: {one}), lambda s: s is not null))) as found from p)
   select paper, case when len(found) > 0 then array_to_string(found, ',') else 'general' end as subjects from x"""
 
 

@@ -193,13 +193,10 @@ def federated(*papers: DataFrame) -> DataFrame:
     return out
 
 
-def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
-    """(url): distinct locations of url sets among rows (location, xml), following index files into the same table, level by level."""
+def sitemap_entries(sitemaps: DataFrame) -> DataFrame:
+    """Rows (location, xml) to (location, url, is_index): each <loc>, and whether the file is an index of sitemaps."""
     loc = F.explode(F.transform(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1), lambda x: F.trim(x))).alias("url")
-    is_index = F.lower("xml").contains("<sitemapindex")
-    linked = sitemaps.where(is_index).select(loc).distinct()
-    roots = sitemaps.join(linked, F.col("location") == F.col("url"), "left_anti").unionByName(sitemaps.join(linked, F.col("location") == F.col("url"), "left_semi"))
-    return roots.where(~is_index).select(loc).distinct()
+    return sitemaps.select("location", loc, F.lower("xml").contains("<sitemapindex").alias("is_index"))
 
 
 def search_results(pages: DataFrame, item: str, title: str) -> DataFrame:

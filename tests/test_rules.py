@@ -182,12 +182,14 @@ def test_sinks(spark, tmp_path):
     assert page.startswith("# Physics\n\n2 documents") and "`doc07.pdf`" in page
 
 
-def test_task_times_follow_the_old_status(spark):
+def test_task_times_follow_the_old_status(spark, sf):
     from folioflow.plans import catalog as pc
 
-    got = {r["task_id"]: r for r in pc.status_transition(spark, "").collect()}
-    assert (got["t3"]["status"], got["t3"]["started_at"], got["t3"]["completed_at"]) == ("completed", pc.NOW, None)
-    assert (got["t6"]["completed_at"], got["t1"]["started_at"]) == (pc.NOW, None)
+    keys = [r["o_orderkey"] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()]
+    got = {r["task_id"]: r for r in pc.status_transition(spark, sf).collect()}
+    one = lambda turn: got[f"t{next(k for k in keys if k % 6 == turn)}"]
+    assert (one(2)["status"], one(2)["started_at"], one(2)["completed_at"]) == ("completed", pc.NOW, None)
+    assert (one(5)["completed_at"], one(0)["started_at"], one(0)["status"]) == (pc.NOW, None, "processing")
 
 
 def test_text_ratio_and_summary(spark):
