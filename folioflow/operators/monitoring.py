@@ -188,13 +188,23 @@ class Breaker:
 
 
 def breaker_states(calls: DataFrame, key: str, **limits) -> DataFrame:
-    """(key, seq, allowed, state, failures) for calls (key, seq, seconds, ok): a fold over each key's calls in order of seq."""
-
-    def fold(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        b = Breaker(**limits)
-        rows = rows.sort_values("seq")
-        out = [b.step(s, ok) for s, ok in zip(rows["seconds"], rows["ok"], strict=True)]
-        return pd.DataFrame({key: name[0], "seq": rows["seq"].to_numpy(), "allowed": [x[0] for x in out], "state": [x[1] for x in out], "failures": [x[2] for x in out]})
+    """(key, seq, allowed, state, failures) for calls (key, seq, seconds, ok): a fold over each key's calls in order of seq.
 
+    A key's calls are sorted into one task and read from there in batches, with
+    the breaker carried from one to the next, so a hot key costs time but no memory.
+    """
     kind = dict(calls.dtypes)[key]
-    return calls.groupBy(key).applyInPandas(fold, f"{key} {kind}, {BREAKER}")
+    dealt = calls.select(key, "seq", "seconds", "ok").repartition(key).sortWithinPartitions(key, "seq")
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name: object = None
+        b: Breaker | None = None
+        for rows in parts:
+            out = []
+            for own, seq, seconds, ok in rows.itertuples(index=False):
+                if b is None or own != name:
+                    name, b = own, Breaker(**limits)
+                out.append((own, seq, *b.step(seconds, ok)))
+            yield pd.DataFrame(out, columns=[key, "seq", "allowed", "state", "failures"])
+
+    return dealt.mapInPandas(fold, f"{key} {kind}, {BREAKER}")

@@ -11,6 +11,11 @@ def with_texts(meta: DataFrame, texts: DataFrame, key: str = "filename") -> Data
     return meta.join(texts.select(key, "text"), key, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def with_known_texts(meta: DataFrame, texts: DataFrame, key: str = "filename") -> DataFrame:
+    """Documents that have a text, with it."""
+    return meta.join(texts.select(key, "text"), key)
+
+
 def group_documents(groups: DataFrame, meta: DataFrame, key: str = "filename") -> DataFrame:
     """(group, document) rows of groups (name, members)."""
     return groups.select("name", F.explode("members").alias(key)).join(meta, key)

@@ -140,5 +140,11 @@ SQL = {
     "error_classification": f"""{_E}, c as (select *, string_split({_CLASS}, ':') as cs from e), f as (select id, message, cs[1] as category, cs[2] as severity from c)
       select id, category, severity, severity <> 'critical' and category <> 'authentication' and not (category = 'content' and contains(lower(message), 'decode')) and category in ('network', 'timeout', 'rate_limit') as retry,
       case when severity = 'critical' then 'abort' {' '.join(f"when category = '{c}' then '{s}'" for c, s in d.RECOVERY.items())} else 'retry' end as strategy from f""",
+    "breaker_states": """with recursive c as materialized (select user_id, event_id as seq, epoch_us(ts) / 1e6 as t, event_type <> 'error' as ok, row_number() over (partition by user_id order by event_id) as i from events),
+      f as (select user_id, 0::bigint as i, null::bigint as seq, true as allowed, 'closed' as state, 0 as failures, 0 as good, null::double as last_ from (select distinct user_id from c) union all
+        select user_id, i, seq, allowed, case when not allowed then state when ok then case when was = 'half_open' and good + 1 >= 2 then 'closed' else was end when was = 'half_open' or failures + 1 >= 2 then 'open' else was end,
+          case when not allowed then failures when ok then case when was = 'closed' or good + 1 >= 2 then 0 else failures end else failures + 1 end, case when not allowed then good when ok and was = 'half_open' then good + 1 else good end, case when allowed and not ok then t else last_ end
+        from (select f.user_id, c.i, c.seq, c.t, c.ok, f.state, f.failures, f.last_, not (f.state = 'open' and f.last_ is not null and c.t - f.last_ < 86400.0) as allowed, case when f.state = 'open' then 'half_open' else f.state end as was, case when f.state = 'open' then 0 else f.good end as good from f join c on c.user_id = f.user_id and c.i = f.i + 1))
+      select user_id, seq, allowed, state, failures from f where i > 0""",
     "backoff_schedule": "select event_id as id, least(1.0 * pow(2.0, event_id % 8), 60.0)::double as exponential, least(0.5 * pow(3.0, event_id % 8), 100.0)::double as steeper from events",
 }

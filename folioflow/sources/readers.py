@@ -92,6 +92,30 @@ def registry(spark: SparkSession, text: str, kind: str) -> DataFrame:
     return spark.createDataFrame(rows, SOURCE)
 
 
+def registry_rows(rows: DataFrame, entry: str) -> DataFrame:
+    """Sources of a registry of JSON entries, one a row: a broken entry, one without name or address, or with a strategy, level or time that is none, is dropped; what is missing takes the default."""
+    kinds = [x.split() for x in SOURCE.split(", ")]
+    raw = ", ".join(f"{n} {'string' if n == 'last_crawled' else t}" for n, t in kinds)
+    e = F.from_json(entry, raw, {"mode": "PERMISSIVE"})
+    s = rows.select(e.alias("e")).select("e.*")
+    when = F.try_to_timestamp("last_crawled")
+    good = F.col("name").isNotNull() & F.col("base_url").isNotNull() & F.coalesce(F.col("scraping_strategy").isin(STRATEGIES), F.lit(True)) & (F.col("last_crawled").isNull() | when.isNotNull())
+    good &= F.coalesce(F.forall("academic_levels", lambda x: x.isin(d.LEVELS)), F.lit(True))
+    s = s.where(good).withColumn("last_crawled", when.cast("timestamp_ntz"))
+    return s.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in DEFAULTS.items()})
+
+
+def candidate_title(text: Column, title: Column, least: int = 10) -> Column:
+    """The file's own title, else the first line of its text that could be one."""
+    line = F.get(F.filter(F.split(text, "\n"), lambda x: F.char_length(F.trim(x)).between(least, 200)), F.lit(0))
+    return F.coalesce(F.when(title != "", title), F.trim(line), F.lit(""))
+
+
+def detected_charset(content: Column, header: Column) -> Column:
+    """The header's charset; without one, UTF-8 if the bytes are valid in it, else ISO-8859-1, in which all are."""
+    return F.coalesce(header, F.when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise("ISO-8859-1"))
+
+
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """Files *.pdf below a folder, hidden ones left out: path, filename, length, head, content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path)
@@ -208,4 +232,4 @@ def search_results(pages: DataFrame, item: str, title: str) -> DataFrame:
 
 
 def legacy_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema="filename string, language string, field string, url string, source string, hash string, size bigint, title string, excerpt string")
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', schema="filename string, language string, field string, url string, source string, hash string, size bigint, title string, excerpt string")

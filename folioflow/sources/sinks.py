@@ -36,4 +36,4 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 def append_csv(df: DataFrame, path: str, excerpt: Column) -> None:
     """Metadata rows with an excerpt of 500 characters."""
-    df.withColumn("excerpt", F.substring(excerpt, 1, 500)).write.mode("append").csv(path, header=True)
+    df.withColumn("excerpt", F.substring(excerpt, 1, 500)).write.mode("append").csv(path, header=True, escape='"', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -3,9 +3,9 @@
 import pytest
 from oracle import same
 
-from folioflow.plans import catalog, context, documents, flagship, grouping, learned, monitoring, relations, scoring
+from folioflow.plans import catalog, context, documents, flagship, grouping, learned, monitoring, operations, relations, scoring
 
-PLANS = (flagship, scoring, documents, grouping, catalog, relations, monitoring, context, learned)
+PLANS = (flagship, scoring, documents, grouping, catalog, relations, monitoring, operations, context, learned)
 CASES = [(p, name) for p in PLANS for name in p.QUERIES if name in p.SQL]
 ONE_ROW = {"crawl_statistics", "processing_report", "filter_counts", "alert_statistics", "availability_summary", "rate_report", "key_checks", "source_health", "collection_stats", "recent_papers"}
 
