@@ -21,7 +21,7 @@ SENTENCE, TOKEN = re.compile(r"[^.!?]+"), re.compile(r"\w\w+")
 
 
 def keywords_of(text: str, stop: frozenset[str], most: int = 20) -> list[str]:
-    """Words and word pairs of the highest mean TF-IDF weight over the text's own sentences; none under 50 characters."""
+    """Words and word pairs of the highest mean TF-IDF weight, to nine places, over the text's own sentences; none under 50 characters."""
     if len(text) < 50:
         return []
     sentences = []
@@ -41,12 +41,12 @@ def keywords_of(text: str, stop: frozenset[str], most: int = 20) -> list[str]:
         norm = math.sqrt(sum(x * x for x in w.values()))
         for t, x in w.items():
             weight[t] += x / norm / n
-    return [t for t, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:most]]
+    return [t for t, _ in sorted(weight.items(), key=lambda x: (-round(x[1], 9), x[0]))[:most]]
 
 
 def keywords(docs: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = 20) -> DataFrame:
     """(id, keywords) of each text; every document is a corpus of its own, so nothing is shuffled."""
-    stop = frozenset(StopWordsRemover.loadDefaultStopWords("english"))
+    stop = frozenset(d.ENGLISH_STOP_WORDS)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
