@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 #: Word of every contract: a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 2 << 20
 ROW_GROUP_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table. If it has fewer files than there are cores, its rows are dealt over all: a file of one row group is otherwise the work of one task. Larger tables are not moved."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
 
 
 #: Lets Spark drop the shuffle files of a finished write; the written table needs them no more.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import WORD, Words, bound_batches, discard, materialize, mix, runs_of, shingle_values, u64, words
+from folioflow.llm.common import WORD, Words, bound_batches, discard, materialize, mix, runs_of, shingle_values, table, u64, words
 
 FOUND = "found array<struct<item_id:bigint,n_shared:bigint,n_item:bigint>>"
 
@@ -195,7 +195,7 @@ def search(docs: DataFrame, block: Items, containment: float) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = find_items(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    docs = find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     one = docs.select("doc_id", F.explode("found").alias("f")).select("doc_id", F.col("f.item_id").alias("item_id"), F.col("f.n_shared").alias("n_shared"), F.col("f.n_item").alias("n_item"))
     return one.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import bound_batches, crc_mod
+from folioflow.llm.common import bound_batches, crc_mod, table
 
 BUCKETS = 1 << 15
 OTHER = "other"
@@ -176,6 +176,6 @@ def predict(docs: DataFrame, model: Mixtures, keep: Sequence[str] = ("doc_id",))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 3) == 1)
     bound_batches(spark)
     return predict(docs, fit(docs.where("not held_out")), keep=("doc_id", "held_out"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WORD, materialize
+from folioflow.llm.common import WORD, materialize, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST, SEED = 1.5, 2.0, "mix-1"
@@ -106,7 +106,7 @@ def emit(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), identity(F.col("doc_id"), F.col("text")).alias("identity_"))
     mixed = repetitions(materialize(rows, "mix-sizes"), sized=True)  # texts are read once
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

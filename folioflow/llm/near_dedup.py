@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bound_batches, discard, materialize, mix, shingle_values, u64, words
+from folioflow.llm.common import bound_batches, discard, materialize, mix, shingle_values, table, u64, words
 from folioflow.llm.graph import components
 
 FIRST_DEPTH = 2
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, trees: in
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 OP7_SQL = r"""

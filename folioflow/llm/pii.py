@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import bound_batches, mix, u64
+from folioflow.llm.common import bound_batches, mix, table, u64
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -551,7 +551,7 @@ def find_pii(docs: DataFrame, model: Tagger, keep: Sequence[str] = ("doc_id",),
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_pii(docs, fit(docs))
     form = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Words, bound_batches, crc_mod, words
+from folioflow.llm.common import Words, bound_batches, crc_mod, table, words
 
 FEATURES = (
     "log_words", "mean_word", "long_word", "distinct", "top_word", "pair_repeat", "upper", "digit", "punct", "symbol", "non_ascii", "space",
@@ -182,7 +182,7 @@ def score(docs: DataFrame, forest: Forest, threshold: float = 0.7) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 4) == 2)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod("doc_id", 4) != 2)
     bound_batches(spark)
     return score(docs, fit(docs.where("not held_out"), labels))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import Words, bound_batches, discard, materialize, mix, u64, words
+from folioflow.llm.common import Words, bound_batches, discard, materialize, mix, table, u64, words
 
 #: A run of more equal words is left as it is.
 LONGEST_RUN = 16
@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import discard, materialize, scratch_path
+from folioflow.llm.common import discard, materialize, scratch_path, table
 
 RECORD = "path string, ordinal long, page_id long, record_id string, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
 END = "\r\n\r\n"
@@ -256,7 +256,7 @@ def archive_pages(spark: SparkSession, pages: DataFrame, min_payload_bytes: int
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = archive_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), date=datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
+    out = archive_pages(spark, table(spark, sf_dir, "pages"), date=datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
