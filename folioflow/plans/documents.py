@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import dictionaries as d
 from folioflow.functions import text as tx
+from folioflow.functions.tables import table
 from folioflow.operators import pages as pg
 from folioflow.operators import profile as pf
 from folioflow.operators import urls as u
@@ -55,14 +56,14 @@ def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rows.select("doc_id", pf.title_from_text(t).alias("title"), F.round(pf.sentence_readability(t), 6).alias("readability"), pf.content_hash(t).alias("content_hash"),
                        F.md5(pf.clean_text(t)).alias("clean_md5"), F.md5(pf.summary(t)).alias("summary_md5"))
 
 
 def quality_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extractor's quality score by source, a page being 2000 characters, beside the labels."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     n = F.char_length("text")
     q = pf.quality_score(F.ceil(n / 2000), F.lit(1.0), n, pf.title_from_text(F.col("text")), F.lit(0))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
@@ -94,7 +95,7 @@ def url_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_url_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
     return p.select("page_id", u.host(F.col("url")).alias("host"), u.path(F.col("url")).alias("path"), u.priority(F.col("url")).alias("priority"), u.generally_crawlable(F.col("url")).alias("general"))
 
 
@@ -106,13 +107,13 @@ def source_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    p = table(spark, sf_dir, "pages")
     html = F.col("html")
     return p.select("page_id", pg.title(html).alias("title"), pg.description(html).alias("description"), F.array_join(pg.keywords(html), "|").alias("keywords"), F.char_length(pg.page_text(html)).cast("bigint").alias("text_chars"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = pg.page_links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    links = pg.page_links(table(spark, sf_dir, "pages"))
     return links.select("page_id", "pos", "href", "link_text", "link")
 
 

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions.tables import table
+
 META = (
     "ordinal int, filename string, title string, authors array<string>, institution string, subject_area string, academic_level string, keywords array<string>, course_code string, "
     "page_count int, text_ratio double, quality_score double, description string, file_size bigint, download_source string, content string"
@@ -58,7 +60,7 @@ def meta(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
         return spark.createDataFrame(DOCS, META)
     rows = [(*r, t) for r, t in zip(DOCS, TITLES, strict=True)]
     tpl = F.broadcast(spark.createDataFrame(rows, META.replace("ordinal int", "turn int") + ", pattern string").withColumnsRenamed({c: f"t_{c}" for c in ("filename", "title", "file_size", "page_count", "text_ratio", "quality_score")}))
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").join(tpl, F.col("doc_id") % len(DOCS) == F.col("turn"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars").join(tpl, F.col("doc_id") % len(DOCS) == F.col("turn"))
     i = F.col("doc_id")
     cohort = F.floor(i / COHORT).cast("bigint")
     step = F.floor((i % COHORT) / len(DOCS)).cast("bigint")
@@ -76,11 +78,11 @@ def meta(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     )
 
 
-def spread(spark: SparkSession, sf_dir: str, rows: Sequence[tuple], schema: str, table: str, key: str, columns: dict[str, str]) -> DataFrame:
+def spread(spark: SparkSession, sf_dir: str, rows: Sequence[tuple], schema: str, name: str, key: str, columns: dict[str, str]) -> DataFrame:
     """Template rows dealt over a table by its key: a row of the template for each row of the table, with the given columns as SQL over both."""
     names = [x.split()[0] for x in schema.split(", ")]
     tpl = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "turn int, " + schema)
-    both = spark.read.parquet(f"{sf_dir}/{table}.parquet").alias("x").join(F.broadcast(tpl).alias("t"), F.col(f"x.{key}") % len(rows) == F.col("t.turn"))
+    both = spark.read.parquet(f"{sf_dir}/{name}.parquet").alias("x").join(F.broadcast(tpl).alias("t"), F.col(f"x.{key}") % len(rows) == F.col("t.turn"))
     return both.select(*[F.expr(columns[n]).alias(n) if n in columns else F.col(f"t.{n}") for n in names])
 
 

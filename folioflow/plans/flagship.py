@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.readability import add_readability
+from folioflow.functions.tables import table
 from folioflow.operators.grouping import hierarchy_rollup
 from folioflow.plans import sqlgen as g
 
@@ -13,8 +14,8 @@ from folioflow.plans import sqlgen as g
 def curated(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """Readable documents of at least min_words words, the first of equal texts.
 
-    The first of equal texts is found on (hash, id) alone and comes back by an
-    equi-join on unique ids; texts are dropped before anything is shuffled.
+    The first of equal texts is a minimum over (id, measures) by hash, summed up
+    in each task; texts are dropped before anything is shuffled.
     """
     profile = add_readability(docs).select("doc_id", "lang", "source", "words", "sentences", "complexity", F.sha2("text", 256).alias("h"))
     firsts = profile.groupBy("h").agg(F.min_by(F.struct("doc_id", "lang", "source", "words", "sentences", "complexity"), "doc_id").alias("d"))
@@ -22,7 +23,7 @@ def curated(docs: DataFrame, min_words: int = 20) -> DataFrame:
 
 
 def curate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     kept = curated(docs)
     return kept.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("words").alias("sum_words"), F.sum("sentences").alias("sum_sentences"), F.min("doc_id").alias("first_doc"), F.round(F.avg(F.round("complexity", 6)), 5).alias("avg_complexity")
@@ -30,7 +31,7 @@ def curate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curated_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return hierarchy_rollup(curated(docs), "lang", "source").select("lang", "source", F.col("n").alias("n_docs"), F.col("rolled").cast("bigint").alias("rolled"))
 
 

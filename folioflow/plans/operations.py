@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import dictionaries as d
 from folioflow.functions import text as tx
-from folioflow.functions.tables import scratch_path
+from folioflow.functions.tables import scratch_path, table
 from folioflow.operators import crawl as cr
 from folioflow.operators import monitoring as mo
 from folioflow.operators import operations as op
@@ -40,10 +40,6 @@ RESULTS_ = fx.Spread([(0, "", h) for (h,) in RESULTS], "page_id int, url string,
 CONSTRUCTED = r"[^ -~]|[()\\]"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- sources -------------------------------------------------------------
 
 _STRATEGIES = "case {k} % 4 when 0 then 'static_html' when 1 then 'api_endpoint' when 2 then 'telepathy' else 'rss_feed' end"

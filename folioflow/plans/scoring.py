@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import dictionaries as d
 from folioflow.functions.readability import add_readability
+from folioflow.functions.tables import table
 from folioflow.operators import scoring as sc
 from folioflow.plans import fixtures as fx
 from folioflow.plans import sqlgen as g
@@ -19,7 +20,7 @@ LANGUAGE_WORDS = {"en": [" the ", " and ", " of "], "fr": [" le ", " et ", " les
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def readability_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
