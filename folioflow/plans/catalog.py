@@ -71,7 +71,7 @@ def part_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.meta(spark, sf_dir).withColumn("similarity_hash", F.col("subject_area"))
-    return ca.similar_by_hash(m, "physics", 0.87).select("filename")
+    return ca.similar_by_hash(m, "physics", 0.5).select("filename")
 
 
 def source_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +242,7 @@ QUERIES = {f.__name__: f for f in (
 SQL = {
     "metadata_search": f"with {fx.meta_sql()} select filename, quality_score::double as quality_score from meta where quality_score >= 0.5 and subject_area = 'mathematics' order by quality_score desc, ordinal limit 5",
     "part_search": "select p_partkey as ordinal, p_retailprice as quality_score from part where p_retailprice >= 905.0 and p_brand = 'Brand#4' order by p_retailprice desc, p_partkey limit 20",
-    "similar_hash": f"with {fx.meta_sql()} select filename from meta where subject_area = 'physics' and quality_score >= 0.87",
+    "similar_hash": f"with {fx.meta_sql()} select filename from meta where subject_area = 'physics' and quality_score >= 0.5",
     "source_lists": f"with {_S} select name, 'active' as list from s where is_active union all select name, 'physics' from s where is_active and list_contains(subject_areas, 'physics')",
     "source_health": f"with {_S}, {HEALTH_.sql('h')} select (select count(*) from s) as total_sources, (select count(*) from h where status = 'healthy') as healthy_sources, (select string_agg(name, '|' order by name) from h join s using (name) where status <> 'healthy') as recheck, (select count(*) from s) - (select count(*) from h where status = 'healthy') as unhealthy_sources",
     "source_defaults": f"with {_S} select name, coalesce(nullif(retry_attempts, 0), 3) as retry_attempts, coalesce(nullif(timeout, 0), 30) as timeout from s",

@@ -1,13 +1,16 @@
 """Single rules on small inputs."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions import tables
 from folioflow.functions import text as tx
 from folioflow.functions.readability import add_readability
 from folioflow.operators import catalog as ca
+from folioflow.operators import crawl as cr
 from folioflow.operators import grouping as gr
 from folioflow.operators import monitoring as mo
 from folioflow.operators import pages as pg
@@ -203,3 +206,75 @@ def test_windows_of_time(spark):
     now = dt.datetime(2024, 1, 2)
     rows = spark.createDataFrame([(dt.datetime(2024, 1, 1, 1),), (dt.datetime(2024, 1, 1),)], "ts timestamp")
     assert rows.where(mo.within(F.col("ts"), F.lit(now), 24)).count() == 1
+
+
+def greedy(groups, overlap=0.5):
+    """The merge as it is said: each group in order joins the first kept one of which the smaller is shared enough."""
+    kept = []
+    for name, kind, first, members in sorted(groups, key=lambda x: (x[1], x[2], x[0])):
+        for k in kept:
+            if len(set(members) & set(k[1])) / min(len(members), len(k[1])) > overlap:
+                k[1] = sorted({*k[1], *members})
+                break
+        else:
+            kept.append([name, list(members)])
+    return {n: m for n, m in kept}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merge_equals_a_plain_fold(spark, seed):
+    r = random.Random(seed)
+    groups = [(f"g{i}", r.randrange(3), i, [f"f{x}" for x in r.sample(range(40 + 60 * seed), r.randrange(1, 9))]) for i in range(60)]
+    got = gr.merge_overlapping(spark.createDataFrame(groups, gr.GROUP)).collect()
+    assert {x["name"]: x["members"] for x in got} == greedy(groups) and len(got) == len(greedy(groups))
+
+
+def test_best_first_equals_a_queue(spark):
+    r = random.Random(3)
+    links = [(f"p{a}", f"p{r.randrange(200)}", r.randrange(5)) for a in range(200) for _ in range(4)]
+    priority = {}
+    links = [(a, b, priority.setdefault(b, p)) for a, b, p in links]
+    seeds = [("p1", 1), ("p2", 4), ("p3", 4)]
+    got = cr.best_first(spark.createDataFrame(seeds, "url string, priority int"), spark.createDataFrame(links, "src string, dst string, priority int"), max_pages=50, max_depth=4, fetch=7).orderBy("turn").collect()
+    queue, seen, out, seq = [], set(), [], 0
+    for u, p in sorted(seeds, key=lambda x: (-x[1], x[0])):
+        queue.append((-p, seq, u, 0))
+        seen.add(u)
+        seq += 1
+    while queue and len(out) < 50:
+        queue.sort()
+        p, _, url, depth = queue.pop(0)
+        out.append((url, depth))
+        for _, to, q in sorted({(a, b, q) for a, b, q in links if a == url and depth < 4}, key=lambda x: (-x[2], x[1])):
+            if to not in seen:
+                seen.add(to)
+                queue.append((-q, seq, to, depth + 1))
+                seq += 1
+    assert [(x["url"], x["depth"]) for x in got] == out
+
+
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+    write = st.write_batch(str(tmp_path / "out"))
+    for batch, rows in ((0, range(5)), (1, range(5, 8)), (1, range(5, 8)), (0, range(5))):
+        write(spark.createDataFrame([(i,) for i in rows], "v long"), batch)
+    assert sorted(r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(8))
+
+
+def test_recommendations_do_not_depend_on_blocks(spark):
+    m = fx.meta(spark)
+    rows = lambda **o: sorted(map(repr, sm.recommend(m, m, **o).collect()))
+    assert rows(block=4) == rows()
+
+
+def test_no_title_ratio_is_larger_than_its_bound(spark):
+    r = random.Random(1)
+    pairs = [("".join(r.choice("ab ") for _ in range(r.randrange(12))), "".join(r.choice("ab ") for _ in range(r.randrange(12)))) for _ in range(200)]
+    t = spark.createDataFrame(pairs, "a string, b string")
+    assert t.where(sm.title_ratio(F.col("a"), F.col("b")) > sm.best_possible(F.col("a"), F.col("b")) + 1e-12).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_numbers_follow_the_order(spark, parts):
+    rows = [(k % 7, f"n{k * 37 % 100:03d}") for k in range(100)]
+    got = tables.numbered(spark.createDataFrame(rows, "a int, b string").repartition(5), "i", "a", "b", parts=parts).collect()
+    assert [(x["a"], x["b"]) for x in sorted(got, key=lambda x: x["i"])] == sorted(rows) and {x["i"] for x in got} == set(range(100))
