@@ -221,3 +221,21 @@ ENGLISH_STOP_WORDS = """
     can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't
     haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's would
 """.split()
+
+# ---- fixed values of page and file metadata ------------------------------
+
+PDF_PATTERNS = [
+    r"""(?i)href=["']([^"']*\.pdf[^"']*)["']""", r"""(?i)href=["']([^"']*filetype[=:]pdf[^"']*)["']""", r"""(?i)href=["']([^"']*\.pdf\?[^"']*)["']""", r"""(?i)src=["']([^"']*\.pdf[^"']*)["']""",
+    r"""(?i)(https?://[^\s<>"']*\.pdf[^\s<>"']*)""", r"""(?i)(https?://[^\s<>"']*filetype[=:]pdf[^\s<>"']*)""",
+]
+LINK_WORDS = [
+    "lecture", "notes", "slides", "handout", "assignment", "homework", "exam", "quiz", "solution", "textbook", "chapter", "paper", "publication", "research", "thesis", "dissertation", "report",
+]
+AUTHOR_PATTERNS = [r"(?i)(?:by|author|instructor):\s*([^<>\n]+)", r"(?i)(?:prof|professor|dr)\.?\s+([^<>\n]+)"]
+#: (word that must occur, pattern)
+INSTITUTION_PATTERNS = [
+    (" university", r"(?i)([^<>\n]+ university)"), (" college", r"(?i)([^<>\n]+ college)"), (" institute", r"(?i)([^<>\n]+ institute)"), ("university of ", r"(?i)university of ([^<>\n]+)"),
+]
+TITLE_SKIPS = ["page", "chapter", "section", "figure", "table"]
+PATH_SUBJECTS = [("computer_science", ["computer", "cs"]), ("mathematics", ["math"]), ("physics", ["physics"])]
+NAME_KEYWORDS = [("lecture", ["lecture", "course material"]), ("tutorial", ["tutorial", "learning"]), ("assignment", ["assignment", "homework"]), ("exam", ["exam", "test"])]

@@ -5,17 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions import dictionaries as d
 from folioflow.functions import text as tx
 from folioflow.operators import urls as u
 
 TAG = r"(?s)<[^>]*>"
-PDF_PATTERNS = [
-    r"""(?i)href=["']([^"']*\.pdf[^"']*)["']""", r"""(?i)href=["']([^"']*filetype[=:]pdf[^"']*)["']""", r"""(?i)href=["']([^"']*\.pdf\?[^"']*)["']""", r"""(?i)src=["']([^"']*\.pdf[^"']*)["']""",
-    r"""(?i)(https?://[^\s<>"']*\.pdf[^\s<>"']*)""", r"""(?i)(https?://[^\s<>"']*filetype[=:]pdf[^\s<>"']*)""",
-]
-LINK_WORDS = [
-    "lecture", "notes", "slides", "handout", "assignment", "homework", "exam", "quiz", "solution", "textbook", "chapter", "paper", "publication", "research", "thesis", "dissertation", "report",
-]
 
 
 def inner(html: Column, tag: str) -> Column:
@@ -49,11 +43,13 @@ def keywords(html: Column, most: int = 10) -> Column:
 def author(html: Column) -> Column:
     text = page_text(html)
     one = lambda p: F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))
-    return F.coalesce(meta_content(html, "author"), one(r"(?i)(?:by|author|instructor):\s*([^<>\n]+)"), one(r"(?i)(?:prof|professor|dr)\.?\s+([^<>\n]+)"), F.lit(""))
+    return F.coalesce(meta_content(html, "author"), *[one(p) for p in d.AUTHOR_PATTERNS], F.lit(""))
 
 
 def institution(text: Column, fallback: Column) -> Column:
-    found = [F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in (r"(?i)([^<>\n]+ university)", r"(?i)([^<>\n]+ college)", r"(?i)([^<>\n]+ institute)", r"(?i)university of ([^<>\n]+)")]
+    """The first pattern that matches; a pattern runs only over texts that hold its word, as it tries every start of a line else."""
+    low = F.lower(text)
+    found = [F.when(F.contains(low, F.lit(word)), F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))) for word, p in d.INSTITUTION_PATTERNS]
     return F.coalesce(tx.title_case(F.coalesce(*found)), fallback)
 
 
@@ -76,7 +72,7 @@ def site_name(html: Column, host: Column) -> Column:
 
 def file_patterns(html: Column) -> Column:
     """Sorted URL patterns that a site's file links suggest; the plain one always."""
-    links = F.transform(F.regexp_extract_all(html, F.lit(PDF_PATTERNS[0]), 1), lambda x: F.lower(x))
+    links = F.transform(F.regexp_extract_all(html, F.lit(d.PDF_PATTERNS[0]), 1), lambda x: F.lower(x))
     some = lambda *ws: F.exists(links, lambda x: tx.any_of(x, ws))
     found = F.array(
         F.when(some("lecture"), r"lecture.*\.pdf"), F.when(some("notes"), r"notes.*\.pdf"), F.when(some("slides"), r"slides.*\.pdf"),
@@ -111,8 +107,8 @@ def pdf_urls(pages: DataFrame, most: int = 30) -> DataFrame:
     html, base = F.col("html"), F.col("url")
     a = anchors(html)
     direct = F.transform(F.filter(a, lambda x: u.loose_pdf_link(x["href"])), lambda x: x["href"])
-    told = F.transform(F.filter(a, lambda x: tx.any_of(F.lower(x["text"]), LINK_WORDS) & (F.contains(F.lower(x["text"]), F.lit("pdf")) | F.lower(x["href"]).endswith(".pdf"))), lambda x: x["href"])
-    found = F.concat(direct, *[F.regexp_extract_all(html, F.lit(p), 1) for p in PDF_PATTERNS], told)
+    told = F.transform(F.filter(a, lambda x: tx.any_of(F.lower(x["text"]), d.LINK_WORDS) & (F.contains(F.lower(x["text"]), F.lit("pdf")) | F.lower(x["href"]).endswith(".pdf"))), lambda x: x["href"])
+    found = F.concat(direct, *[F.regexp_extract_all(html, F.lit(p), 1) for p in d.PDF_PATTERNS], told)
     links = F.array_distinct(F.filter(F.transform(found, lambda h: u.resolve(base, h)), u.pdf_link))
     rows = pages.select("page_id", F.posexplode(F.slice(links, 1, most)).alias("rank", "link"))
     return rows.select("page_id", (F.col("rank") + 1).cast("bigint").alias("rank"), "link")
@@ -125,4 +121,4 @@ def embedded_urls(html: Column, base: Column) -> Column:
 
 
 def legacy_links(html: Column) -> Column:
-    return F.filter(F.concat(*[F.regexp_extract_all(html, F.lit(p), 1) for p in PDF_PATTERNS[:2]]), lambda x: x.endswith(".pdf"))
+    return F.filter(F.concat(*[F.regexp_extract_all(html, F.lit(p), 1) for p in d.PDF_PATTERNS[:2]]), lambda x: x.endswith(".pdf"))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioflow.functions import dictionaries as d
 from folioflow.functions import text as tx
 
-TITLE_SKIPS = ["page", "chapter", "section", "figure", "table"]
-
 
 def parse_authors(names: Column) -> Column:
     """Split on ; , and & and line ends; titles and degrees dropped; names of over two characters, ten at most."""
@@ -23,7 +22,7 @@ def title_from_text(text: Column) -> Column:
 
     def good(x: Column) -> Column:
         letters = F.char_length(F.regexp_replace(x, r"[^a-zA-Z\s]", ""))
-        return (F.char_length(x) >= 10) & (F.char_length(x) < 200) & (letters >= 5) & ~tx.any_of(F.lower(x), TITLE_SKIPS)
+        return (F.char_length(x) >= 10) & (F.char_length(x) < 200) & (letters >= 5) & ~tx.any_of(F.lower(x), d.TITLE_SKIPS)
 
     return F.coalesce(F.get(F.filter(lines, good), F.lit(0)), F.lit(""))
 
@@ -100,14 +99,16 @@ def download_url(url: Column) -> Column:
 
 def subject_from_path(path: Column, subject: Column) -> Column:
     low = F.lower(path)
-    return F.when(tx.any_of(low, ["computer", "cs"]), "computer_science").when(F.contains(low, F.lit("math")), "mathematics").when(F.contains(low, F.lit("physics")), "physics").otherwise(subject)
+    out = F.when(F.lit(False), "")
+    for name, terms in d.PATH_SUBJECTS:
+        out = out.when(tx.any_of(low, terms), name)
+    return out.otherwise(subject)
 
 
 def keywords_from_path(path: Column, keywords: Column) -> Column:
     """Sorted distinct keywords with those that the file's name suggests."""
     name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
-    more = [("lecture", ["lecture", "course material"]), ("tutorial", ["tutorial", "learning"]), ("assignment", ["assignment", "homework"]), ("exam", ["exam", "test"])]
-    added = F.flatten(F.filter(F.array(*[F.when(F.contains(name, F.lit(k)), F.array(*map(F.lit, v))) for k, v in more]), lambda x: x.isNotNull()))
+    added = F.flatten(F.filter(F.array(*[F.when(F.contains(name, F.lit(k)), F.array(*map(F.lit, v))) for k, v in d.NAME_KEYWORDS]), lambda x: x.isNotNull()))
     return F.array_sort(F.array_distinct(F.concat(keywords, added)))
 
 

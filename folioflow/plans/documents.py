@@ -181,8 +181,8 @@ def _priority(subjects: list[str]) -> str:
 def _pdfs_sql() -> str:
     anchors = r"""list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*href=["''][^"'']*["''][^>]*>.*?</a\s*>'), lambda a: {'href': regexp_extract(a, '(?is)href=["'']([^"'']*)["'']', 1), 'text': lower(regexp_replace(a, '(?s)<[^>]*>', '', 'g'))})"""
     loose = f"({_ENDS('x.href', ['.pdf'])} or {g.any_of('lower(x.href)', [*d.PDF_QUERY_TERMS, '.pdf?', '.pdf#'])})"
-    told = f"({g.any_of('x.text', pg.LINK_WORDS)} and (contains(x.text, 'pdf') or ends_with(lower(x.href), '.pdf')))"
-    pats = ", ".join(f"regexp_extract_all(html, {fx.literal(p)}, 1)" for p in pg.PDF_PATTERNS)
+    told = f"({g.any_of('x.text', d.LINK_WORDS)} and (contains(x.text, 'pdf') or ends_with(lower(x.href), '.pdf')))"
+    pats = ", ".join(f"regexp_extract_all(html, {fx.literal(p)}, 1)" for p in d.PDF_PATTERNS)
     return f"""with {MARKUP_.sql('m')}, a as (select *, {anchors} as a from m),
       f as (select page_id, url, flatten([list_transform(list_filter(a, lambda x: {loose}), lambda x: x.href), {pats}, list_transform(list_filter(a, lambda x: {told}), lambda x: x.href)]) as found from a),
       e as (select page_id, url, unnest(found) as href, unnest(range(1, len(found) + 1)) as seq from f), r as (select page_id, seq, {_resolve('url', 'href')} as link from e),
@@ -192,7 +192,7 @@ def _pdfs_sql() -> str:
 
 _SAFE = "regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_.-]', '_', 'g')"
 _QUALITY = "least(1.0, (case when {p} between 5 and 50 then 0.3 when {p} > 50 then 0.2 when {p} >= 3 then 0.1 else 0.0 end)::double + {r} * 0.3::double + (case when {c} > 5000 then 0.2 when {c} > 1000 then 0.1 else 0.0 end)::double + (case when length({t}) > 10 then 0.1 else 0.0 end)::double + (case when {a} > 0 then 0.1 else 0.0 end)::double)"
-_TITLE = f"coalesce(list_filter(list_transform(string_split(text, chr(10))[1:10], lambda x: trim(x)), lambda x: length(x) >= 10 and length(x) < 200 and length(regexp_replace(x, '[^a-zA-Z\\s]', '', 'g')) >= 5 and not {g.any_of('lower(x)', pf.TITLE_SKIPS)})[1], '')"
+_TITLE = f"coalesce(list_filter(list_transform(string_split(text, chr(10))[1:10], lambda x: trim(x)), lambda x: length(x) >= 10 and length(x) < 200 and length(regexp_replace(x, '[^a-zA-Z\\s]', '', 'g')) >= 5 and not {g.any_of('lower(x)', d.TITLE_SKIPS)})[1], '')"
 
 QUERIES = {f.__name__: f for f in (
     author_arrays, metadata_merge, text_profile, quality_by_source, file_names, path_metadata, url_predicates, page_url_priority, source_tests, page_meta, page_links, markup_meta, markup_pdfs, markup_embedded,
@@ -235,7 +235,7 @@ SQL = {
     "markup_meta": f"""with {MARKUP_.sql('m')}, t as (select *, {_PAGE_TEXT} as txt, {_HOST.format(x='url')} as host, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) as raw from m),
       i as (select *, coalesce(nullif(trim(regexp_extract(txt, '(?i)([^<>\\n]+ university)', 1)), ''), nullif(trim(regexp_extract(txt, '(?i)([^<>\\n]+ college)', 1)), ''), nullif(trim(regexp_extract(txt, '(?i)([^<>\\n]+ institute)', 1)), ''), nullif(trim(regexp_extract(txt, '(?i)university of ([^<>\\n]+)', 1)), '')) as inst,
         regexp_replace(regexp_replace(raw, '\\s*-\\s*.*$', ''), '\\s*\\|\\s*.*$', '') as short, replace(replace(replace(host, 'www.', ''), '.edu', ''), '.org', '') as bare,
-        list_transform(regexp_extract_all(html, {fx.literal(pg.PDF_PATTERNS[0])}, 1), lambda x: lower(x)) as ls from t)
+        list_transform(regexp_extract_all(html, {fx.literal(d.PDF_PATTERNS[0])}, 1), lambda x: lower(x)) as ls from t)
       select page_id, coalesce({_inner('title')}, {_inner('h1')}, '') as title, {_DESC} as description, {_KEYS} as keywords,
       coalesce({_meta('author')}, nullif(trim(regexp_extract(txt, '(?i)(?:by|author|instructor):\\s*([^<>\\n]+)', 1)), ''), nullif(trim(regexp_extract(txt, '(?i)(?:prof|professor|dr)\\.?\\s+([^<>\\n]+)', 1)), ''), '') as author,
       coalesce({_TITLE_CASE.format(x='inst')}, '') as institution, regexp_extract(txt, '\\b([A-Z]{{2,4}}\\s*\\d{{3,4}}[A-Z]?)\\b', 1) as course_code,
@@ -245,6 +245,6 @@ SQL = {
         case when len(list_filter(ls, lambda x: contains(x, 'slides'))) > 0 then 'slides.*\\.pdf' end, case when len(list_filter(ls, lambda x: contains(x, 'homework') or contains(x, 'assignment'))) > 0 then '(homework|assignment).*\\.pdf' end, '\\.pdf$'], lambda x: x is not null)), '|') as patterns from i""",
     "markup_pdfs": _pdfs_sql(),
     "markup_embedded": f"""with {MARKUP_.sql('m')}, f as (select *, list_concat(regexp_extract_all(html, '(?i)["'']([^"'']*\\.pdf[^"'']*)["'']', 1), regexp_extract_all(html, '(?i)data-[^=]*=["'']([^"'']*\\.pdf[^"'']*)["'']', 1)) as found,
-      list_filter(list_concat(regexp_extract_all(html, {fx.literal(pg.PDF_PATTERNS[0])}, 1), regexp_extract_all(html, {fx.literal(pg.PDF_PATTERNS[1])}, 1)), lambda x: ends_with(x, '.pdf')) as legacy from m)
+      list_filter(list_concat(regexp_extract_all(html, {fx.literal(d.PDF_PATTERNS[0])}, 1), regexp_extract_all(html, {fx.literal(d.PDF_PATTERNS[1])}, 1)), lambda x: ends_with(x, '.pdf')) as legacy from m)
       select page_id, array_to_string(list_transform(found, lambda h: {_resolve('url', 'h')}), '|') as embedded, array_to_string(legacy, '|') as legacy from f""",
 }
