@@ -61,11 +61,11 @@ def topic_rows(terms: dict[str, Sequence[str]] = d.SUBJECT_TERMS, copies: int =
     return [(" ".join(ts), subject) for subject, ts in terms.items() for _ in range(copies)]
 
 
-def text_classifier(rows: DataFrame, text: str = "text", label: str = "label", features: int = 1000, min_df: float = 2.0) -> PipelineModel:
-    """TF-IDF of words and word pairs, and multinomial naive Bayes."""
+def text_classifier(rows: DataFrame, text: str = "text", label: str = "label", features: int = 1000, min_df: float = 2.0, max_df: float = 0.8) -> PipelineModel:
+    """TF-IDF of words and word pairs that at least min_df and at most a share max_df of the rows hold, and multinomial naive Bayes."""
     stages = [
         RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\W+"), StopWordsRemover(inputCol="words", outputCol="kept"), NGram(n=2, inputCol="kept", outputCol="pairs"),
-        SQLTransformer(statement="select *, concat(kept, pairs) as terms from __THIS__"), CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features, minDF=min_df), IDF(inputCol="tf", outputCol="features"),
+        SQLTransformer(statement="select *, concat(kept, pairs) as terms from __THIS__"), CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features, minDF=min_df, maxDF=max_df if max_df < 1 else float(1 << 40)), IDF(inputCol="tf", outputCol="features"),
     ]
     fitted = Pipeline(stages=stages).fit(rows)
     index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(rows)
@@ -82,6 +82,15 @@ def topic_probabilities(model: PipelineModel, docs: DataFrame, least: float = 0.
     return model.transform(docs).withColumn("topics", best)
 
 
+#: A row for each level to start from, until labelled rows come.
+LEVEL_ROWS = [("basic introduction simple lesson homework for school", "high_school"), ("lecture course intermediate assignment for college students", "undergraduate"), ("advanced research seminar methodology thesis for doctoral work", "graduate")]
+
+
+def level_classifier(rows: DataFrame, more: DataFrame | None = None) -> PipelineModel:
+    """The same classifier over levels, bootstrapped on few rows (text, label), so that every term counts; `more` are labelled rows to train it anew with."""
+    return text_classifier(rows if more is None else rows.unionByName(more), min_df=1.0, max_df=1.0)
+
+
 def retrained(rows: DataFrame, more: DataFrame, **options) -> PipelineModel:
     return text_classifier(rows.unionByName(more), **options)
 

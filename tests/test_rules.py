@@ -1,17 +1,21 @@
 """Single rules on small inputs."""
 
 import datetime as dt
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow import config
 from folioflow.functions import tables
 from folioflow.functions import text as tx
 from folioflow.functions.readability import add_readability
 from folioflow.operators import catalog as ca
 from folioflow.operators import crawl as cr
 from folioflow.operators import grouping as gr
+from folioflow.operators import ml
 from folioflow.operators import monitoring as mo
 from folioflow.operators import pages as pg
 from folioflow.operators import profile as pf
@@ -278,3 +282,53 @@ def test_numbers_follow_the_order(spark, parts):
     rows = [(k % 7, f"n{k * 37 % 100:03d}") for k in range(100)]
     got = tables.numbered(spark.createDataFrame(rows, "a int, b string").repartition(5), "i", "a", "b", parts=parts).collect()
     assert [(x["a"], x["b"]) for x in sorted(got, key=lambda x: x["i"])] == sorted(rows) and {x["i"] for x in got} == set(range(100))
+
+
+def test_settings_round_trip(spark, tmp_path):
+    path = str(tmp_path / "settings.json")
+    assert config.load(path) == config.Settings()
+    mine = config.Settings(name="é", limits=config.Limits(workers=9), spark={"spark.sql.shuffle.partitions": "4"})
+    config.save(mine, path)
+    assert config.load(path) == mine
+    config.apply(mine, spark)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    (tmp_path / "part.json").write_text('{"limits": {"retries": 1}}')
+    assert config.load(str(tmp_path / "part.json")) == config.Settings(limits=config.Limits(retries=1))
+    (tmp_path / "bad.json").write_text('{"limits": {"speed": 1}}')
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path / "bad.json"))
+
+
+def test_classifier_equals_plain_bayes(spark):
+    """TF-IDF and multinomial naive Bayes by hand: idf ln((n + 1) / (df + 1)), smoothing 1 for terms and labels."""
+    rows = [("graph node edge graph", "math"), ("graph node path", "math"), ("cell membrane protein", "bio"), ("cell protein gene gene", "bio"), ("graph cell", "bio")]
+    asked = ["graph node", "gene cell protein", "node path cell", "unknown words only"]
+    terms = lambda t: (w := t.split()) + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    df = Counter(x for t, _ in rows for x in set(terms(t)))
+    vocabulary = sorted(df)
+    weigh = lambda t: [terms(t).count(v) * math.log((len(rows) + 1) / (df[v] + 1)) for v in vocabulary]
+    labels, score = sorted({y for _, y in rows}), {}
+    for y in labels:
+        total = [sum(c) for c in zip(*[weigh(t) for t, z in rows if z == y], strict=True)]
+        n = sum(z == y for _, z in rows)
+        score[y] = (math.log((n + 1) / (len(rows) + len(labels))), [math.log((x + 1) / (sum(total) + len(vocabulary))) for x in total])
+    model = ml.text_classifier(spark.createDataFrame(rows, "text string, label string"), min_df=1.0, max_df=1.0)
+    got = {r["text"]: {x["topic"]: x["p"] for x in r["topics"]} for r in ml.topic_probabilities(model, spark.createDataFrame([(t,) for t in asked], "text string"), 0.0).collect()}
+    for t in asked:
+        raw = {y: prior + sum(w * s for w, s in zip(weigh(t), each, strict=True)) for y, (prior, each) in score.items()}
+        most = max(raw.values())
+        z = sum(math.exp(v - most) for v in raw.values())
+        assert got[t] == pytest.approx({y: math.exp(v - most) / z for y, v in raw.items()})
+
+
+def test_terms_in_too_many_or_too_few_rows_do_not_count(spark):
+    rows = spark.createDataFrame([("common rare1 pair", "a"), ("common pair", "a"), ("common stone", "b"), ("common stone", "b"), ("common pair", "b")], "text string, label string")
+    assert set(ml.text_classifier(rows, max_df=0.8).stages[0].stages[4].vocabulary) == {"pair", "stone", "common pair", "common stone"}
+
+
+def test_level_classifier_learns_from_more_rows(spark):
+    first = spark.createDataFrame(ml.LEVEL_ROWS, "text string, label string")
+    asked = spark.createDataFrame([("thesis research",), ("homework for school",), ("llama herding",)], "text string")
+    best = lambda m: [r["predicted"] for r in m.transform(asked).collect()]
+    assert best(ml.level_classifier(first))[:2] == ["graduate", "high_school"]
+    assert best(ml.level_classifier(first, spark.createDataFrame([("llama herding llama", "undergraduate")] * 3, "text string, label string"))) == ["graduate", "high_school", "undergraduate"]
