@@ -122,3 +122,12 @@ def embedded_urls(html: Column, base: Column) -> Column:
 
 def legacy_links(html: Column) -> Column:
     return F.filter(F.concat(*[F.regexp_extract_all(html, F.lit(p), 1) for p in d.PDF_PATTERNS[:2]]), lambda x: x.endswith(".pdf"))
+
+
+def followed_pdf_urls(pages: DataFrame, most: int = 30) -> DataFrame:
+    """(page_id, link, depth): PDF links of each page, depth 0, and of the pages among these that it links to, depth 1; each link once, at its least depth."""
+    own = pdf_urls(pages, most)
+    known = pages.select(F.col("page_id").alias("to"), F.col("url").alias("to_url"))
+    steps = page_links(pages).select("page_id", "link").distinct().join(known, F.col("link") == F.col("to_url")).where("page_id <> to").select("page_id", "to")
+    further = steps.join(own.select(F.col("page_id").alias("of"), "link"), F.col("to") == F.col("of")).select("page_id", "link", F.lit(1).alias("depth"))
+    return own.select("page_id", "link", F.lit(0).alias("depth")).union(further).groupBy("page_id", "link").agg(F.min("depth").alias("depth"))

@@ -39,6 +39,8 @@ MARKUP = [
     (3, "https://z.net/a/b", ""),
 ]
 MARKUP_ = fx.Spread(MARKUP, "page_id int, url string, html string", "pages", "page_id", page_id="x.page_id", html="concat(t.html, coalesce(x.html, ''))")
+#: The same pages as a chain: each links to the next one by its address.
+CHAIN_ = fx.Spread(MARKUP, "page_id int, url string, html string", "pages", "page_id", page_id="x.page_id", url="concat('http://s.org/p', x.page_id)", html="concat(t.html, '<a href=\"/p', x.page_id + 1, '\">next</a>')")
 
 
 def author_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +128,11 @@ def markup_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.pdf_urls(MARKUP_.rows(spark, sf_dir))
 
 
+def followed_pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF links of pages and of those one step away."""
+    return pg.followed_pdf_urls(CHAIN_.rows(spark, sf_dir)).select("page_id", "link", F.col("depth").cast("bigint").alias("depth"))
+
+
 def markup_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = MARKUP_.rows(spark, sf_dir)
     return m.select("page_id", F.array_join(pg.embedded_urls(F.col("html"), F.col("url")), "|").alias("embedded"), F.array_join(pg.legacy_links(F.col("html")), "|").alias("legacy"))
@@ -178,24 +185,32 @@ def _priority(subjects: list[str]) -> str:
     return f"({' + '.join(parts)} - greatest(0, len(list_filter(string_split({_PATH.format(x='url')}, '/'), lambda p: p <> '')) - 3))::bigint"
 
 
-def _pdfs_sql() -> str:
+def _pdfs_sql(source: fx.Spread = MARKUP_) -> str:
     anchors = r"""list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*href=["''][^"'']*["''][^>]*>.*?</a\s*>'), lambda a: {'href': regexp_extract(a, '(?is)href=["'']([^"'']*)["'']', 1), 'text': lower(regexp_replace(a, '(?s)<[^>]*>', '', 'g'))})"""
     loose = f"({_ENDS('x.href', ['.pdf'])} or {g.any_of('lower(x.href)', [*d.PDF_QUERY_TERMS, '.pdf?', '.pdf#'])})"
     told = f"({g.any_of('x.text', d.LINK_WORDS)} and (contains(x.text, 'pdf') or ends_with(lower(x.href), '.pdf')))"
     pats = ", ".join(f"regexp_extract_all(html, {fx.literal(p)}, 1)" for p in d.PDF_PATTERNS)
-    return f"""with {MARKUP_.sql('m')}, a as (select *, {anchors} as a from m),
+    return f"""with {source.sql('m')}, a as (select *, {anchors} as a from m),
       f as (select page_id, url, flatten([list_transform(list_filter(a, lambda x: {loose}), lambda x: x.href), {pats}, list_transform(list_filter(a, lambda x: {told}), lambda x: x.href)]) as found from a),
       e as (select page_id, url, unnest(found) as href, unnest(range(1, len(found) + 1)) as seq from f), r as (select page_id, seq, {_resolve('url', 'href')} as link from e),
       k as (select page_id, link, min(seq) as seq from r where {_PDF('link')} group by all)
       select page_id, row_number() over (partition by page_id order by seq)::bigint as rank, link from k qualify rank <= 30"""
 
 
+def _followed_sql() -> str:
+    own = _pdfs_sql(CHAIN_).replace("select page_id, row_number()", "own as (select page_id, row_number()", 1).rstrip() + ")"
+    own = own.replace("group by all)\n      own as", "group by all),\n      own as", 1)
+    return f"""{own}, hr as (select page_id, url, unnest(list_transform(a, lambda x: x.href)) as href from a), st as (select distinct page_id, {_resolve('url', 'href')} as link from hr),
+      sx as (select st.page_id, m.page_id as goes from st join m on m.url = st.link and m.page_id <> st.page_id), un as (select page_id, link, 0 as depth from own union all select sx.page_id, own.link, 1 from sx join own on own.page_id = sx.goes)
+      select page_id, link, min(depth)::bigint as depth from un group by all"""
+
+
 _SAFE = "regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_.-]', '_', 'g')"
 _QUALITY = "least(1.0, (case when {p} between 5 and 50 then 0.3 when {p} > 50 then 0.2 when {p} >= 3 then 0.1 else 0.0 end)::double + {r} * 0.3::double + (case when {c} > 5000 then 0.2 when {c} > 1000 then 0.1 else 0.0 end)::double + (case when length({t}) > 10 then 0.1 else 0.0 end)::double + (case when {a} > 0 then 0.1 else 0.0 end)::double)"
 _TITLE = f"coalesce(list_filter(list_transform(string_split(text, chr(10))[1:10], lambda x: trim(x)), lambda x: length(x) >= 10 and length(x) < 200 and length(regexp_replace(x, '[^a-zA-Z\\s]', '', 'g')) >= 5 and not {g.any_of('lower(x)', d.TITLE_SKIPS)})[1], '')"
 
 QUERIES = {f.__name__: f for f in (
-    author_arrays, metadata_merge, text_profile, quality_by_source, file_names, path_metadata, url_predicates, page_url_priority, source_tests, page_meta, page_links, markup_meta, markup_pdfs, markup_embedded,
+    author_arrays, metadata_merge, text_profile, quality_by_source, file_names, path_metadata, url_predicates, page_url_priority, source_tests, page_meta, page_links, markup_meta, markup_pdfs, markup_embedded, followed_pdfs,
 )}
 SQL = {
     "author_arrays": rf"""with {AUTHORS_.sql('a')} select id, array_to_string(list_filter(list_transform(regexp_split_to_array(names, ';|,| and | & |\n'),
@@ -244,6 +259,7 @@ SQL = {
       array_to_string(list_sort(list_filter([case when len(list_filter(ls, lambda x: contains(x, 'lecture'))) > 0 then 'lecture.*\\.pdf' end, case when len(list_filter(ls, lambda x: contains(x, 'notes'))) > 0 then 'notes.*\\.pdf' end,
         case when len(list_filter(ls, lambda x: contains(x, 'slides'))) > 0 then 'slides.*\\.pdf' end, case when len(list_filter(ls, lambda x: contains(x, 'homework') or contains(x, 'assignment'))) > 0 then '(homework|assignment).*\\.pdf' end, '\\.pdf$'], lambda x: x is not null)), '|') as patterns from i""",
     "markup_pdfs": _pdfs_sql(),
+    "followed_pdfs": _followed_sql(),
     "markup_embedded": f"""with {MARKUP_.sql('m')}, f as (select *, list_concat(regexp_extract_all(html, '(?i)["'']([^"'']*\\.pdf[^"'']*)["'']', 1), regexp_extract_all(html, '(?i)data-[^=]*=["'']([^"'']*\\.pdf[^"'']*)["'']', 1)) as found,
       list_filter(list_concat(regexp_extract_all(html, {fx.literal(d.PDF_PATTERNS[0])}, 1), regexp_extract_all(html, {fx.literal(d.PDF_PATTERNS[1])}, 1)), lambda x: ends_with(x, '.pdf')) as legacy from m)
       select page_id, array_to_string(list_transform(found, lambda h: {_resolve('url', 'h')}), '|') as embedded, array_to_string(legacy, '|') as legacy from f""",
