@@ -245,7 +245,7 @@ def download_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def health_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op.health(events(spark, sf_dir), "6 hours", "value", 9.0, 10.0, 60.0)
-    return out.select(mo.micros(F.col("start")).alias("start"), "n", F.round("mean", 6).alias("mean"), "status", "collect_now")
+    return out.select(mo.micros(F.col("start")).alias("start"), "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"), "status", "collect_now")
 
 
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +324,7 @@ SQL = {
     "degraded_services": f"with b as (select user_id from events where ts > timestamp '{NOW}' - interval 48 hours and event_type = 'error' group by user_id having count(*) >= 1) select case when user_id in (select user_id from b) then 'mirror' else user_id::varchar end as served_by, count(*) as n from events group by 1",
     "retained_alerts": f"with l as (select *, case event_type when 'click' then 15.0 when 'error' then 20.0 end::double as t from events where ts > timestamp '{NOW}' - interval 168 hours) select case when (value - t) / t * 100 > 50 then 'critical' when (value - t) / t * 100 > 25 then 'error' else 'warning' end as severity, count(*) as n from l where value > t group by 1",
     "download_progress": "with e as (select *, event_id % 3 > 0 as done from events) select event_type, count(*) as total, count(*) filter (where done) as finished, round(count(*) filter (where done) * 100 / count(*), 4) as percent, round(coalesce(sum(value * 1024) filter (where done), 0.0), 4) as bytes, round(coalesce(sum(value) filter (where done) / greatest(count(*) filter (where done), 1) * (count(*) - count(*) filter (where done)), 0.0), 4) as eta from e group by event_type",
-    "health_windows": "with w as (select time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as s, count(*) as n, avg(value) as m, max(value) as most from events group by 1) select epoch_us(s) as start, n, round(m, 6) as mean, case when m > 10.0 then 'critical' when m > 9.0 then 'warning' else 'healthy' end as status, most > 60.0 as collect_now from w",
+    "health_windows": "with w as (select time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as s, count(*) as n, avg(value) as m, max(value) as most from events group by 1) select epoch_us(s) as start, n, round(m * n, 2) as total, case when m > 10.0 then 'critical' when m > 9.0 then 'warning' else 'healthy' end as status, most > 60.0 as collect_now from w",
     "dashboard": """with c as (select count(*) as n, count(*) filter (where event_type <> 'error') as g from events), d as (select count(*) as n, sum(n_chars) as chars, count(distinct source) as s from documents)
       select 'crawl' as section, 'events' as measure, n::double as value from c union all select 'crawl', 'good', g from c union all select 'crawl', 'rate', round(g / n, 6) from c union all select 'corpus', 'documents', n from d union all select 'corpus', 'chars', chars from d union all select 'corpus', 'sources', s from d""",
 }
