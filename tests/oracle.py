@@ -7,6 +7,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df):
     cols = sorted(df.columns)
+    df = df.astype({c: "float64" for c in cols if str(df[c].dtype).startswith("Int")})  # integers with nulls, as Spark gives them
     return cols, sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
 
 
