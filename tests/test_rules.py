@@ -126,13 +126,6 @@ def test_breaker_opens_waits_and_closes(spark):
     assert got == [(True, "closed"), (True, "closed"), (True, "open"), (False, "open"), (True, "half_open"), (True, "closed"), (True, "closed")]
 
 
-def test_breaker_stream_equals_batch(spark, sf, tmp_path):
-    calls = lambda e: e.select("user_id", F.col("event_id").alias("seq"), (mo.micros(F.col("ts")) / 1e6).alias("seconds"), (F.col("event_type") != "error").alias("ok"))
-    limits = {"failures": 2, "timeout": 86400.0, "successes": 2}
-    batch = mo.breaker_states(calls(spark.read.parquet(f"{sf}/events.parquet")), "user_id", **limits)
-    stream = st.run_to_table(st.breaker_states(calls(st.event_stream(spark, f"{sf}/events.parquet")), "user_id", **limits), f"{tmp_path}/out", f"{tmp_path}/state")
-    assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
-
 
 def test_update_touches_only_changed_rows(spark):
     base = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, t int")
