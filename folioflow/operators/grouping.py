@@ -6,6 +6,8 @@ which decides ties and the order of members.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,24 +17,37 @@ from folioflow.functions import text as tx
 from folioflow.functions.tables import numbered, written
 
 GROUP = "name string, kind int, first bigint, members array<string>"
+#: A chain of overlapping groups of more memberships is merged in rounds and not in a task.
+ONE_TASK = 100_000
+
 
+def named(rows: DataFrame, prefix: str, key: str, kind: int) -> DataFrame:
+    """(name, kind, first, ordinal, filename): a row for each member of the groups of two or more rows with one key; first is the least ordinal."""
+    several = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("ordinal").cast("bigint").alias("first")).where("_n > 1").withColumnRenamed(key, "_key")
+    out = rows.join(several, F.col(key) == F.col("_key"))
+    return out.select(F.concat(F.lit(prefix), F.col(key)).alias("name"), F.lit(kind).alias("kind"), "first", F.col("ordinal").cast("bigint").alias("ordinal"), "filename")
 
-def members(ordinal: str = "ordinal", filename: str = "filename") -> Column:
-    """Filenames in document order."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(ordinal).cast("bigint").alias("o"), F.col(filename).alias("f")))), lambda x: x["f"]).alias("members")
 
+def listed(rows: DataFrame, *order: str) -> DataFrame:
+    """Groups for display: members in one array, in the order given."""
+    members = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("filename").alias("_f")))), lambda x: x["_f"]).alias("members")
+    return rows.groupBy("name", "kind", "first").agg(members)
 
-def grouped(rows: DataFrame, prefix: str, key: str, kind: int) -> DataFrame:
-    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").cast("bigint").alias("first"), members()).where("n > 1")
-    return out.select(F.concat(F.lit(prefix), F.col(key)).alias("name"), F.lit(kind).alias("kind"), "first", "members")
+
+def author_members(meta: DataFrame) -> DataFrame:
+    return named(meta.where(F.size("authors") > 0).select("ordinal", "filename", F.get("authors", F.lit(0)).alias("author")), "author_", "author", 0)
 
 
 def author_groups(meta: DataFrame) -> DataFrame:
-    return grouped(meta.where(F.size("authors") > 0).withColumn("author", F.get("authors", F.lit(0))), "author_", "author", 0)
+    return listed(author_members(meta), "ordinal")
+
+
+def institution_members(meta: DataFrame) -> DataFrame:
+    return named(meta.where("institution <> ''").select("ordinal", "filename", "institution"), "institution_", "institution", 2)
 
 
 def institution_groups(meta: DataFrame) -> DataFrame:
-    return grouped(meta.where("institution <> ''"), "institution_", "institution", 2)
+    return listed(institution_members(meta), "ordinal")
 
 
 def keyword_counts(meta: DataFrame, most: int = 20) -> DataFrame:
@@ -42,72 +57,143 @@ def keyword_counts(meta: DataFrame, most: int = 20) -> DataFrame:
     return counts.orderBy(F.desc("n"), "seen").limit(most).where("n > 1")
 
 
-def topic_groups(meta: DataFrame, most: int = 20) -> DataFrame:
+def topic_members(meta: DataFrame, most: int = 20) -> DataFrame:
+    """Members of the topics of the most frequent keywords; first is the keyword's place among them."""
     rows = meta.select("ordinal", "filename", F.explode(F.array_distinct("keywords")).alias("keyword"))
     common = keyword_counts(meta, most)
-    out = grouped(rows.join(F.broadcast(common.select("keyword")), "keyword"), "topic_", "keyword", 1)
-    rank = common.select(F.concat(F.lit("topic_"), F.col("keyword")).alias("name"), (-F.col("n")).alias("rank"), "seen")
-    order = Window.orderBy("rank", "seen")
-    return out.join(F.broadcast(rank.withColumn("first", F.row_number().over(order).cast("bigint")).select("name", "first")).withColumnRenamed("first", "turn"), "name").select("name", "kind", F.col("turn").alias("first"), "members")
+    turn = F.row_number().over(Window.orderBy(F.desc("n"), "seen")).cast("bigint")  # of `most` rows
+    out = named(rows.join(F.broadcast(common.select("keyword")), "keyword"), "topic_", "keyword", 1).drop("first")
+    return out.join(F.broadcast(common.select(F.concat(F.lit("topic_"), F.col("keyword")).alias("_name"), turn.alias("first"))), F.col("name") == F.col("_name")).select("name", "kind", "first", "ordinal", "filename")
+
+
+def topic_groups(meta: DataFrame, most: int = 20) -> DataFrame:
+    return listed(topic_members(meta, most), "ordinal")
 
 
-def overlapping(groups: DataFrame) -> DataFrame:
-    """Adds `part`, equal for groups that a chain of shared members connects; the merge never looks across parts.
+def overlapping(flat: DataFrame) -> DataFrame:
+    """(gid, part) for members (gid, m): part is equal for groups that a chain of shared members connects; the merge never looks across parts.
 
-    Each round passes the least name over members, by partial minima; a member is in few groups, one for each kind of group that it has.
+    Each round passes the least number over members, by partial minima; a member is in few groups, one for each kind of group that it has.
     """
-    flat = written(groups.select("name", F.explode("members").alias("m")).distinct(), "members")
-    labels = groups.select("name", F.col("name").alias("part"))
+    labels = flat.select("gid").distinct().withColumn("part", F.col("gid"))
     while True:
-        least = flat.join(labels, "name").groupBy("m").agg(F.min("part").alias("low"))
-        moved = flat.join(least, "m").groupBy("name").agg(F.min("low").alias("low")).join(labels, "name")
-        done = written(moved.select("name", "low", (F.col("low") < F.col("part")).alias("changed")), "parts")
-        labels = done.select("name", F.col("low").alias("part"))
+        least = flat.join(labels, "gid").groupBy("m").agg(F.min("part").alias("low"))
+        moved = flat.join(least, "m").groupBy("gid").agg(F.min("low").alias("low")).join(labels, "gid")
+        done = written(moved.select("gid", "low", (F.col("low") < F.col("part")).alias("changed")), "parts")
+        labels = done.select("gid", F.col("low").alias("part"))
         if done.where("changed").isEmpty():
-            return groups.join(labels, "name")
+            return labels
 
 
 def fold(rows: pd.DataFrame, overlap: float) -> pd.DataFrame:
-    """The greedy merge of one part. An index of members leads to the kept groups that hold them, so time grows with the memberships and not with pairs of groups."""
-    kept: list[dict] = []
+    """The greedy merge of one part, (gid, root). An index of members leads to the kept groups that hold them, so time grows with the memberships and not with pairs of groups."""
+    kept: dict[int, set] = {}
     holders: dict[str, list[int]] = {}
-    for r in rows.sort_values(["kind", "first", "name"]).itertuples(index=False):
-        own = list(r.members)
+    out = []
+    for gid, own in rows.sort_values("gid").groupby("gid", sort=False)["m"]:
         shared: dict[int, int] = {}
         for m in own:
             for k in holders.get(m, ()):
                 shared[k] = shared.get(k, 0) + 1
-        into = min((k for k, n in shared.items() if n / min(len(own), len(kept[k]["members"])) > overlap), default=None)
-        if into is None:
-            into = len(kept)
-            kept.append({"name": r.name, "kind": r.kind, "first": r.first, "members": dict.fromkeys(own), "merged": False})
-        else:
-            kept[into]["merged"] = True
+        root = min((k for k, n in shared.items() if n / min(len(own), len(kept[k])) > overlap), default=gid)
+        members = kept.setdefault(root, set())
         for m in own:
-            if (at := holders.setdefault(m, [])) and into in at:
-                continue
-            at.append(into)
-            kept[into]["members"][m] = None
-    for k in kept:
-        k["members"] = sorted(k["members"]) if k.pop("merged") else list(k["members"])
-    return pd.DataFrame(kept, columns=["name", "kind", "first", "members"])
-
-
-def merge_overlapping(groups: DataFrame, overlap: float = 0.5) -> DataFrame:
-    """(name, first, kind, members): groups in order of kind and first; each joins the first kept group of which the smaller is shared by more than `overlap`.
-
-    The order matters, so groups that a chain of shared members connects are
-    folded in one task; groups are far fewer than documents. A group without
-    connections is passed on as it is. Members of merged groups are sorted.
+            if m not in members:
+                members.add(m)
+                holders.setdefault(m, []).append(root)
+        out.append((gid, root))
+    return pd.DataFrame(out, columns=["gid", "root"])
+
+
+def merge_in_rounds(flat: DataFrame, overlap: float, told: dict | None = None) -> DataFrame:
+    """(gid, root) of the greedy merge for members (gid, m), in rounds over the tables of members.
+
+    A group can be decided once nothing that comes before it can change what it would find: no
+    undecided earlier group shares a member with it, nor with a cluster that it meets and that is
+    smaller than itself, as only such a cluster's size counts. Groups decided in one round share no
+    members, so their decisions don't touch each other. The first undecided group always can, and
+    there are as many rounds as the longest chain of groups that wait for one another. Members are
+    rows throughout: counts and minima are partial aggregates, and nothing but the number of
+    undecided groups comes to the driver.
+    """
+    sizes = written(flat.groupBy("gid").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    left, clusters, decided, rounds = flat, None, [], 0
+    while True:
+        rounds += 1
+        low = written(left.groupBy("m").agg(F.min("gid").alias("low")), "low")  # the first undecided group of each member
+        blocked = left.join(low, "m").groupBy("gid").agg(F.min("low").alias("low"))
+        if clusters is None:
+            met = None
+            ready = blocked.where("low >= gid").select("gid", F.col("gid").alias("root"))
+        else:
+            count = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("many"))
+            first = clusters.join(low, "m").groupBy("root").agg(F.min("low").alias("low"))
+            state = count.join(first, "root", "left").withColumnRenamed("root", "of")
+            shared = left.join(clusters, "m").groupBy("gid", "root").agg(F.count(F.lit(1)).alias("shared"))
+            met = shared.join(state, F.col("root") == F.col("of")).join(sizes, "gid")
+            waits = (F.col("many") < F.col("size")) & (F.col("low") < F.col("gid"))
+            fits = F.when(F.col("shared") / F.least("many", "size") > overlap, F.col("root"))
+            met = met.groupBy("gid").agg(F.max(waits).alias("waits"), F.min(fits).alias("root")).withColumnRenamed("gid", "g")
+            ready = blocked.where("low >= gid").join(met, F.col("gid") == F.col("g"), "left").where("waits is null or not waits").select("gid", F.coalesce("root", "gid").alias("root"))
+        ready = written(ready, "decided")
+        decided.append(ready)
+        new = left.join(ready, "gid").select("root", "m")
+        clusters = written(new if clusters is None else clusters.union(new).distinct(), "clusters")
+        left = written(left.join(ready, "gid", "left_anti"), "undecided")
+        if left.isEmpty():
+            break
+    if told is not None:
+        told["rounds"] = rounds
+    return reduce(DataFrame.unionByName, decided)
+
+
+def merge_members(rows: DataFrame, overlap: float = 0.5, one_task: int = ONE_TASK, told: dict | None = None) -> DataFrame:
+    """(name, kind, first, merged, ordinal, filename) of the kept groups: groups in order of kind, first and name; each joins the first kept group of which the smaller is shared by more than `overlap`.
+
+    The order matters, so only groups that a chain of shared members connects are decided together: a
+    chain of at most `one_task` memberships in one task, all longer ones in rounds. Both give the same.
+    `told` gets the memberships of the longest chain and the number of rounds.
     """
-    parts = written(overlapping(groups), "group-parts")
-    several = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
-    alone = parts.join(several, "part", "left_anti").select("name", "kind", "first", "members")
-    return alone.unionByName(parts.join(several, "part").groupBy("part").applyInPandas(lambda rows: fold(rows, overlap), GROUP))
+    groups = numbered(rows.select("name", "kind", "first").distinct(), "gid", "kind", "first", "name")
+    groups = written(groups.select(F.col("name").alias("_name"), F.col("kind").alias("_kind"), F.col("first").alias("_first"), "gid"), "groups")
+    same = (F.col("name") == F.col("_name")) & (F.col("kind") == F.col("_kind")) & (F.col("first") == F.col("_first"))
+    full = written(rows.join(groups, same).groupBy("gid", F.col("filename").alias("m")).agg(F.min("ordinal").alias("ordinal")), "memberships")
+    flat = full.select("gid", "m")
+    parts = written(overlapping(flat), "group-parts")
+    sizes = flat.join(parts, "gid").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gid").alias("groups")).where("groups > 1")
+    sizes = written(sizes.select(F.col("part").alias("p"), "n"), "part-sizes")
+    largest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    marked = flat.join(parts, "gid").join(sizes, F.col("part") == F.col("p"))
+    roots = marked.where(F.col("n") <= one_task).select("part", "gid", "m").groupBy("part").applyInPandas(lambda part: fold(part, overlap), "gid bigint, root bigint")
+    if largest > one_task:
+        roots = roots.unionByName(merge_in_rounds(written(marked.where(F.col("n") > one_task).select("gid", "m"), "long-chains"), overlap, told))
+    if told is not None:
+        told["largest"] = largest
+    roots = written(roots, "roots").select(F.col("gid").alias("g"), "root")
+    whole = full.join(roots, F.col("gid") == F.col("g"), "left").withColumn("root", F.coalesce("root", "gid"))
+    merged = roots.where("g <> root").select(F.col("root").alias("grown")).distinct()
+    out = whole.groupBy("root", "m").agg(F.min("ordinal").alias("ordinal")).join(merged, F.col("root") == F.col("grown"), "left")
+    out = out.join(groups, F.col("root") == F.col("gid"))
+    return out.select(F.col("_name").alias("name"), F.col("_kind").alias("kind"), F.col("_first").alias("first"), F.col("grown").isNotNull().alias("merged"), "ordinal", F.col("m").alias("filename"))
+
+
+def merge_overlapping(groups: DataFrame, overlap: float = 0.5, **options) -> DataFrame:
+    """merge_members() of groups with arrays of members; those of merged groups come sorted."""
+    rows = groups.select("name", "kind", "first", F.posexplode("members").alias("ordinal", "filename")).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    return shown(merge_members(rows, overlap, **options))
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Kept groups for display: members in document order, those of merged groups sorted."""
+    return listed(rows.withColumn("_place", F.when(~F.col("merged"), F.col("ordinal"))), "_place")
+
+
+def related_members(meta: DataFrame, **options) -> DataFrame:
+    return merge_members(author_members(meta).unionByName(topic_members(meta)).unionByName(institution_members(meta)), **options)
 
 
 def related_groups(meta: DataFrame) -> DataFrame:
-    return merge_overlapping(author_groups(meta).unionByName(topic_groups(meta)).unionByName(institution_groups(meta)))
+    return shown(related_members(meta))
 
 
 def course_codes(meta: DataFrame) -> Column:

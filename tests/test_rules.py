@@ -218,12 +218,16 @@ def greedy(groups, overlap=0.5):
     return {n: m for n, m in kept}
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_merge_equals_a_plain_fold(spark, seed):
+@pytest.mark.parametrize("one_task", [10**6, 0])
+@pytest.mark.parametrize("seed", range(3))
+def test_merge_equals_a_plain_fold(spark, seed, one_task):
+    """In one task, in rounds, and with the long chains in rounds."""
     r = random.Random(seed)
-    groups = [(f"g{i}", r.randrange(3), i, [f"f{x}" for x in r.sample(range(40 + 60 * seed), r.randrange(1, 9))]) for i in range(60)]
-    got = gr.merge_overlapping(spark.createDataFrame(groups, gr.GROUP)).collect()
+    groups = [(f"g{i}", r.randrange(3), i, [f"f{x}" for x in r.sample(range(30 + 60 * seed), r.randrange(1, 7))]) for i in range(25 if one_task == 0 else 60)]
+    told = {}
+    got = gr.merge_overlapping(spark.createDataFrame(groups, gr.GROUP), one_task=one_task, told=told).collect()
     assert {x["name"]: x["members"] for x in got} == greedy(groups) and len(got) == len(greedy(groups))
+    assert (told.get("rounds", 0) > 1) == (one_task == 0 or told["largest"] > one_task)
 
 
 def test_best_first_equals_a_queue(spark):
