@@ -114,6 +114,33 @@ def test_recommendations_match_a_plain_loop(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_recommendations_by_the_index(spark):
+    """All of the catalogue of sf0.01 against a plain loop for its stated targets; pairs compared grow less than targets times documents."""
+    from difflib import SequenceMatcher
+
+    share = {}
+    for sf in ("sf0.001", "sf0.01"):
+        m, told = fx.meta(spark, f"/root/testdata/{sf}"), {}
+        got: dict = {}
+        for r in sm.recommend(m.where("ordinal % 20 = 0"), m, told=told).orderBy("target", "rank").collect():
+            got.setdefault(r["target"], []).append((r["filename"], round(r["similarity"], 9)))
+        share[sf] = (told["pairs"] + told["with_all"] * told["documents"]) / (told["targets"] * told["documents"])
+        docs = [r.asDict() for r in m.select(*sm.NAMES).collect()]
+        sets = {o["filename"]: [{v.lower() for v in o[c] or ()} for c in ("keywords", "authors")] for o in docs}
+        jac = lambda a, b: len(a & b) / len(a | b) if a and b else 0
+        for t in (o for o in docs if o["ordinal"] % 20 == 0):
+            scored = []
+            for o in docs:
+                if o["filename"] != t["filename"]:
+                    shared = 0.25 * jac(sets[t["filename"]][0], sets[o["filename"]][0]) + 0.2 * jac(sets[t["filename"]][1], sets[o["filename"]][1])
+                    shared += 0.15 * bool(t["subject_area"] and t["subject_area"].lower() == (o["subject_area"] or "").lower()) + 0.1 * (t["academic_level"] == o["academic_level"])
+                    s = min(1.0, SequenceMatcher(None, t["title"].lower(), o["title"].lower()).ratio() * 0.3 + shared)
+                    if s > 0.1:
+                        scored.append((-round(s, 9), o["ordinal"], o["filename"]))
+            assert got.get(t["filename"], []) == [(f, -s) for s, _, f in sorted(scored)[:5]], t["filename"]
+    assert share["sf0.01"] < share["sf0.001"] < 1
+
+
 def test_percentiles_are_places_in_order(spark):
     rows = spark.createDataFrame([("k", float(i)) for i in range(10)], "k string, v double")
     assert mo.index_percentiles(rows, "k", "v").first().asDict() == {"k": "k", "p50": 5.0, "p90": 9.0, "p95": 9.0, "p99": 9.0}
