@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import dictionaries as d
 from folioflow.functions import text as tx
+from folioflow.operators import markup as mk
 from folioflow.operators import urls as u
 
 TAG = r"(?s)<[^>]*>"
@@ -87,12 +88,6 @@ def anchors(html: Column) -> Column:
     return F.transform(raw, lambda a: F.struct(F.regexp_extract(a, r"""(?is)href=["']([^"']*)["']""", 1).alias("href"), F.trim(F.regexp_replace(a, TAG, "")).alias("text")))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, href, link_text, link): a row for each link, resolved against the page; pages without links give none."""
-    rows = pages.select("page_id", "url", F.posexplode(anchors(F.col("html"))).alias("pos", "a"))
-    return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), F.col("a.href").alias("href"), F.col("a.text").alias("link_text"), u.resolve(F.col("url"), F.col("a.href")).alias("link"))
-
-
 def page_metadata(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     text = page_text(html)
@@ -128,6 +123,6 @@ def followed_pdf_urls(pages: DataFrame, most: int = 30) -> DataFrame:
     """(page_id, link, depth): PDF links of each page, depth 0, and of the pages among these that it links to, depth 1; each link once, at its least depth."""
     own = pdf_urls(pages, most)
     known = pages.select(F.col("page_id").alias("to"), F.col("url").alias("to_url"))
-    steps = page_links(pages).select("page_id", "link").distinct().join(known, F.col("link") == F.col("to_url")).where("page_id <> to").select("page_id", "to")
+    steps = mk.page_links(pages).select("page_id", "link").distinct().join(known, F.col("link") == F.col("to_url")).where("page_id <> to").select("page_id", "to")
     further = steps.join(own.select(F.col("page_id").alias("of"), "link"), F.col("to") == F.col("of")).select("page_id", "link", F.lit(1).alias("depth"))
     return own.select("page_id", "link", F.lit(0).alias("depth")).union(further).groupBy("page_id", "link").agg(F.min("depth").alias("depth"))

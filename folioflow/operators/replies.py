@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as tx
+from folioflow.operators import markup as mk
 from folioflow.operators import pages as pg
 from folioflow.operators import scoring as sc
 from folioflow.operators import urls as u
@@ -66,13 +67,7 @@ def mapped_fields(reply: Column) -> dict[str, Column]:
 
 def navigation_links(pages: DataFrame, words: Sequence[str] = NAV_WORDS) -> DataFrame:
     """(page_id, pos, link): links in <nav> elements, and in others of a navigation class or id, whose text holds one of the words, by default an academic section."""
-    html = F.col("html")
-    nav = F.regexp_extract_all(html, F.lit(r"(?is)<nav(?:\s[^>]*)?>(.*?)</nav\s*>"), 1)
-    named = F.regexp_extract_all(html, F.lit(r"""(?is)<(?:div|ul|menu|section|header)\s[^>]*(?:class|id)=["'][^"']*\b(?:navigation|menu|navbar|nav)\b[^"']*["'][^>]*>(.*?)</(?:div|ul|menu|section|header)\s*>"""), 1)
-    inside = F.array_join(F.concat(nav, named), "\n")
-    wanted = F.filter(pg.anchors(inside), lambda a: tx.any_of(F.lower(a["text"]), list(words)))
-    links = F.array_distinct(F.transform(wanted, lambda a: u.resolve(F.col("url"), a["href"])))
-    return pages.select("page_id", F.posexplode(links).alias("pos", "link"))
+    return mk.navigation_links(pages, tx.any_of(F.lower("link_text"), list(words)))
 
 
 def source_profiles(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import dictionaries as d
 from folioflow.functions import text as tx
 from folioflow.functions.tables import table
+from folioflow.operators import markup as mk
 from folioflow.operators import pages as pg
 from folioflow.operators import profile as pf
 from folioflow.operators import urls as u
@@ -115,7 +116,7 @@ def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = pg.page_links(table(spark, sf_dir, "pages"))
+    links = mk.page_links(table(spark, sf_dir, "pages"))
     return links.select("page_id", "pos", "href", "link_text", "link")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import dictionaries as d
 from folioflow.functions import text as tx
 from folioflow.functions.tables import scratch_path, table
+from folioflow.operators import markup as mk
 from folioflow.operators import crawl as cr
 from folioflow.operators import monitoring as mo
 from folioflow.operators import operations as op
@@ -160,7 +161,7 @@ def result_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages whose text passes the test of the page's language."""
-    links = pg.page_links(table(spark, sf_dir, "pages"))
+    links = mk.page_links(table(spark, sf_dir, "pages"))
     return links.select("page_id", "pos", "link", u.academic_link_text(F.col("link_text"), "es").alias("es"), u.academic_link_text(F.col("link_text"), "fr").alias("fr"))
 
 
