@@ -40,7 +40,7 @@ def cuts(bits: int, parts: int) -> list[tuple[int, int]]:
 
 
 def part(h: Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(h, first).bitwiseAND(F.lit((1 << width) - 1))
+    return F.shiftrightunsigned(h, first).bitwiseAND(F.lit((1 << width) - 1)) if width < BITS else h
 
 
 def without(h: Column, first: int, width: int) -> Column:
