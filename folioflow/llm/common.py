@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,6 +87,23 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+def together(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches, joined until they hold `most` bytes; none is empty."""
+    waiting, held = [], 0
+    for b in batches:
+        waiting, held = [*waiting, b], held + b.nbytes
+        if held >= most:
+            yield from (x for x in pa.Table.from_batches(waiting).combine_chunks().to_batches() if x.num_rows)
+            waiting, held = [], 0
+    if waiting:
+        yield from (x for x in pa.Table.from_batches(waiting).combine_chunks().to_batches() if x.num_rows)
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for `size[0]` numbers, then those of start[1], ..."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as text, modulo; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))

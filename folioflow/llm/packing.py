@@ -2,78 +2,154 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from itertools import chain
+from string import ascii_letters, digits
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from folioflow.llm.common import bound_batches, discard, materialize, table, words
+from folioflow.llm.common import bound_batches, discard, materialize, ranges, table, together, words
 
 CAPACITY, END = 4096, 1
 #: Bins that a task keeps open at a time, and pieces that it gets.
 OPEN_BINS, PIECES_A_TASK = 4096, 100_000
-#: Distinct words that a task remembers, and their bytes, before it forgets all and starts anew.
-REMEMBERED_WORDS, REMEMBERED_BYTES = 1 << 20, 64 << 20
+#: Distinct words that a Python worker remembers.
+REMEMBERED_WORDS = 1 << 19
+TOGETHER_BYTES = 4 << 20
+#: Signs that a word ends with and that no tokenizer of words joins to a letter before them. Signs of special tokens and the apostrophe are not among them.
+TAIL = ".,;:!?%*&$#)]}\""
+#: Letters, ASCII digits and Latin letters that take no mark when they are lower-cased, behind which such signs are cut off.
+ENDS = {*ascii_letters, *digits, *(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1)}
+
+
+class Lists:
+    """Lists of ids by number, one after another in one array."""
+
+    def __init__(self) -> None:
+        self.n, self.first, self.ids = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+
+    def add(self, count: np.ndarray, ids: np.ndarray) -> None:
+        while self.n + len(count) >= len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        used = int(self.first[self.n])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.first[self.n + 1 : self.n + len(count) + 1] = used + np.cumsum(count)
+        self.ids[used : used + len(ids)] = ids
+        self.n += len(count)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length of each list, their ids one after another)."""
+        count = self.first[numbers + 1] - self.first[numbers]
+        return count, self.ids[ranges(self.first[numbers], count)]
 
 
 class WordIds:
     """The ids of words, each tokenised once.
 
     A tokenizer that neither joins nor remembers anything across white space gives a text the ids of
-    its words one after another. Words are known by 64-bit hashes; what is remembered is bounded.
+    its words one after another; and one that cuts off signs behind letters gives a word those of its
+    letters and those of its signs. Words are known by 64-bit hashes; what is remembered is bounded.
     """
 
-    def __init__(self, definition: str, most: int = REMEMBERED_WORDS, most_bytes: int = REMEMBERED_BYTES):
-        self.tokenizer, self.most, self.most_bytes = Tokenizer.from_str(definition), most, most_bytes
+    def __init__(self, definition: str, most: int = REMEMBERED_WORDS):
+        self.tokenizer, self.most = Tokenizer.from_str(definition), most
+        self.plain = self.plain_letters()
         self.forget()
 
+    def plain_letters(self) -> dict[int, str]:
+        """What becomes of each ASCII letter, if the tokenizer changes each for itself and leaves a run of them whole; else nothing."""
+        normal = self.tokenizer.normalizer.normalize_str(ascii_letters) if self.tokenizer.normalizer else ascii_letters
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if self.tokenizer.pre_tokenizer else []
+        whole = len(normal) == len(ascii_letters) and normal.isascii() and [x[0] for x in split] == [normal]
+        return dict(zip(map(ord, ascii_letters), normal, strict=True)) if whole else {}
+
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.count, self.ids, self.used, self.held = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0, 0
+        self.words, self.parts = Lists(), Lists()
+        self.number: dict[int, int] = {}
+        self.seen = np.zeros(0, np.int64)
+        self.forget_parts()
+
+    def forget_parts(self) -> None:
+        self.parts, self.part = Lists(), {"": 0}
+        self.parts.add(np.zeros(1, np.int64), np.zeros(0, np.uint32))
+
+    def make_room(self) -> None:
+        """Keep the words that several batches had, if they are not too many as well."""
+        kept = np.flatnonzero(self.seen > 1)
+        values, (count, ids) = np.fromiter(self.number, np.uint64, len(self.number))[kept].tolist(), self.words.take(kept)
+        self.forget()
+        if len(kept) <= self.most // 2:
+            self.words.add(count, ids)
+            self.number, self.seen = dict(zip(values, range(len(values)), strict=True)), np.ones(len(values), np.int64)
+
+    def ids_of(self, parts: list[str]) -> list[list[int]]:
+        """The ids of words or parts of words; runs of ASCII letters go to the tokenizer's model as they are."""
+        plain = [bool(self.plain) and p.isascii() and p.isalpha() for p in parts]
+        model, table_ = self.tokenizer.model, self.plain
+        rest = iter(self.tokenizer.encode_batch_fast([p for p, own in zip(parts, plain, strict=True) if not own], add_special_tokens=False))
+        return [[t.id for t in model.tokenize(p.translate(table_))] if own else next(rest).ids for p, own in zip(parts, plain, strict=True)]
 
     def learn(self, values: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n, many = len(self.slot), sum(map(len, found))
-        while n + len(values) > len(self.count):
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        while self.used + many > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.count[n : n + len(values)] = [len(x) for x in found]
-        self.ids[self.used : self.used + many] = [i for x in found for i in x]
-        self.slot.update(zip(values, range(n, n + len(values)), strict=True))
-        self.used, self.held = self.used + many, self.held + sum(map(len, texts)) + 4 * many
+        stems = [b if b and b[-1] in ENDS else t for t, b in zip(texts, [t.rstrip(TAIL) for t in texts], strict=True)]
+        tails = [t[len(s) :] for s, t in zip(stems, texts, strict=True)]
+        if new := [p for p in dict.fromkeys((*stems, *tails)) if p not in self.part]:
+            found = self.ids_of(new)
+            self.part.update(zip(new, range(self.parts.n, self.parts.n + len(new)), strict=True))
+            self.parts.add(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32))
+        both = np.empty((len(texts), 2), np.int64)
+        both[:, 0], both[:, 1] = [self.part[s] for s in stems], [self.part[t] for t in tails]
+        count, ids = self.parts.take(both.ravel())
+        self.number.update(zip(values, range(self.words.n, self.words.n + len(values)), strict=True))
+        self.words.add(count[::2] + count[1::2], ids)
+        if len(self.part) > self.most // 4:
+            self.forget_parts()
 
     def of(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, each text's followed by the id `end`, and where each text's begin."""
         w = words(column)
         distinct, place, inverse = np.unique(w.value, return_index=True, return_inverse=True)
         values = distinct.tolist()
-        unknown = [k for k, v in enumerate(values) if v not in self.slot]
-        if unknown and len(self.slot) + len(unknown) > self.most or self.held > self.most_bytes:
-            self.forget()
-            unknown = range(len(values))
-        self.learn([values[k] for k in unknown], [w.data[w.start[p] : w.end[p]].tobytes().decode() for p in place[list(unknown)]] if len(unknown) else [])
-        known = self.count[: len(self.slot)]
-        begin = np.cumsum(known) - known
-        slots = np.array([self.slot[v] for v in values], np.int64)
-        count = known[slots][inverse] if len(slots) else np.zeros(0, np.int64)
+        numbers = np.fromiter((self.number.get(v, -1) for v in values), np.int64, len(values))
+        if self.words.n and self.words.n + np.count_nonzero(numbers < 0) > self.most:
+            self.make_room()
+            numbers = np.fromiter((self.number.get(v, -1) for v in values), np.int64, len(values))
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            data, at = w.data.tobytes(), place[unknown]
+            numbers[unknown] = np.arange(self.words.n, self.words.n + len(unknown))
+            self.learn([values[k] for k in unknown.tolist()], [data[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+            self.seen = np.concatenate([self.seen, np.zeros(len(unknown), np.int64)])
+        self.seen[numbers] += 1
+        count, ids = self.words.take(numbers[inverse]) if len(values) else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
         through = np.concatenate([[0], np.cumsum(count)])
         per_text = through[w.first[1:]] - through[w.first[:-1]]
         first = np.concatenate([[0], np.cumsum(per_text + 1)])
-        out = np.full(int(first[-1]), end, np.uint32)
-        if through[-1]:
-            own = np.ones(len(out), bool)
-            own[first[1:] - 1] = False
-            out[own] = self.ids[np.repeat(begin[slots][inverse] - through[:-1], count) + np.arange(through[-1])]
+        out, own = np.full(int(first[-1]), end, np.uint32), np.ones(int(first[-1]), bool)
+        own[first[1:] - 1] = False
+        out[own] = ids
         return out, first
 
 
+def remembered(definition: str) -> WordIds:
+    """The words of a Python worker, which keeps them from one task to the next: they hang by a module that all its tasks share."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    known = vars(tokenizers).setdefault("_known_words", {})
+    if definition not in known:
+        known.clear()
+        known[definition] = WordIds(definition)
+    return known[definition]
+
+
 def added(columns: str) -> T.StructType:
     return T.StructType.fromDDL(columns)
 
@@ -84,7 +160,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     A document is its ids by the tokenizer of the file `tokenizer` (without special tokens of its
     own), then the id `end`; `ids` are little-endian unsigned 32-bit integers. Only a document of more
     than `capacity` ids is cut, and only its last piece may be shorter. The tokenizer must treat words
-    apart by white space each for itself, as those do that drop white space. Its definition, a few MB,
+    apart by white space each for itself, and a word's letters apart from signs behind them. Its definition, a few MB,
     is broadcast, so that executors need no copy of the file. A null or empty text is the id `end`
     alone; texts of any length are taken whole; repeated rows give their pieces each. Columns of docs
     named piece, start, length or ids can't be kept. An empty table gives no rows.
@@ -96,10 +172,8 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     schema = T.StructType([*docs.select(*keep).schema, *added("piece int, start long, length long, ids binary")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(definition.value)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        known = remembered(definition.value)
+        for b in together(batches, TOGETHER_BYTES):
             ids, first = known.of(b.column(b.num_columns - 1), end)
             pieces = -(-np.diff(first) // capacity)
             row = np.repeat(np.arange(b.num_rows), pieces)

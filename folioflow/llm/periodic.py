@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import WORD, bound_batches, mix, table, words
+from folioflow.llm.common import WORD, bound_batches, mix, ranges, table, together, words
 
 #: A run is at least so many times its period, and so many words.
 EXPONENT, LEAST = 4, 6
@@ -29,11 +29,6 @@ def breaks(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... for `size[0]` numbers, then those of start[1], ..."""
-    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
-
-
 class Partition:
     """Positions of words in classes of equal factors, refined from one factor length to the next.
 
@@ -228,18 +223,6 @@ def without_repeats(w, text: np.ndarray, start: np.ndarray, length: np.ndarray,
     return out[keep], np.concatenate([[0], np.cumsum(np.bincount(of, sizes, len(w.first) - 1).astype(np.int64))])
 
 
-def together(batches: Iterator[pa.RecordBatch], most: int = TOGETHER_BYTES) -> Iterator[pa.RecordBatch]:
-    """Neighbouring batches, joined until they hold `most` bytes."""
-    waiting, held = [], 0
-    for b in batches:
-        waiting, held = [*waiting, b], held + b.nbytes
-        if held >= most:
-            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-            waiting, held = [], 0
-    if waiting:
-        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-
-
 RUNS = "runs array<struct<start: bigint, length: bigint, period: bigint>>, collapsed string"
 
 
@@ -259,9 +242,7 @@ def find_runs(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
     kinds = T.StructType.fromDDL(RUNS)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in together(batches):
-            if not b.num_rows:
-                continue
+        for b in together(batches, TOGETHER_BYTES):
             w = words(b.column(b.num_columns - 1))
             of, *parts = periodic_runs(w.value, w.first, exponent, least)
             rows = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in parts], ["start", "length", "period"])
