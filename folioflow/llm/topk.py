@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import decimal
 import heapq
 import math
 from collections.abc import Iterator
@@ -235,9 +234,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
     asked = materialize(asked.join(kth_of(found, k), F.col("rid") == F.col("kq"), "left").drop("kq"), "queries")
 
     def reach(key: tuple, asked: pd.DataFrame, box: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a query and another shard that may hold something better than its k-th."""
+        """Pairs of a query and another shard that may hold something better than its k-th. A bound beyond 64 bits becomes the last number there: no score that fits lies beyond."""
         if not len(asked) or not len(box):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("q", "int64"), ("to", "int64"), ("bound", "object"), ("least", "int64"))})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("q", "int64"), ("to", "int64"), ("bound", "int64"), ("least", "int64"))})
         q = stacked(asked, scale)
         low, high = (np.array([[int(a) for a in row] for row in box[c]], object) for c in ("low", "high"))
         if q.shape[1] * largest(q) * max(largest(low), largest(high)) < 1 << 62:
@@ -251,11 +250,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
             if not pd.isna(a.kth_score):
                 open_ &= (bound[i] > int(a.kth_score)) | ((bound[i] == int(a.kth_score)) & (least < int(a.kth_id)))
             j = np.flatnonzero(open_)
-            out.append(pd.DataFrame({"q": a.rid, "to": shard[j], "bound": [decimal.Decimal(int(x)) for x in bound[i][j]], "least": least[j]}))
+            out.append(pd.DataFrame({"q": a.rid, "to": shard[j], "bound": [min(max(int(x), -1 << 63), (1 << 63) - 1) for x in bound[i][j]], "least": least[j]}))
         return pd.concat(out)
 
     sides = fresh(asked.withColumn("boxes", F.explode(F.sequence(F.lit(0), F.lit(box_blocks - 1))))), fresh(boxes.withColumn("boxes", F.pmod(F.xxhash64("shard"), F.lit(box_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    pairs = sides[0].groupBy("d", "block", "boxes").cogroup(sides[1].groupBy("d", "block", "boxes")).applyInPandas(reach, "q long, to long, bound decimal(38,0), least long")
+    pairs = sides[0].groupBy("d", "block", "boxes").cogroup(sides[1].groupBy("d", "block", "boxes")).applyInPandas(reach, "q long, to long, bound long, least long")
     pairs = materialize(pairs.withColumn("turn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "to"))), "pairs")
 
     def abroad(key: tuple, asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
