@@ -287,22 +287,39 @@ def odd_documents(spark, columns):
     rows = [(k, f"{prose} number{k} and {' '.join(r.choice('ship tree house road bird cloud'.split()) for _ in range(90))}", "en", ("a", "b", None)[k % 3]) for k in range(30)]
     rows += [(None, prose, "en", "a"), (None, None, None, None), (100, None, "en", "a"), (101, "", None, "b"), (102, "  \n ", "en", "b"), (103, "1234 5678", "en", "a"), (104, "river water " * 60_000, "en", "a")]
     rows += [rows[3], rows[3], (5, "a quite different text about the sea and the people of the hills " * 4, "en", "b"), (105, rows[7][1], "en", "a")]
-    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), *["x"] * len(columns)) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {c} string" for c in columns))
+    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), *["x"] * len(columns)) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{c}` string" for c in columns))
+
+
+#: Columns that the stages' operators add, or name so inside.
+CLASHING = (
+    "score", "lang_pred", "languages", "proportions", "found", "base", "spans", "redacted", "size", "source_size", "target", "copies", "copy", "identity_", "component_id", "kept", "n_shingles", "rep", "value", "_a", "_b", "_kept", "_row", "_text",
+    "a b.c", "text_key",
+)
 
 
 @pytest.mark.parametrize("name", ["language", "near_duplicates", "leaks", "personal_data", "mix"])
-@pytest.mark.parametrize("columns", [(), ("score", "found", "spans", "size", "copies", "rep", "kept", "_a", "value")])
+@pytest.mark.parametrize("columns", [(), CLASHING])
 def test_stages_on_odd_tables(spark, sf, name, columns):
+    """Rows as they should be, and each with the values that it had in every column, maps and structs included."""
     import corpus_pipeline as cp
 
     stage = dict(cp.STAGES)[name]
     docs = odd_documents(spark, columns)
+    if columns:
+        mark = lambda c: F.concat_ws("/", F.lit(c), F.col("doc_id"), F.md5("text"), "source")
+        docs = docs.withColumns({c: mark(c) for c in columns} | {"a_map": F.create_map(F.lit("k"), mark("m")), "a_struct": F.struct(mark("s").alias("x"), F.array(F.lit(1)).alias("y"))})
     before, after = docs.collect(), stage(spark, docs, sf).collect()
     ids = [r["doc_id"] for r in after]
     again = stage(spark, docs.repartition(5), sf).collect()
     assert sorted(map(repr, after)) == sorted(map(repr, again))
     if name != "mix":
         assert not after or after[0].__fields__ == docs.columns
+    else:
+        assert after[0].__fields__ == [*docs.columns, *[f"mix_{c}" if c in columns else c for c in ("size", "source_size", "target", "copies", "copy")]]
+    same = [c for c in docs.columns if not (name == "personal_data" and c in ("text", "n_chars"))]
+    known = {repr([r[c] for c in same]) for r in before}
+    assert all(repr([r[c] for c in same]) in known for r in after)
+    rename = {"copy": "mix_copy"} if columns else {}
     if name == "language":
         assert {100, 101, 102, 103}.isdisjoint(ids) and ids.count(3) == 3 and ids.count(5) == 2 and 104 in ids and ids.count(None) == 1
     elif name == "near_duplicates":
@@ -310,5 +327,13 @@ def test_stages_on_odd_tables(spark, sf, name, columns):
     elif name in ("leaks", "personal_data"):
         assert sorted(map(repr, ids)) == sorted(repr(r["doc_id"]) for r in before)
     else:
-        assert {r["copy"] for r in after} <= {1, 2} and set(map(repr, ids)) <= {repr(r["doc_id"]) for r in before}
+        assert {r[rename.get("copy", "copy")] for r in after} <= {1, 2} and set(map(repr, ids)) <= {repr(r["doc_id"]) for r in before}
     assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_bounds_beyond_64_bits(spark):
+    """Boxes whose bound no 64 bits hold, with scores that fit."""
+    rows = [(i, [1e40 * i, -1e40 * i]) for i in range(-40, 40)] + [(100 + i, [0.25 * i, 1.0]) for i in range(40)] + [(1000, [1.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1000, k=5, shard_rows=8).collect()
+    scores = sorted(((sum(int(256 * x) for x in v) * 256, -i) for i, v in rows if i != 1000), reverse=True)[:5]
+    assert [(r["score"], -r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == scores
