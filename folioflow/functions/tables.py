@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A whole table. If it has fewer files than there are cores, its rows are dealt over all: a file of one row group is otherwise the work of one task. Larger tables are not moved."""
+    """A whole table. If its scan has fewer parts than there are cores, its rows are dealt over all: a file of one row group is otherwise the work of one task. Larger tables are not moved."""
     rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
+    return rows if parts_of(rows) >= cores else rows.repartition(cores)
+
+
+def parts_of(rows: DataFrame) -> int:
+    """Tasks of the scan behind rows; only their number comes to the driver's Python."""
+    return rows._jdf.queryExecution().toRdd().getNumPartitions()
 
 
 def shared_folder(spark: SparkSession) -> str:

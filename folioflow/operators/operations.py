@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.tables import numbered
 from folioflow.operators import monitoring as mo
@@ -129,8 +130,9 @@ def save_rows(rows: DataFrame, path: str) -> None:
 
 def load_rows(like: DataFrame, path: str) -> DataFrame:
     """JSON rows with the columns of `like`; rows that can't be read are dropped."""
-    read = like.sparkSession.read.schema(like.schema.add("_bad", "string")).option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    return read.where("_bad is null").drop("_bad")
+    whole = T.StructType([*like.schema, T.StructField("_bad", T.StringType())])
+    row = F.from_json("value", whole, {"columnNameOfCorruptRecord": "_bad"}).alias("row")
+    return like.sparkSession.read.text(path).select(row).select("row.*").where("_bad is null").drop("_bad")
 
 
 def match_taxonomy(docs: DataFrame, key: str, words: Column, taxonomy: DataFrame) -> DataFrame:

@@ -128,8 +128,8 @@ def files_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def custom_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The built-in taxonomy with topics of the documents' sources, saved as JSON and loaded again."""
     base = spark.createDataFrame([(s, t, k, lv) for s, t, k, lv in d.TAXONOMY], "subject string, topic string, keywords array<string>, levels array<string>")
-    docs = table(spark, sf_dir, "documents").where("source is not null and lang is not null")
-    custom = docs.groupBy(F.col("source").alias("topic")).agg(F.array_sort(F.collect_set("lang")).alias("keywords")).select(F.lit("sources").alias("subject"), "topic", "keywords", F.array(F.lit("graduate")).alias("levels"))
+    docs = table(spark, sf_dir, "documents")
+    custom = docs.groupBy(F.coalesce("source", F.lit("unknown")).alias("topic")).agg(F.array_sort(F.collect_set("lang")).alias("keywords")).select(F.lit("sources").alias("subject"), "topic", "keywords", F.array(F.lit("graduate")).alias("levels"))
     replaced = spark.createDataFrame([("mathematics", "calculus", ["limit"], ["graduate"])], base.schema)
     both = op.add_topics(op.add_topics(base, custom), replaced)
     path = scratch_path(spark, "taxonomy")
@@ -177,8 +177,9 @@ def fifo_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "jsonl")
     c = table(spark, sf_dir, "conversations")
-    for role in ("user", "assistant"):
-        sk.append_jsonl(c.where(F.col("role") == role), path)
+    user = F.col("role").eqNullSafe(F.lit("user"))
+    for part in (c.where(user), c.where(~user)):  # a second write goes behind the first
+        sk.append_jsonl(part, path)
     return spark.read.schema(c.schema).json(path).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.max(F.md5("text")).alias("largest_md5"), F.sum(F.char_length("text")).alias("chars"))
 
 
@@ -193,7 +194,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hierarchy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "hierarchy")
-    rows = table(spark, sf_dir, "documents").where("lang is not null and source is not null").select("lang", "source", "doc_id")
+    rows = table(spark, sf_dir, "documents").select("lang", "source", "doc_id")
     sk.write_hierarchy(rows, path, "lang", "source")
     return spark.read.schema("doc_id bigint, lang string, source string").parquet(path).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
@@ -302,7 +303,7 @@ SQL = {
     "best_first_crawl": _BEST_FIRST,
     "files_with_metadata": f"with {fx.meta_sql()} select filename, title, lang as text from meta join documents on ordinal = doc_id where doc_id % 3 <> 0",
     "custom_taxonomy": f"""with {fx.values_sql('b', [(s, t, '|'.join(k), '|'.join(lv)) for s, t, k, lv in d.TAXONOMY], 'subject string, topic string, keywords string, levels string')}
-      select * from b where topic <> 'calculus' union all select 'mathematics', 'calculus', 'limit', 'graduate' union all select 'sources', source, string_agg(distinct lang, '|' order by lang), 'graduate' from documents where source is not null and lang is not null group by source""",
+      select * from b where topic <> 'calculus' union all select 'mathematics', 'calculus', 'limit', 'graduate' union all select 'sources', coalesce(source, 'unknown'), coalesce(string_agg(distinct lang, '|' order by lang), ''), 'graduate' from documents group by all""",
     "topic_match_custom": f"""with k as (select lpad(item_id::varchar, 6, '0') as topic, unnest(list_distinct({_WORDS.format('text')})) as term from benchmark), n as (select topic, count(*) as size from k group by topic),
       w as (select doc_id, unnest(list_distinct({_WORDS.format('text')})) as term from documents), h as (select doc_id, topic, count(*) as n from w join k using (term) group by all),
       r as (select doc_id, h.topic, n / size as score, row_number() over (partition by doc_id order by n / size desc, h.topic) as turn from h join n on n.topic = h.topic) select doc_id, topic, round(score, 6) as score from r where turn = 1""",
@@ -314,9 +315,9 @@ SQL = {
       h as (select page_id, url, pos, regexp_extract(a, '(?is)href=["'']([^"'']*)["'']', 1) as href, lower(trim(regexp_replace(a, '(?s)<[^>]*>', '', 'g'))) as t from e)
       select page_id, pos, {resolve_sql('url', 'href')} as link, {', '.join(f"t = '' or {g.any_of('t', d.LANGUAGE_TERMS[k])} or not {g.any_of('t', d.LINK_EXCLUDES[k])} as {k}" for k in ('es', 'fr'))} from h""",
     "fifo_queue": "select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as place from orders where o_orderstatus = 'O'",
-    "jsonl_round_trip": "select role, count(*) as n, max(md5(text)) as largest_md5, sum(length(text))::bigint as chars from conversations where role in ('user', 'assistant') group by role",
+    "jsonl_round_trip": "select role, count(*) as n, max(md5(text)) as largest_md5, sum(length(text))::bigint as chars from conversations group by role",
     "csv_round_trip": "select doc_id::varchar as filename, lang as language, source as field, md5(text) as hash, length(text)::bigint as size, 'a \"b\", c' as title, md5(substr(text, 1, 500)) as excerpt_md5 from documents",
-    "hierarchy_round_trip": "select lang, source, count(*) as n, min(doc_id) as first_id from documents where lang is not null and source is not null group by all",
+    "hierarchy_round_trip": "select lang, source, count(*) as n, min(doc_id) as first_id from documents group by all",
     "customer_snapshot": "select c_mktsegment, count(*) as n, max(c_custkey) as last_key from customer group by c_mktsegment",
     "resumable_tasks": "with l as (select user_id as task, max(event_id) as saved_at, max_by(value, event_id) as done from events group by user_id) select task, saved_at, round(20.0 - done, 4) as left_ from l where done < 20.0",
     "stale_checkpoints": "select user_id as task, event_id as saved_at from events qualify row_number() over (partition by user_id order by event_id desc) > 10",
