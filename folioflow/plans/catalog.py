@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import dictionaries as d
+from folioflow.functions.tables import scratch_path
 from folioflow.operators import catalog as ca
 from folioflow.operators import crawl as cr
 from folioflow.plans import fixtures as fx
@@ -203,6 +204,13 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cr.frontier(spark.createDataFrame([("1",), ("2",)], "url string"), links, 3).select("url", F.col("depth").cast("bigint").alias("depth"))
 
 
+def subject_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of subject_index as the sink writes them, line by line."""
+    path = scratch_path(spark, "pages")
+    sk.write_pages(sk.index_rows(fx.meta(spark, sf_dir).where("subject_area <> ''")), path, "subject_area", lines_a_file=50)
+    return sk.read_pages(spark, path, "subject_area")
+
+
 def subject_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sk.index_lines(fx.meta(spark, sf_dir).where("subject_area <> ''"))
 
@@ -236,7 +244,7 @@ _REPOSITORIES = f"""{_PAPERS}, {DSPACE_.sql('ds')}, {EPRINTS_.sql('ep')}, di as
 
 QUERIES = {f.__name__: f for f in (
     metadata_search, part_search, similar_hash, source_lists, source_health, source_defaults, pending_tasks, order_queue, status_transition, task_checks, updated_customers, inserted_parts, exact_dedup_keep_first,
-    dup_groups, key_checks, first_by_source, capped_by_source, download_gates, collection_stats, conversation_tasks, atom_papers, recent_papers, federated_papers, sitemap_urls, robots_gate, crawl_frontier, subject_index,
+    dup_groups, key_checks, first_by_source, capped_by_source, download_gates, collection_stats, conversation_tasks, atom_papers, recent_papers, federated_papers, sitemap_urls, robots_gate, crawl_frontier, subject_index, subject_pages,
     benchmark_overlap,
 )}
 SQL = {
@@ -271,5 +279,6 @@ SQL = {
     "robots_gate": f"with {ROBOT_URLS_.sql('u')}, {ROBOTS_.sql('r')} select url from u where coalesce((select allow from r where r.host = u.host and starts_with(u.path, prefix) order by length(prefix) desc, allow desc limit 1), true)",
     "crawl_frontier": "with recursive n as (select count(*) as n from supplier), e as (select s_suppkey::bigint as src, (s_suppkey * m + 7) % n as dst from supplier, n, (values (3), (5), (11)) v(m)), f as (select unnest([1, 2])::bigint as url, 0 as depth union select dst, depth + 1 from f join e on src = url where depth < 3) select url::varchar as url, min(depth)::bigint as depth from f group by url",
     "subject_index": f"with {fx.meta_sql()} select subject_area, concat('# ', array_to_string(list_transform(string_split(subject_area, '_'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' '), chr(10), chr(10), count(*), ' documents', chr(10), chr(10), string_agg(concat('- **', title, '** (', academic_level, ') - `', filename, '`'), chr(10) order by academic_level, title, filename)) as page from meta where subject_area <> '' group by subject_area",
+    "subject_pages": f"with p as (with {fx.meta_sql()} select subject_area, concat('# ', array_to_string(list_transform(string_split(subject_area, '_'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' '), chr(10), chr(10), count(*), ' documents', chr(10), chr(10), string_agg(concat('- **', title, '** (', academic_level, ') - `', filename, '`'), chr(10) order by academic_level, title, filename)) as page from meta where subject_area <> '' group by subject_area), l as (select subject_area, string_split(page, chr(10)) as lines from p) select subject_area, unnest(range(len(lines))) as place, unnest(lines) as line from l",
     "benchmark_overlap": r"with b as (select item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) as w from benchmark), d as (select lang, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) as w from documents), g as (select lang, w, count(*) as n from d group by all) select lang, count(*) as n_hits, sum(n)::bigint as n_occurrences from b join g using (w) group by lang",
 }

@@ -356,3 +356,17 @@ def test_level_classifier_learns_from_more_rows(spark):
     best = lambda m: [r["predicted"] for r in m.transform(asked).collect()]
     assert best(ml.level_classifier(first))[:2] == ["graduate", "high_school"]
     assert best(ml.level_classifier(first, spark.createDataFrame([("llama herding llama", "undergraduate")] * 3, "text string, label string"))) == ["graduate", "high_school", "undergraduate"]
+
+
+def test_pages_of_a_sink(spark, tmp_path):
+    """Large pages lie in several files in order; written again, nothing is there twice."""
+    m = fx.meta(spark, "/root/testdata/sf0.001").where("subject_area <> ''")
+    want = {r["subject_area"]: r["page"].split("\n") for r in sk.index_lines(m).collect()}
+    for _ in range(2):
+        sk.write_pages(sk.index_rows(m), f"{tmp_path}/p", "subject_area", lines_a_file=3)
+        got: dict = {}
+        for r in sk.read_pages(spark, f"{tmp_path}/p", "subject_area").orderBy("subject_area", "place").collect():
+            assert r["place"] == len(got.setdefault(r["subject_area"], []))
+            got[r["subject_area"]].append(r["line"])
+        assert got == want
+    assert spark.read.text(f"{tmp_path}/p").select(F.input_file_name()).distinct().count() > 2 * len(want)
