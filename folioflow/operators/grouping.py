@@ -248,7 +248,11 @@ def series_parts(meta: DataFrame) -> DataFrame:
 
 def series(meta: DataFrame) -> DataFrame:
     """A row for each series of two hits or more: its total (largest part), parts, latest file of each part, gaps as ranges, and whether it is complete."""
-    hits = series_parts(meta)
+    return series_of(series_parts(meta))
+
+
+def series_of(hits: DataFrame) -> DataFrame:
+    """series() of the rows that series_parts() finds."""
     several = hits.groupBy("series").agg(F.count(F.lit(1)).alias("hits"), F.max("part").alias("total_parts"), F.min("ordinal").alias("first")).where("hits > 1")
     parts = hits.groupBy("series", "part").agg(F.max_by("filename", F.struct("ordinal", "pattern")).alias("filename"))
     before = F.coalesce(F.lag("part").over(Window.partitionBy("series").orderBy("part")), F.lit(0))

@@ -58,9 +58,14 @@ def meta(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     """
     if sf_dir is None:
         return spark.createDataFrame(DOCS, META)
-    rows = [(*r, t) for r, t in zip(DOCS, TITLES, strict=True)]
+    return meta_of(table(spark, sf_dir, "documents"))
+
+
+def meta_of(docs: DataFrame) -> DataFrame:
+    """The catalogue of some rows of `documents`."""
+    spark, rows = docs.sparkSession, [(*r, t) for r, t in zip(DOCS, TITLES, strict=True)]
     tpl = F.broadcast(spark.createDataFrame(rows, META.replace("ordinal int", "turn int") + ", pattern string").withColumnsRenamed({c: f"t_{c}" for c in ("filename", "title", "file_size", "page_count", "text_ratio", "quality_score")}))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars").join(tpl, F.col("doc_id") % len(DOCS) == F.col("turn"))
+    d = docs.select("doc_id", "text", "lang", "source", "n_chars").join(tpl, F.col("doc_id") % len(DOCS) == F.col("turn"))
     i = F.col("doc_id")
     cohort = F.floor(i / COHORT).cast("bigint")
     step = F.floor((i % COHORT) / len(DOCS)).cast("bigint")

@@ -5,9 +5,12 @@ from oracle import expected, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioflow.operators import grouping as gr
 from folioflow.operators import monitoring as mo
+from folioflow.plans import fixtures as fx
 from folioflow.plans import learned
 from folioflow.streaming import event_time as et
+from folioflow.streaming import increments as inc
 from folioflow.streaming import monitor as st
 
 STREAMS = ["stream_hourly_metrics", "stream_transitions", "stream_breakers"]
@@ -87,3 +90,22 @@ def test_odd_names_of_folders(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/events.parquet").write.parquet(at)
     for path in (at, at + "/"):
         assert st.run_to_table(st.counters(st.event_stream(spark, path), "event_type"), f"{tmp_path}/o{len(path)}", f"{tmp_path}/s{len(path)}", "update", ("event_type",)).agg(F.sum("n")).first()[0] == 1000
+
+
+def test_increments_equal_the_whole(spark, sf, tmp_path):
+    """Batches in any order, one of them twice, and compacted ones: groups, series and folders as of all documents; a batch writes its own rows alone."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    work = inc.add_batch(f"{tmp_path}/t", fx.meta_of)
+    for batch, rest in enumerate((2, 0, 1)):
+        work(docs.where(F.col("doc_id") % 3 == rest), batch)
+    work(docs.where(F.col("doc_id") % 3 == 0), 1)  # a replay
+    inc.compacted(spark, f"{tmp_path}/t", f"{tmp_path}/u", 1)
+    meta = fx.meta(spark, sf)
+    want = sorted(map(repr, gr.series(meta).collect()))
+    names = gr.author_members(meta).unionByName(gr.institution_members(meta))
+    for at in ("t", "u"):
+        path = f"{tmp_path}/{at}"
+        assert sorted(map(repr, inc.series(spark, path).collect())) == want
+        assert sorted(map(tuple, inc.members(spark, path).collect())) == sorted(map(tuple, names.collect()))
+        assert {(r["subject_area"], r["academic_level"]): r["n"] for r in inc.folders(spark, path).collect()} == {(r[0], r[1]): r[2] for r in meta.groupBy("subject_area", "academic_level").count().collect()}
+    assert inc.of(spark, f"{tmp_path}/t", "authors").where("batch = 1").count() == fx.meta_of(docs.where("doc_id % 3 = 0")).where(F.size("authors") > 0).count()
