@@ -159,14 +159,19 @@ def merge_members(rows: DataFrame, overlap: float = 0.5, one_task: int = ONE_TAS
     same = (F.col("name") == F.col("_name")) & (F.col("kind") == F.col("_kind")) & (F.col("first") == F.col("_first"))
     full = written(rows.join(groups, same).groupBy("gid", F.col("filename").alias("m")).agg(F.min("ordinal").alias("ordinal")), "memberships")
     flat = full.select("gid", "m")
-    parts = written(overlapping(flat), "group-parts")
-    sizes = flat.join(parts, "gid").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gid").alias("groups")).where("groups > 1")
-    sizes = written(sizes.select(F.col("part").alias("p"), "n"), "part-sizes")
-    largest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    marked = flat.join(parts, "gid").join(sizes, F.col("part") == F.col("p"))
-    roots = marked.where(F.col("n") <= one_task).select("part", "gid", "m").groupBy("part").applyInPandas(lambda part: fold(part, overlap), "gid bigint, root bigint")
-    if largest > one_task:
-        roots = roots.unionByName(merge_in_rounds(written(marked.where(F.col("n") > one_task).select("gid", "m"), "long-chains"), overlap, told))
+    n = flat.count()
+    if n <= one_task:  # all chains together are short
+        roots = flat.groupBy(F.lit(0).alias("part")).applyInPandas(lambda part: fold(part, overlap), "gid bigint, root bigint")
+        largest = n
+    else:
+        parts = written(overlapping(flat), "group-parts")
+        sizes = flat.join(parts, "gid").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gid").alias("groups")).where("groups > 1")
+        sizes = written(sizes.select(F.col("part").alias("p"), "n"), "part-sizes")
+        largest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        marked = flat.join(parts, "gid").join(sizes, F.col("part") == F.col("p"))
+        roots = marked.where(F.col("n") <= one_task).select("part", "gid", "m").groupBy("part").applyInPandas(lambda part: fold(part, overlap), "gid bigint, root bigint")
+        if largest > one_task:
+            roots = roots.unionByName(merge_in_rounds(written(marked.where(F.col("n") > one_task).select("gid", "m"), "long-chains"), overlap, told))
     if told is not None:
         told["largest"] = largest
     roots = written(roots, "roots").select(F.col("gid").alias("g"), "root")
