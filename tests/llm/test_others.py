@@ -190,6 +190,15 @@ def test_path_belongs_to_the_first_host(spark):
     assert [r[-1] for r in got] == ["allow"] * 3 + ["block"]
 
 
+def test_rules_are_those_of_the_contract(spark):
+    """The rules as the contract lists them, not as the module does."""
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    links = ["http://a.com/en/1", "http://example.com/en/7", "http://a.net/de/1", "http://example.net/de/9", "http://x.example.net/de/80", "http://net/de/", "http://a.org/es/", "http://a.net/en/"]
+    got = sorted(tuple(r) for r in urls.judge_pages(spark, spark.createDataFrame(list(enumerate(links)), "page_id long, url string")).collect())
+    assert got == [(i, *judged(u, rules)) for i, u in enumerate(links)]
+    assert [r[-1] for r in got] == ["block", "allow", "allow", "allow", "block", "allow", "block", "allow"]
+
+
 def test_rule_side_may_be_shuffled(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     few = urls.judge_pages(spark, pages)
