@@ -50,3 +50,7 @@ def test_halves_round_as_in_sql(spark):
     values = [(2 * k + 1) / 2e6 * s for k in range(300_000, 301_000) for s in (1, -1)] + [0.0, 1e300, 5.7145625, 6.6364375]
     got = [r["x"] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(tx.rounded(F.col("v")).alias("x")).collect()]
     assert got == [duckdb.execute("select round(?::double, 6)", [v]).fetchall()[0][0] for v in values]
+
+
+def test_inclusion(spark, odd):
+    same(scoring.QUERIES["inclusion"], scoring.SQL["inclusion"], spark, odd)
