@@ -54,3 +54,7 @@ def test_halves_round_as_in_sql(spark):
 
 def test_inclusion(spark, odd):
     same(scoring.QUERIES["inclusion"], scoring.SQL["inclusion"], spark, odd)
+
+
+def test_filter_counts(spark, odd):
+    same(scoring.QUERIES["filter_counts"], scoring.SQL["filter_counts"], spark, odd)
