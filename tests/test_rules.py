@@ -141,6 +141,13 @@ def test_recommendations_by_the_index(spark):
     assert share["sf0.01"] < share["sf0.001"] < 1
 
 
+def test_recommendations_compare_few_pairs(spark):
+    """Documents without a common author are compared by their profiles, so that pairs don't grow with targets times documents that share a keyword."""
+    m, told = fx.meta(spark, "/root/testdata/sf0.1"), {}
+    assert sm.recommend(m.where("ordinal % 200 = 0"), m, told=told).count() == 5 * told["targets"] == 250
+    assert told["pairs"] < 150 * told["targets"] and told["with_all"] == 0
+
+
 def test_percentiles_are_places_in_order(spark):
     rows = spark.createDataFrame([("k", float(i)) for i in range(10)], "k string, v double")
     assert mo.index_percentiles(rows, "k", "v").first().asDict() == {"k": "k", "p50": 5.0, "p90": 9.0, "p95": 9.0, "p99": 9.0}
