@@ -18,6 +18,7 @@ FAR = "\U00010400"
 #: Letters of two UTF-16 units in words, so that the share of such words moves ease and grade over the levels' edges.
 SYLLABLES = [("a" + FAR + "b ") * n + "banana rotunda. " * k for n in range(1, 60, 4) for k in (2, 9)]
 BLANKS = [" ", "　  ", " ", "", None]
+DOTTED = ["İntroductİon to research", "assİgnment syllabus quiz bİbliography", "unİversİty lectureİ", "LECTURE THESİS DİSSERTATİON"]
 
 
 def tables_with(texts, sf, at):
@@ -50,3 +51,7 @@ def test_blank_texts_have_no_confidence(spark, sf, tmp_path):
 
 def test_inclusion(spark, far):
     same(scoring.QUERIES["inclusion"], scoring.SQL["inclusion"], spark, far)
+
+
+def test_filter_counts(spark, sf, tmp_path):
+    same(scoring.QUERIES["filter_counts"], scoring.SQL["filter_counts"], spark, tables_with(DOTTED, sf, str(tmp_path)))
