@@ -149,28 +149,30 @@ class Tagger:
         all gates are one 1 / (1 + exp(-z)), which costs numpy much less than
         tanh where it has no 512-bit instructions: tanh(z) is 2 s(2 z) - 1. The
         signs and factors that this leaves are in the weights: c and h are half
-        of the states.
+        of the states. Gates lie apart, and outputs by time, tag and window,
+        so that loops over them are long.
         """
         h_, w, n, steps = self.hidden, self.w, len(x), x.shape[1]
         turn = np.repeat(np.array([-1, -1, -1, -2], np.float32), h_)
-        table = np.concatenate([(w[f"{d}x"] + w[f"{d}b"]) * turn for d in "fb"]).astype(np.float32)
-        inner = np.stack([w[f"{d}h"] * turn * 2 for d in "fb"]).astype(np.float32)
-        part = (w["out"].reshape(2, h_, TAGS) * 2).astype(np.float32)
+        by_gate = lambda v: np.ascontiguousarray(np.stack(np.split(v, 4, axis=-1)), np.float32)
+        table = by_gate(np.concatenate([(w[f"{d}x"] + w[f"{d}b"]) * turn for d in "fb"])).reshape(-1, h_)
+        inner = by_gate(np.stack([w[f"{d}h"] * turn * 2 for d in "fb"]))
+        part = np.ascontiguousarray((w["out"].reshape(2, h_, TAGS) * 2).transpose(0, 2, 1), np.float32)
         x = np.asarray(x.T, np.intp)
-        asked = np.concatenate([x, x[::-1] + SYMBOLS], 1)
+        asked, shift = np.concatenate([x, x[::-1] + SYMBOLS], 1), 2 * SYMBOLS * np.arange(4)[:, None]
         (h, c), (u, v) = np.zeros((2, 2, n, h_), np.float32), np.empty((2, 2, n, h_), np.float32)
-        z, more = np.empty((2, n, 4 * h_), np.float32), np.empty((2, n, 4 * h_), np.float32)
-        i, f, o, g = (z[:, :, k * h_ : (k + 1) * h_] for k in range(4))
-        rows = z.reshape(2 * n, 4 * h_)
-        out = np.empty((2, steps, n, TAGS), np.float32)
+        z, more = np.empty((4, 2, n, h_), np.float32), np.empty((4, 2, n, h_), np.float32)
+        (i, f, o, g), rows, at = z, z.reshape(4, 2 * n, h_), np.empty((4, 2 * n), np.intp)
+        out, turned = np.empty((2, steps, TAGS, n), np.float32), h.transpose(0, 2, 1)
         with np.errstate(over="ignore"):  # exp(-z) of a very small gate is infinite, and the gate 0
             for t in range(steps):
-                np.take(table, asked[t], axis=0, out=rows, mode="clip")
+                np.add(asked[t], shift, out=at)
+                np.take(table, at, axis=0, out=rows, mode="clip")
                 np.matmul(h, inner, out=more)
                 z += more
                 np.exp(z, out=z)
                 z += 1
-                np.reciprocal(z, out=z)
+                np.divide(1, z, out=z)
                 np.subtract(g, 0.5, out=u)  # c / 2 = f c / 2 + i (s(2 g) - 1 / 2)
                 u *= i
                 c *= f
@@ -178,11 +180,14 @@ class Tagger:
                 np.multiply(c, -4, out=v)
                 np.exp(v, out=v)
                 v += 1
-                np.reciprocal(v, out=h)
+                np.divide(1, v, out=h)
                 h -= 0.5
                 h *= o  # h / 2 = o (s(2 c) - 1 / 2)
-                np.matmul(h, part, out=out[:, t])
-        return out[0] + out[1, ::-1] + w["bias"]
+                np.matmul(part, turned, out=out[:, t])
+        e = out[0]
+        e += out[1, ::-1]
+        e += w["bias"][:, None]
+        return e.transpose(0, 2, 1)
 
     def all_plain(self, e: np.ndarray) -> np.ndarray:
         """Windows whose best path is surely tag 0 throughout.
@@ -196,16 +201,24 @@ class Tagger:
         step = step - step[0, 0]
         opens, goes = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
         enter, cross, leave = step[0, opens], step[1:, opens].max(0), float(step[1:, 0].max())
-        first_on, on = step[opens, goes], step[goes, goes]
+        first_on, on = step[opens, goes][:, None], step[goes, goes][:, None]
+        enter, cross = enter[:, None], cross[:, None]
         lead = np.ascontiguousarray((e[:, :, 1:] - e[:, :, :1]).transpose(0, 2, 1))
         b, i = lead[0, ::2] + (start[opens] - start[0])[:, None], lead[0, 1::2] + (start[goes] - start[0])[:, None]
-        plain = np.ones(e.shape[1], bool)
+        top, most = np.empty_like(b), np.empty((len(e), e.shape[1]), b.dtype)
         for t in range(1, len(e)):
-            most = np.maximum(b, i).max(0)
-            plain &= most + leave < -1e-3
-            i = np.maximum(b + first_on[:, None], i + on[:, None]) + lead[t, 1::2]
-            b = np.maximum(enter[:, None], most + cross[:, None]) + lead[t, ::2]
-        return plain & (np.maximum(b, i).max(0) < -1e-3)
+            np.maximum(b, i, out=top)
+            before = np.maximum.reduce(top, 0, out=most[t - 1])
+            b += first_on
+            i += on
+            np.maximum(b, i, out=i)
+            i += lead[t, 1::2]
+            np.add(before, cross, out=b)
+            np.maximum(b, enter, out=b)
+            b += lead[t, ::2]
+        most[:-1] += leave
+        np.maximum(b, i).max(0, out=most[-1])
+        return most.max(0) < -1e-3
 
     def sums(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward and backward log-sums of the CRF, and its log-partition."""

@@ -340,3 +340,16 @@ def test_plausible_forms(kind, found, ok):
 def test_redaction(documents, tagger):
     rows = pii.find_pii(documents(["mail me: a@b.co or +1 (555) 123-4567!", None, "x"]), tagger).orderBy("doc_id").collect()
     assert [r["redacted"] for r in rows] == ["mail me: <EMAIL> or <PHONE>!", None, "x"]
+
+
+def test_products_of_the_tagger_stay_on_one_thread(monkeypatch):
+    """OpenBLAS takes a second thread, whose waiting counts as CPU time, for products of more than 2**18 multiplications."""
+    sizes, plain = [], np.matmul
+
+    def spy(a, b, out):
+        sizes.append(a.shape[-2] * a.shape[-1] * b.shape[-1])
+        return plain(a, b, out=out)
+
+    monkeypatch.setattr(pii.np, "matmul", spy)
+    pii.Tagger().emissions(np.zeros((pii.tagged.__defaults__[0], 3), np.int8))
+    assert len(sizes) == 6 and max(sizes) <= 2**18
