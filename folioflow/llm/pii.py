@@ -104,12 +104,27 @@ def lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def stepped(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exp(x), along rows, by positive weights."""
+    m = x.max(1, keepdims=True)
+    return m + np.log(np.exp(x - m) @ weights)
+
+
+#: Slope of the hard sigmoid, with which gates open: 0 up to -2.5, 1 from 2.5, and a line between.
+SLOPE = np.float32(0.2)
+
+
+def gate(x: np.ndarray) -> np.ndarray:
+    return np.clip(SLOPE * x + np.float32(0.5), np.float32(0), np.float32(1))
+
+
+def gate_slope(s: np.ndarray) -> np.ndarray:
+    """The derivative of gate() where its value is s."""
+    return SLOPE * ((s > 0) & (s < 1)).astype(np.float32)
 
 
 class Tagger:
-    """Two LSTMs over the characters, one from each end, a linear layer, and a CRF over B/I tags."""
+    """Two LSTMs with hard sigmoid gates over the characters, one from each end, a linear layer, and a CRF over B/I tags."""
 
     def __init__(self, hidden: int = 16, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -132,7 +147,7 @@ class Tagger:
         table = w[f"{d}x"] + w[f"{d}b"]
         for t in steps:
             z = table[x[:, t]] + h @ w[f"{d}h"]
-            s = sigmoid(z[:, : 3 * h_])
+            s = gate(z[:, : 3 * h_])
             i, f, o, g = s[:, :h_], s[:, h_ : 2 * h_], s[:, 2 * h_ :], np.tanh(z[:, 3 * h_ :])
             c_new = f * c + i * g
             u = np.tanh(c_new)
@@ -145,44 +160,44 @@ class Tagger:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(time, window, tag) for symbols x (window, time).
 
-        As lstm() and the linear layer, but both directions step together, and
-        all gates are one 1 / (1 + exp(-z)), which costs numpy much less than
-        tanh where it has no 512-bit instructions: tanh(z) is 2 s(2 z) - 1. The
-        signs and factors that this leaves are in the weights: c and h are half
-        of the states. Gates lie apart, and outputs by time, tag and window,
-        so that loops over them are long.
+        As lstm() and the linear layer, but both directions step together. The
+        slopes of the gates and their middles are in the weights, so that a gate
+        is cut at 0 and 1 and no more; tanh(z) is 2 / (1 + exp(-2 z)) - 1, which
+        costs numpy less where it has no 512-bit instructions. h is half of the
+        state, and c -2 times it. Gates lie apart, and outputs by time, tag and
+        window, so that loops over them are long.
         """
         h_, w, n, steps = self.hidden, self.w, len(x), x.shape[1]
-        turn = np.repeat(np.array([-1, -1, -1, -2], np.float32), h_)
+        turn, middle = np.repeat(np.array([SLOPE, SLOPE, SLOPE, -2], np.float32), h_), np.repeat(np.array([0.5, 0.5, 0.5, 0], np.float32), h_)
         by_gate = lambda v: np.ascontiguousarray(np.stack(np.split(v, 4, axis=-1)), np.float32)
-        table = by_gate(np.concatenate([(w[f"{d}x"] + w[f"{d}b"]) * turn for d in "fb"])).reshape(-1, h_)
+        table = by_gate(np.concatenate([(w[f"{d}x"] + w[f"{d}b"]) * turn + middle for d in "fb"])).reshape(-1, h_)
         inner = by_gate(np.stack([w[f"{d}h"] * turn * 2 for d in "fb"]))
         part = np.ascontiguousarray((w["out"].reshape(2, h_, TAGS) * 2).transpose(0, 2, 1), np.float32)
-        x = np.asarray(x.T, np.intp)
+        x = np.ascontiguousarray(x.T, np.intp)
         asked, shift = np.concatenate([x, x[::-1] + SYMBOLS], 1), 2 * SYMBOLS * np.arange(4)[:, None]
-        (h, c), (u, v) = np.zeros((2, 2, n, h_), np.float32), np.empty((2, 2, n, h_), np.float32)
-        z, more = np.empty((4, 2, n, h_), np.float32), np.empty((4, 2, n, h_), np.float32)
-        (i, f, o, g), rows, at = z, z.reshape(4, 2 * n, h_), np.empty((4, 2 * n), np.intp)
+        h, c, v = np.zeros((3, 2, n, h_), np.float32)
+        z, more = np.empty((2, 4, 2, n, h_), np.float32)
+        (i, f, o, g), gates, rows, at = z, z[:3], z.reshape(4, 2 * n, h_), np.empty((4, 2 * n), np.intp)
         out, turned = np.empty((2, steps, TAGS, n), np.float32), h.transpose(0, 2, 1)
-        with np.errstate(over="ignore"):  # exp(-z) of a very small gate is infinite, and the gate 0
+        with np.errstate(over="ignore"):  # exp(-2 z) of a very small z is infinite, and tanh(z) -1
             for t in range(steps):
                 np.add(asked[t], shift, out=at)
                 np.take(table, at, axis=0, out=rows, mode="clip")
                 np.matmul(h, inner, out=more)
                 z += more
-                np.exp(z, out=z)
-                z += 1
-                np.divide(1, z, out=z)
-                np.subtract(g, 0.5, out=u)  # c / 2 = f c / 2 + i (s(2 g) - 1 / 2)
-                u *= i
+                np.clip(gates, 0, 1, out=gates)
+                np.exp(g, out=g)
+                g += 1
+                np.divide(-4, g, out=g)
+                g += 2  # -2 tanh(z)
+                g *= i
                 c *= f
-                c += u
-                np.multiply(c, -4, out=v)
-                np.exp(v, out=v)
+                c += g
+                np.exp(c, out=v)
                 v += 1
                 np.divide(1, v, out=h)
                 h -= 0.5
-                h *= o  # h / 2 = o (s(2 c) - 1 / 2)
+                h *= o
                 np.matmul(part, turned, out=out[:, t])
         e = out[0]
         e += out[1, ::-1]
@@ -222,13 +237,13 @@ class Tagger:
 
     def sums(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward and backward log-sums of the CRF, and its log-partition."""
-        step = self.w["step"] + self.allowed
+        step = np.exp(self.w["step"] + self.allowed)
         a, b = np.zeros_like(e), np.zeros_like(e)
         a[0] = e[0] + self.w["start"] + self.allowed[0]
         for t in range(1, len(e)):
-            a[t] = e[t] + lse(a[t - 1][:, :, None] + step, 1)
+            a[t] = e[t] + stepped(a[t - 1], step)
         for t in range(len(e) - 2, -1, -1):
-            b[t] = lse((e[t + 1] + b[t + 1])[:, None, :] + step, 2)
+            b[t] = stepped(e[t + 1] + b[t + 1], step.T)
         return a, b, lse(a[-1], 1)
 
     def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,16 +251,13 @@ class Tagger:
         step, v = self.w["step"] + self.allowed, (e[0] + self.w["start"] + self.allowed[0]).T
         rows, back = np.arange(e.shape[1]), np.zeros((len(e), TAGS, e.shape[1]), np.int8)
         open_to, goes = np.append(0, np.arange(1, TAGS, 2)), np.arange(2, TAGS, 2)  # I follows its own B or I alone
+        into = step[:, open_to, None]
         for t in range(1, len(e)):
             new = np.empty_like(v)
             stay, begun = v[goes] + step[goes, goes][:, None], v[goes - 1] + step[goes - 1, goes][:, None]
             new[goes], back[t, goes] = np.maximum(stay, begun), np.where(begun > stay, goes[:, None] - 1, goes[:, None])
-            best, from_ = v[0] + step[0, open_to][:, None], np.zeros((len(open_to), e.shape[1]), np.int8)
-            for k in range(1, TAGS):
-                other = v[k] + step[k, open_to][:, None]
-                np.copyto(from_, k, where=other > best)
-                np.maximum(best, other, out=best)
-            new[open_to], back[t, open_to] = best, from_
+            paths = v[:, None] + into
+            new[open_to], back[t, open_to] = paths.max(0), paths.argmax(0)
             v = new + e[t].T
         tag = v.argmax(0)
         path = [tag]
@@ -283,7 +295,7 @@ class Tagger:
             for t, i, f, o, gg, c, u, h in reversed(tape):
                 dh = dh + part[t]
                 dc = dc + dh * o * (1 - u * u)
-                dz = np.concatenate([dc * gg * i * (1 - i), dc * c * f * (1 - f), dh * u * o * (1 - o), dc * i * (1 - gg * gg)], 1)
+                dz = np.concatenate([dc * gg * gate_slope(i), dc * c * gate_slope(f), dh * u * gate_slope(o), dc * i * (1 - gg * gg)], 1)
                 g[f"{d}h"] += h.T @ dz
                 g[f"{d}b"] += dz.sum(0)
                 np.add.at(g[f"{d}x"], x[:, t], dz)

@@ -353,3 +353,18 @@ def test_products_of_the_tagger_stay_on_one_thread(monkeypatch):
     monkeypatch.setattr(pii.np, "matmul", spy)
     pii.Tagger().emissions(np.zeros((pii.tagged.__defaults__[0], 3), np.int8))
     assert len(sizes) == 6 and max(sizes) <= 2**18
+
+
+def test_exponentials_of_the_tagger(monkeypatch):
+    """Two exponentials a character, direction and unit, those of the states: gates are straight lines cut at 0 and 1."""
+    sizes, plain, model = [], np.exp, pii.Tagger()
+
+    def spy(x, **options):
+        sizes.append(np.size(x))
+        return plain(x, **options)
+
+    monkeypatch.setattr(pii.np, "exp", spy)
+    model.emissions(np.zeros((7, 5), np.int8))
+    assert sum(sizes) == 2 * 7 * 5 * 2 * model.hidden
+    assert pii.gate(np.array([-9, -2.5, 0, 1, 2.5, 9])) == pytest.approx([0, 0, 0.5, 0.7, 1, 1])
+    assert pii.gate_slope(np.array([0, 0.5, 1])) == pytest.approx([0, 0.2, 0])
